@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import source_mixing
+from . import exact_dedup, source_mixing
 
 QUERIES = {
+    "op3_exact_dedup": exact_dedup.op3,
     "op9_source_mixing": source_mixing.op9,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.SQL,
+}

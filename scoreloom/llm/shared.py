@@ -113,3 +113,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def store(uri: str):
+    """(pyarrow file system, path) of a place in the shared folder; tasks write and range-read their files through it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
