@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, source_mixing
+from . import best_fit_packing, exact_dedup, source_mixing
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3,
+    "op8_best_fit_packing": best_fit_packing.op8,
     "op9_source_mixing": source_mixing.op9,
 }
 ORACLES: dict[str, str] = {
