@@ -111,7 +111,8 @@ def _overlaps(placed: DataFrame, chosen: DataFrame) -> DataFrame:
     at = lambda word: F.floor(((word + 1) * F.col("blocks") - 1) / F.col("words"))
     met = placed.where("size > 0").withColumn("block", F.explode(F.sequence(at(F.col("begin")), at(F.col("end") - 1))))
     met = met.select("_row", "_n", "doc_id", "size", F.col("src").alias("s"), F.col("shard").alias("h"), F.col("block").alias("k"), "begin")
-    both = met.join(chosen, F.col("src").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")) & (F.col("block") == F.col("k")))
+    # both sides grow with the corpus and Spark cannot foresee what explode makes: no broadcast
+    both = met.join(chosen.hint("merge"), F.col("src").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")) & (F.col("block") == F.col("k")))
     bound = lambda k: F.floor(k * F.col("w") / F.col("b"))
     start, stop = F.greatest(bound(F.col("block")) - F.col("begin"), F.lit(0)), F.least(bound(F.col("block") + 1) - F.col("begin"), F.col("size"))
     return both.select("_row", "_n", "doc_id", start.cast("long").alias("from"), stop.cast("long").alias("to")).where("to > from")
@@ -134,9 +135,9 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     spans = _overlaps(placed, chosen).groupBy("_row", "_n", "doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
     takes = placed.select(F.col("_row").alias("r"), F.col("_n").alias("n"), F.col("doc_id").alias("d"), "rounds", "size")
     same = lambda x, y: (x == F.col("_row")) & y.eqNullSafe(F.col("doc_id"))
-    takes = takes.join(spans, same(F.col("r"), F.col("d")) & (F.col("n") == F.col("_n")), "left").drop("_row", "_n", "doc_id")
+    takes = takes.join(spans.hint("merge"), same(F.col("r"), F.col("d")) & (F.col("n") == F.col("_n")), "left").drop("_row", "_n", "doc_id")
     takes = scratch.table(takes.where("(rounds > 0 or spans is not null) and size > 0"), "takes")
-    both = numbered.dropDuplicates(["_row", "doc_id"]).join(takes, same(F.col("r"), F.col("d")))
+    both = numbered.dropDuplicates(["_row", "doc_id"]).join(takes.hint("merge"), same(F.col("r"), F.col("d")))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
     texts = F.concat(F.array_repeat(F.col("text"), F.col("rounds").cast("int")), F.when(F.col("spans").isNull(), F.array().cast("array<string>")).otherwise(F.array(part)))
@@ -152,6 +153,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, chosen = plan(_numbered(documents(spark, sf_dir).select("doc_id", "text", "source")), spark, scratch)
     extra = _overlaps(placed, chosen).groupBy("_row", "_n", "doc_id").agg(F.sum(F.col("to") - F.col("from")).alias("extra"))
     extra = extra.select(F.col("_row").alias("r"), F.col("_n").alias("n"), F.col("doc_id").alias("d"), "extra")
-    return placed.join(extra, (F.col("r") == F.col("_row")) & (F.col("n") == F.col("_n")) & F.col("d").eqNullSafe(F.col("doc_id")), "left").select(
+    return placed.join(extra.hint("merge"), (F.col("r") == F.col("_row")) & (F.col("n") == F.col("_n")) & F.col("d").eqNullSafe(F.col("doc_id")), "left").select(
         "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
         (F.col("rounds") * F.col("size") + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"))
