@@ -105,6 +105,8 @@ class Builder:
         while self.next < stop:
             bucket = self.directory[self.next]
             span = 1 << (self.depth - bucket.depth)
+            if self.next + span > stop:  # the present key falls into it
+                return
             if bucket.entries:
                 page = bucket.page()
                 self.out.write(page)
