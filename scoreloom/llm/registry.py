@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, source_mixing
+from . import best_fit_packing, exact_dedup, language_id, source_mixing
 
 QUERIES = {
+    "op1_language_id": language_id.op1,
     "op3_exact_dedup": exact_dedup.op3,
     "op8_best_fit_packing": best_fit_packing.op8,
     "op9_source_mixing": source_mixing.op9,
