@@ -31,6 +31,8 @@ from .shared import Scratch, blobs, deal, documents, low, partitions, record_bat
 BUCKET_ENTRIES = 4096
 BUCKET_BYTES = 8 << 20
 KEY_BITS = 64
+#: The directory has 2 ** MOST_DEPTH places at most; a bucket that is still overfull then chains on.
+MOST_DEPTH = 20
 
 
 class Bucket:
@@ -45,7 +47,7 @@ class Bucket:
         self.bytes += len(entry[0])
 
     def overfull(self, entries: int, size: int) -> bool:
-        return (self.entries > entries or self.bytes > size) and len(self.chains) > 1 and self.depth < KEY_BITS
+        return (self.entries > entries or self.bytes > size) and len(self.chains) > 1 and self.depth < MOST_DEPTH
 
     def split(self) -> tuple[Bucket, Bucket]:
         halves = Bucket(self.prefix * 2, self.depth + 1), Bucket(self.prefix * 2 + 1, self.depth + 1)

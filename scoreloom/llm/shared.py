@@ -77,7 +77,7 @@ def blobs(batch: pa.RecordBatch, name: str) -> list[memoryview | None]:
     col = batch.column(batch.schema.get_field_index(name))
     if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
         col = col.cast(pa.large_binary())
-    return [None if not v.is_valid else memoryview(v.as_buffer()) for v in col]
+    return [None if not v.is_valid else memoryview(v.as_buffer()).cast("B") for v in col]
 
 
 def joined_bytes(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
