@@ -14,6 +14,7 @@ each for itself and told apart by ``row_id``; an empty table gives no rows; furt
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Scratch, documents, record_batch
+from .shared import Scratch, documents, record_batch, slices
 
 CAPACITY = 4096
 END = 1
@@ -33,37 +35,83 @@ SHARD_PIECES = 1500
 ISLANDS, ROUNDS, POPULATION, CROSSOVERS = 2, 2, 4, 6
 #: Bins filled less than this go to the last packing, of the leavings of TAILS shards at once.
 TAIL_FILL, TAILS = 0.97, 256
-#: Entries of the memo from a space-delimited chunk to its ids; it is emptied when full.
-MEMO = 300_000
-#: Longer chunks are encoded but not kept in the memo.
-MEMO_CHARS = 40
+#: Chunks whose ids a task remembers; when they are so many, it begins anew.
+MEMO = 1_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 6 << 20
+#: Lower-case Latin-1 letters: the normaliser leaves them, and a chunk of them is one pre-token.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
-class Encoder(dict):
-    """Token ids of texts, chunk by chunk: no pre-token of the word vocabulary spans a space, so the ids of a text are those of its chunks."""
+class Encoder:
+    """Token ids of texts, chunk by chunk: no pre-token of the word vocabulary spans a space, so the ids of a text are those of its chunks.
+
+    A full stop or comma between a letter and a space is a pre-token of its own, so it is a chunk of its own too. Each distinct chunk
+    is encoded once; the ids of the texts are then gathered from the pool.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in set(chunks) if c not in self]
-        long = {}
-        if new:
-            if len(self) + len(new) > MEMO:
-                self.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                (self if len(c) <= MEMO_CHARS else long)[c] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            return b"".join([long[c] if c in long else self[c] for c in chunks])
-        return b"".join(map(self.__getitem__, chunks))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_padding()
+        self.whole.no_truncation()
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = {ord(c): byte.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.starts, self.lengths = np.zeros((2, 1 << 12), np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if PLAIN(c)]
+        other = [c for c in chunks if not PLAIN(c)]
+        if plain:
+            ids = np.array(self.plain.encode(" ".join(plain).translate(self.mapped), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            self.store(plain, ids, np.diff(ends, prepend=0))
+        if other:
+            each = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
+            self.store(other, np.array([i for ids in each for i in ids], "<u4"), np.array([len(ids) for ids in each], np.int64))
+
+    def store(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        assert len(chunks) == len(lengths) and lengths.sum() == len(ids)
+        n, m = len(self.memo), len(self.memo) + len(chunks)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
+        if m > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * m), np.resize(self.lengths, 2 * m)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.lengths[n:m], self.starts[n:m] = lengths, self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.memo.update(zip(chunks, range(n, m), strict=True))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, where each text begins and ends among them)."""
+        texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")  # ascii_lower misreads slices
+        texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+        split = pc.split_pattern(pc.replace_substring_regex(texts, r"(\pL)([.,]) ", r"\1 \2 "), " ")
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        new = [c for c in distinct if c not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.forget()
+            new = distinct
+        self.learn(new)
+        at = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))[np.asarray(words.indices)]
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        place = np.repeat(self.starts[at] - ends + n, n)
+        place += np.arange(len(place))
+        return self.pool[place], np.r_[0, ends][bounds]
 
 
 @functools.cache
@@ -82,10 +130,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         import public_tokenizers
 
         enc, end = encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json")), np.array([END], "<u4").tobytes()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             out: dict[str, list] = {f.name: [] for f in CUT}
-            for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), b.column("text"), strict=True):
-                ids = memoryview(enc.ids(text.as_py() or "") + end)
+            flat, bounds = enc(b.column("text"))
+            for doc, row, begin, stop in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                ids = memoryview(flat[begin:stop].tobytes() + end)
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for k, v in zip(out, (doc, row, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def joined_bytes(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarr
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of text each, so that numpy's copies stay bounded; a longer text is alone."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).fill_null(b"")
-    sizes = np.asarray(pa.compute.binary_length(col), np.int64)
+    sizes = np.asarray(pc.binary_length(col), np.int64)
     begin = total = 0
     for i, n in enumerate(sizes):
         if i > begin and total + n > most:
