@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, language_id, source_mixing, toxicity
+from . import best_fit_packing, exact_dedup, language_id, near_dedup, source_mixing, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op3_exact_dedup": exact_dedup.op3,
     "op5_toxicity": toxicity.op5,
+    "op7_near_dedup": near_dedup.op7,
     "op8_best_fit_packing": best_fit_packing.op8,
     "op9_source_mixing": source_mixing.op9,
 }
