@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, language_id, near_dedup, source_mixing, toxicity
+from . import best_fit_packing, exact_dedup, language_id, metric_search, near_dedup, source_mixing, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7,
     "op8_best_fit_packing": best_fit_packing.op8,
     "op9_source_mixing": source_mixing.op9,
+    "op10_metric_search": metric_search.op10,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
