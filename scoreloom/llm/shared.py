@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -50,6 +51,11 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
