@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, language_id, metric_search, near_dedup, source_mixing, toxicity, warc_archives
+from . import best_fit_packing, exact_dedup, language_id, metric_search, near_dedup, source_mixing, suffix_dedup, toxicity, warc_archives
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_warc_archives": warc_archives.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_suffix_dedup": suffix_dedup.op6,
     "op7_near_dedup": near_dedup.op7,
     "op8_best_fit_packing": best_fit_packing.op8,
     "op9_source_mixing": source_mixing.op9,
