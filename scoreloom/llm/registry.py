@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, language_id, metric_search, near_dedup, source_mixing, suffix_dedup, toxicity, warc_archives
+from . import best_fit_packing, exact_dedup, language_id, metric_search, near_dedup, pii_surrogates, source_mixing, suffix_dedup, toxicity, warc_archives
 
 QUERIES = {
     "op1_language_id": language_id.op1,
+    "op2_pii_surrogates": pii_surrogates.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_warc_archives": warc_archives.op4,
     "op5_toxicity": toxicity.op5,
