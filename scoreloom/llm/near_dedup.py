@@ -142,7 +142,9 @@ def blocks_of(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     root = F.xxhash64("tree", F.substring(F.col("sig"), (2 * DEPTH * F.col("tree") + 1).cast("int"), F.lit(2 * ROOT)))
     level, done = trees.select(root.alias("region"), "tree", "digest"), []
     for depth in range(ROOT, DEEPEST + 1):
-        sizes = level.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # written before they are joined, so that the join of a hot region stands alone and Spark can split it
+        level = scratch.table(level, f"keyed-{depth}") if done else level
+        sizes = scratch.table(level.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{depth}")
         level = scratch.table(level.join(sizes.hint("merge"), "region"), f"level-{depth}")
         done.append(level.where(F.col("size") <= MOST).select(F.col("region").alias("block"), "tree", "digest"))
         large = level.where(F.col("size") > MOST)
