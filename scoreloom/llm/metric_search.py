@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .near_dedup import groups
 from .shared import Scratch, deal, record_batch
 
-TREE, BLOCK, LEAF, FAN = 8192, 2048, 128, 16
+TREE, BLOCK, LEAF, FAN = 8192, 2048, 512, 16
 TOP, EVERY = 5, 50
 SLACK = 1e-9
 ITEM = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.binary()), ("norm", pa.float64()), ("size", pa.int32())])
@@ -65,17 +65,22 @@ def matrix(vectors: list[bytes], width: int) -> np.ndarray:
 
 
 class Tree:
-    """Pages of one M-tree; ``x`` has the augmented vectors as doubles, ``whole`` the integers."""
+    """Pages of one M-tree; ``x`` has the augmented vectors as doubles, ``whole`` the integers, both in the order of the leaves."""
 
     def __init__(self, whole: np.ndarray, rows: np.ndarray, ids: np.ndarray, most: float, seed: int):
-        self.whole, self.rows, self.ids = whole, rows, ids
         plain = whole.astype(np.float64)
-        self.exact = not len(whole) or float(np.abs(plain).max()) ** 2 * whole.shape[1] < 2.0**53
+        self.largest = float(np.abs(plain).max(initial=0))
         self.x = np.c_[plain, np.sqrt(np.maximum(0, most - (plain * plain).sum(axis=1)))]
         self.pages: list[dict] = []
+        self.order: list[np.ndarray] = []
+        self.filled = 0
         self.rng = np.random.default_rng(seed)
-        everything = np.arange(len(whole))
-        self.root = self.page(everything, self.x[0]) if len(whole) else None
+        self.top = self.x[0].copy() if len(whole) else None  # the pivot of the root
+        self.root = self.page(np.arange(len(whole)), self.top) if len(whole) else None
+        order = np.concatenate([*self.order, np.zeros(0, np.int64)])
+        self.order = []
+        self.whole, self.rows, self.ids, self.x = whole[order], rows[order], ids[order], self.x[order]
+        self.plain = np.ascontiguousarray(self.x[:, :-1])
 
     def distances(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         return np.sqrt(np.square(self.x[at] - to).sum(axis=1))
@@ -85,7 +90,9 @@ class Tree:
         d = self.distances(at, pivot)
         if len(at) <= LEAF or d.max() == d.min() == 0:
             order = np.argsort(d, kind="stable")
-            self.pages.append({"leaf": True, "at": at[order], "d": d[order]})
+            self.order.append(at[order])
+            self.pages.append({"leaf": True, "from": self.filled, "to": self.filled + len(at), "d": d[order]})
+            self.filled += len(at)
             return len(self.pages) - 1
         seeds = self.x[self.rng.choice(at, min(FAN, len(at)), replace=False)]
         near = np.stack([self.distances(at, s) for s in seeds])
@@ -99,11 +106,11 @@ class Tree:
         self.pages.append({"leaf": False, "pivots": pivots, "radii": radii, "d": np.sqrt(np.square(pivots - pivot).sum(axis=1)), "children": children})
         return len(self.pages) - 1
 
-    def scores(self, at: np.ndarray, q: np.ndarray, exact: bool) -> list[int]:
+    def scores(self, at: slice | np.ndarray, q: np.ndarray, plain: np.ndarray, exact: bool) -> np.ndarray:
         if exact:
-            return (self.x[at, :-1] @ q.astype(np.float64)).astype(np.int64).tolist()
+            return self.plain[at] @ plain
         limit = (1 << 63) - 1
-        return [max(-limit - 1, min(limit, int(s))) for s in self.whole[at].astype(object) @ q.astype(object)]
+        return np.array([max(-limit - 1, min(limit, int(s))) for s in self.whole[at].astype(object) @ q.astype(object)], object)
 
     def search(self, q: np.ndarray, row: int, most: float, k: int) -> list[tuple[int, int]]:
         """The k best (score, -vec_id) of all vectors but that of ``row``."""
@@ -111,7 +118,7 @@ class Tree:
             return []
         plain = q.astype(np.float64)
         size = float(plain @ plain)
-        exact = self.exact and size * max(most, 1.0) < 2.0**104 and (not len(q) or float(np.abs(plain).max()) * float(np.abs(self.x[:, :-1]).max(initial=0)) * len(q) < 2.0**53)
+        exact = self.largest * float(np.abs(plain).max(initial=0)) * len(q) < 2.0**53
         target, slack = np.r_[plain, 0.0], SLACK * (np.sqrt(size) + np.sqrt(most) + 1)
         best: list[tuple[int, int]] = []
 
@@ -119,7 +126,7 @@ class Tree:
             """The distance of the k-th best: what is farther is worse."""
             return np.sqrt(max(0.0, size + most - 2.0 * best[0][0])) + slack if len(best) == k else np.inf
 
-        queue, count = [(0.0, 0, self.root, float(np.sqrt(np.square(target - self.x[0]).sum())))], 1
+        queue, count = [(0.0, 0, self.root, float(np.sqrt(np.square(target - self.top).sum())))], 1
         while queue:
             low, _, number, from_pivot = heapq.heappop(queue)
             bound = reach()
@@ -128,15 +135,18 @@ class Tree:
             page = self.pages[number]
             spared = np.abs(from_pivot - page["d"])
             if page["leaf"]:
-                at = page["at"][spared <= bound + slack]
-                for s, i in zip(self.scores(at, q, exact), at.tolist(), strict=True):
-                    if len(best) < k or s >= best[0][0]:
-                        entry = (s, -int(self.ids[i]))
-                        if self.rows[i] == row or len(best) == k and entry <= best[0]:
-                            continue
-                        heapq.heappush(best, entry)
-                        if len(best) > k:
-                            heapq.heappop(best)
+                near = spared <= bound + slack
+                some = 2 * np.count_nonzero(near) < len(near)
+                at = page["from"] + np.flatnonzero(near) if some else slice(page["from"], page["to"])
+                s = self.scores(at, q, plain, exact)
+                good = np.flatnonzero(s >= best[0][0]) if len(best) == k else range(len(s))
+                for i in good:
+                    entry, place = (int(s[i]), -int(self.ids[at][i])), at[i] if some else page["from"] + i
+                    if self.rows[place] == row or len(best) == k and entry <= best[0]:
+                        continue
+                    heapq.heappush(best, entry)
+                    if len(best) > k:
+                        heapq.heappop(best)
                 continue
             open_ = np.flatnonzero(spared - page["radii"] <= bound + slack)
             d = np.sqrt(np.square(page["pivots"][open_] - target).sum(axis=1))
