@@ -85,7 +85,8 @@ def runs(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         first, last = np.r_[0, cut], np.r_[cut, len(start)] - 1
         lo, hi, at, doc = start[first], start[last], at[first], doc[first]
         r = np.zeros(len(lo), RUN)
-        r["gram"], r["idx"], r["lo"], r["span"], r["off"] = gram[at], doc, a + lo - bounds[doc], hi - lo, at - lo
+        # hashed once more: the least of many hashes are small, and parts are ranges of this value
+        r["gram"], r["idx"], r["lo"], r["span"], r["off"] = mixed(gram[at] + np.uint64(BASE)), doc, a + lo - bounds[doc], hi - lo, at - lo
         r["ext"] = mixed((sums[hi + THRESHOLD] - sums[lo]) * down[lo] + ((hi - lo).astype(np.uint64) << np.uint64(8)) + (at - lo).astype(np.uint64))
         out.append(r)
     return np.concatenate(out)
