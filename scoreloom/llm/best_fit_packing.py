@@ -226,7 +226,7 @@ def _pack(items: DataFrame, scratch: Scratch, name: str, capacity: int) -> DataF
             if own.empty:
                 return pd.DataFrame({"shard": [], "island": [], "people": []})
             sizes = own.sort_values(key)["length"].to_numpy(np.int64)
-            start = [np.frombuffer(x, np.int32) for people in guests["people"] for x in people]
+            start = [np.frombuffer(x, np.int32) for people in (guests["people"] if len(guests) else []) for x in people]
             people = evolve(sizes, start, capacity, hash((int(ids[0]), int(ids[1]), round_)) & 0x7FFFFFFF)
             return pd.DataFrame({"shard": [ids[0]], "island": [ids[1]], "people": [[x.tobytes() for x in people]]})
 

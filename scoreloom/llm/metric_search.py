@@ -173,7 +173,7 @@ def top(vectors: DataFrame, spark: SparkSession, wanted, k: int = TOP) -> DataFr
 
     def meet(ids: tuple, tree: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        if len(tree):
+        if len(tree) and len(queries):  # an empty side comes without its columns
             built = pickle.loads(tree["pages"].iloc[0])
             for row, vec_id, v in zip(queries["row"], queries["vec_id"], matrix(queries["vec"].tolist(), width), strict=True):
                 out += [(row, vec_id, -i, s) for s, i in built.search(v, row, most, k)]
