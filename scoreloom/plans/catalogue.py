@@ -1,6 +1,568 @@
-"""Queries of the engine's own operators over the driver's tables, each with the SQL it is held against."""
+"""Queries of the engine's own operators over the driver's tables, each with the SQL it is held against.
+
+The driver's tables are not documents with ground truth, so each operator runs on the nearest column: the operator is what
+is tested. Every query reads its whole tables. ``sql=None`` marks what SQL cannot express; tests hold those against brute force.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, kernels, numbers, text
+from ..operators import aggregate, align, compare, confidence, gates, jsontree, layout, rules, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (t -> DataFrame), where t(name) reads a table, under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- aggregation -----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+with f as (select d.lang, case when d.n_chars > 1000 and l.quality = 1 then 1 else 0 end tp, case when d.n_chars > 1000 and l.quality = 0 then 1 else 0 end fp,
+                  case when d.n_chars <= 1000 and l.quality = 1 then 1 else 0 end fn from documents d join labels l using (doc_id)),
+     s as (select case when grouping(lang) = 1 then 'overall' else lang end as lang, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from f group by cube (lang))
+select lang, tp, fp, fn, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as micro_precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as micro_recall,
+       round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as micro_f1 from s""")
+def prf_micro_macro_by_lang(t):
+    long, good = F.col("n_chars") > 1000, F.col("quality") == 1
+    facts = t("documents").select("doc_id", "lang", "n_chars").join(t("labels"), "doc_id")
+    return aggregate.micro_by(facts.select("lang", (long & good).cast("int").alias("tp"), (long & ~good).cast("int").alias("fp"), (~long & good).cast("int").alias("fn")), "lang")
+
+
+@query("""select o_orderpriority, count(*) n, sum((o_orderstatus = 'F')::int)::bigint n_failed, round(avg(case when o_orderstatus = 'F' then 0 else o_totalprice end), 6) avg_padded,
+round(avg(case when o_orderstatus <> 'F' then o_totalprice end), 6) avg_success from orders group by 1""")
+def metrics_with_failure_padding(t):
+    return aggregate.padded_average(t("orders"), "o_orderpriority", "o_totalprice", F.col("o_orderstatus") != "F")
+
+
+@query("""with s as (select event_type, list_sort(list(value)) v from events where value is not null group by 1)
+select event_type, len(v)::bigint n, round(list_sum(v), 4) total, v[1] least, v[len(v)] most, v[1 + least(floor(len(v) * 0.5)::bigint, len(v) - 1)] p50, v[1 + least(len(v) * 90 // 100, len(v) - 1)] p90,
+v[1 + least(len(v) * 95 // 100, len(v) - 1)] p95, v[1 + least(len(v) * 99 // 100, len(v) - 1)] p99 from s""")
+def stats_percentiles_positional(t):
+    return aggregate.positional(t("events"), ["event_type"], "value")
+
+
+@query("select tag, count(*) n, round(avg(value), 6) average from (select unnest([event_type, 'user' || (user_id % 3)]) tag, value from events) group by 1")
+def tag_explode_aggregate(t):
+    tagged = t("events").withColumn("tags", F.array("event_type", F.concat(F.lit("user"), (F.col("user_id") % 3).cast("string"))))
+    return aggregate.by_tag(tagged, "tags", "value")
+
+
+@query("""select case grouping(l_returnflag, l_linestatus) when 3 then 'overall' when 1 then 'l_returnflag' else 'cell' end as level, coalesce(l_returnflag, '*') l_returnflag, coalesce(l_linestatus, '*') l_linestatus,
+count(*) n, round(avg(l_quantity), 6) average from lineitem group by rollup (l_returnflag, l_linestatus)""")
+def report_grouping_sets(t):
+    return aggregate.report(t("lineitem"), "l_returnflag", "l_linestatus", "l_quantity")
+
+
+@query("""select l_linenumber, round(sum(case when l_returnflag = 'A' then l_quantity end), 2) "l_returnflag_A", round(sum(case when l_returnflag = 'N' then l_quantity end), 2) "l_returnflag_N",
+round(sum(case when l_returnflag = 'R' then l_quantity end), 2) "l_returnflag_R" from lineitem group by 1""")
+def csv_pivot_metrics(t):
+    return aggregate.pivoted(t("lineitem"), "l_linenumber", "l_returnflag", ["A", "N", "R"], "l_quantity")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) r from lineitem) where r = 1")
+def cost_dedupe_first(t):
+    return aggregate.first_of(t("lineitem"), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+# --- comparison ------------------------------------------------------------------------------------------------------------
+
+
+@query("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) r from events) where r = 1")
+def latest_per_key(t):
+    return compare.latest(t("events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("select user_id, count(distinct event_type) n_versions from events group by 1 having count(distinct event_type) > 1")
+def mixed_version_guard(t):
+    return compare.mixed_versions(t("events"), "user_id", "event_type")
+
+
+@query("""with a as (select o_custkey k, avg(o_totalprice) s from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey k, avg(o_totalprice) s from orders where o_orderkey % 2 = 1 group by 1)
+select k as o_custkey, round(a.s, 6) score_a, round(b.s, 6) score_b, case when b.s is null then 'only_a' when a.s is null then 'only_b' when a.s < 200000 and b.s < 200000 then 'both_bad'
+when a.s > b.s then 'a_better' when a.s < b.s then 'b_better' else 'tie' end verdict from a full join b using (k)""")
+def compare_pipelines_full_outer(t):
+    half = lambda r: t("orders").where(F.col("o_orderkey") % 2 == r).groupBy("o_custkey").agg(F.avg("o_totalprice").alias("score"))
+    out = compare.compare(half(0), half(1), "o_custkey", 200000.0)
+    return out.select("o_custkey", F.round("score_a", 6).alias("score_a"), F.round("score_b", 6).alias("score_b"), "verdict")
+
+
+@query("""select n_nationkey, c_mktsegment, 0.0::double score from nation cross join (select distinct c_mktsegment from customer) s
+where not exists (select 1 from customer c where c.c_nationkey = n_nationkey and c.c_mktsegment = s.c_mktsegment and c.c_acctbal > 8000)""")
+def missing_attempts_anti(t):
+    segments = t("customer").select("c_mktsegment").distinct()
+    seen = t("customer").where("c_acctbal > 8000").withColumnRenamed("c_nationkey", "n_nationkey")
+    return compare.missing_attempts(t("nation").select("n_nationkey"), segments, seen, ["n_nationkey", "c_mktsegment"])
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderstatus = 'F' and o_custkey in (select c_custkey from customer where c_acctbal > 0) and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def failure_semi_anti(t):
+    cases = t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    known = t("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(cases, "o_custkey", "left_semi")
+    return known.join(t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""with c as (select c_nationkey k, o_orderpriority p, avg(o_totalprice) v from orders join customer on o_custkey = c_custkey group by 1, 2),
+s as (select k, count(*) n, round(sum(v), 4) rk, sum(v) t from c group by 1)
+select k as c_nationkey, n as n_cells, rk as rank_key, case when n = 5 then round(t / 5, 4) end mean, rank() over (order by rk desc) as rank from s""")
+def rank_matrix_conditional_mean(t):
+    facts = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return compare.matrix(facts, "c_nationkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "o_totalprice")
+
+
+@query("select user_id, event_type, count(*) votes from events group by 1, 2 having count(*) >= 2")
+def consensus_vote(t):
+    return compare.consensus(t("events"), ["user_id"], "event_type")
+
+
+# --- confidence and order ------------------------------------------------------------------------------------------------------
+
+SCORED = "s as (select d.doc_id, round(least(n_chars, 20000) / 20000, 3) c, l.quality q from documents d join labels l using (doc_id))"
+
+
+def _scored(t):
+    return t("documents").select("doc_id", F.round(F.least("n_chars", F.lit(20000)) / 20000, 3).alias("c")).join(t("labels").select("doc_id", F.col("quality").alias("q")), "doc_id")
+
+
+@query(f"""with {SCORED}, r as (select q, rank() over (order by c) + (count(*) over (partition by c) - 1) / 2 as r from s),
+a as (select sum(q) p, sum(1 - q) n, sum(case when q = 1 then r end) x from r)
+select p::bigint n_positive, n::bigint n_negative, round((x - p * (p + 1) / 2) / (p * n), 6) auc from a""")
+def roc_auc_tie_corrected(t):
+    return confidence.roc_auc(_scored(t), "c", "q")
+
+
+POINTS = f"{SCORED}, g as (select c, count(*) n, sum(q) k from s group by 1), p as (select c, sum(n) over w kept, sum(k) over w ok, sum(n) over () total from g window w as (order by c desc))"
+
+
+@query(f"with {POINTS} select c as threshold, kept::bigint kept, ok::bigint as right, round(kept / total, 6) coverage, round(ok / kept, 6) as precision from p")
+def coverage_precision_points(t):
+    return confidence.thresholds(_scored(t), "c", "q").select("threshold", "kept", "right", F.round("coverage", 6).alias("coverage"), F.round("precision", 6).alias("precision"))
+
+
+@query(f"with {POINTS}, z as (select kept / total as coverage, max(ok / kept) as precision from p group by 1 union all select 0, 1) select round(coverage, 6) coverage, round(precision, 6) as precision from z")
+def coverage_precision_curve(t):
+    return confidence.curve(confidence.thresholds(_scored(t), "c", "q")).select(F.round("coverage", 6).alias("coverage"), F.round("precision", 6).alias("precision"))
+
+
+@query(f"""with {POINTS}, z as (select kept / total as x, max(ok / kept) as y from p group by 1 union all select 0, 1)
+select round(sum(d * y), 6) as area from (select y, x - coalesce(lag(x) over (order by x), x) d from z)""")
+def coverage_precision_auc(t):
+    return confidence.area(confidence.curve(confidence.thresholds(_scored(t), "c", "q")))
+
+
+@query(f"with {POINTS} select round(max(ok / kept), 6) as precision, count(*) n_thresholds from p where kept / total >= 0.5")
+def precision_at_coverage(t):
+    return confidence.best_at(confidence.thresholds(_scored(t), "c", "q"), 0.5)
+
+
+@query("""with w as (select conv_id, turn, length(text) v from conversations), x as (select conv_id, v, max(v) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) b,
+min(v) over (partition by conv_id order by turn rows between 1 following and 3 following) a from w)
+select conv_id, count(*) n, sum(((b is null or b < v) and (a is null or a > v))::int)::bigint n_ok from x group by 1""")
+def reading_order_local(t):
+    return confidence.local_order(t("conversations").withColumn("v", F.length("text")), "conv_id", "turn", "v")
+
+
+@query("""with x as (select conv_id, length(text) v, lead(length(text)) over (partition by conv_id order by turn) z from conversations)
+select conv_id, count(z) n_pairs, coalesce(sum((v <= z)::int), 0)::bigint n_ok from x group by 1""")
+def reading_order_pairwise(t):
+    return confidence.adjacent_order(t("conversations").withColumn("v", F.length("text")), "conv_id", "turn", "v")
+
+
+@query("""with d as (select distinct o_custkey g, o_orderkey // 40 i from orders), r as (select g, i - row_number() over (partition by g order by i) k from d)
+select g as o_custkey, max(n) longest from (select g, k, count(*) n from r group by 1, 2) group by 1""")
+def longest_consecutive_run(t):
+    return confidence.longest_run(t("orders").withColumn("i", F.floor(F.col("o_orderkey") / 40)), "o_custkey", "i")
+
+
+SPANS = "o as (select o_custkey g, date_diff('day', date '1970-01-01', o_orderdate::date) a, date_diff('day', date '1970-01-01', o_orderdate::date) + 1 + o_orderkey % 60 b from orders)"
+
+
+@query(f"""with {SPANS}, r as (select g, a, b, max(b) over (partition by g order by a, b rows between unbounded preceding and 1 preceding) m from o)
+select g as o_custkey, sum(greatest(0, b - greatest(a, coalesce(m, a))))::bigint covered from r group by 1""")
+def interval_union_length(t):
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    return confidence.union_length(t("orders").select("o_custkey", day.alias("a"), (day + 1 + F.col("o_orderkey") % 60).alias("b")), "o_custkey", "a", "b")
+
+
+# --- text ------------------------------------------------------------------------------------------------------------------
+
+
+def _indic(t):
+    """Numbers written in Arabic-Indic digits, made from a numeric column."""
+    return t("part").select("p_partkey", F.translate(F.concat(F.lit("سعر "), F.format_number("p_retailprice", 2)), "0123456789.,", "٠١٢٣٤٥٦٧٨٩٫٬").alias("raw"))
+
+
+@query("select p_partkey, 'سعر ' || format('{:,.2f}', p_retailprice) as folded from part")
+def canon_fold_numerals(t):
+    return _indic(t).select("p_partkey", text.fold_numerals(F.col("raw")).alias("folded"))
+
+
+@query(r"""select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ([,.;:!?)\]])', '\1', 'g'), '([(\[]) ', '\1', 'g'), ' ')) as canon_sha from documents""")
+def canon_spacing(t):
+    ascii_ = F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")
+    return t("documents").select("doc_id", F.sha2(text.spacing(ascii_), 256).alias("canon_sha"))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then '-' else '' end || format('{:,.2f}', abs(c_acctbal)) as folded from customer")
+def canon_paren_neg(t):
+    amount = F.format_number(F.abs("c_acctbal"), 2)
+    return t("customer").select("c_custkey", text.fold_paren_negatives(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("("), amount, F.lit(")"))).otherwise(amount)).alias("folded"))
+
+
+@query("select p_partkey, 'سعر ' || format('{:,.2f}', p_retailprice) as canon, 'fold_numerals' as fired from part")
+def canon_trace(t):
+    value, fired = text.traced(F.col("raw"), unicode=False)
+    return _indic(t).select("p_partkey", value.alias("canon"), F.array_join(fired, ",").alias("fired"))
+
+
+@query()
+def canon_full_nfkc(t):
+    return t("documents").select("doc_id", text.canonical(F.col("text"), letters=True).alias("canon"))
+
+
+@query("""select p_partkey, case p_partkey % 5 when 0 then p_retailprice when 1 then p_retailprice when 2 then p_retailprice when 3 then 0 end::decimal(28, 10) as amount from part""")
+def parse_amount_shapes(t):
+    price, k = F.col("p_retailprice"), F.col("p_partkey") % 5
+    plain = F.replace(F.format_number(price, 2), F.lit(","), F.lit(""))
+    shape = F.when(k == 0, F.format_number(price, 2)).when(k == 1, plain).when(k == 2, F.replace(plain, F.lit("."), F.lit(","))).when(k == 3, "-").otherwise("n.a.")
+    return t("part").select("p_partkey", numbers.parse_amount(shape).alias("amount"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, abs(p_retailprice * l_quantity - l_extendedprice) <= 0.01 * abs(p_retailprice * l_quantity) as ok,
+round(greatest(0, 1 - abs(p_retailprice * l_quantity - l_extendedprice) / abs(p_retailprice * l_quantity)), 6) as similarity from lineitem join part on l_partkey = p_partkey""")
+def numbers_match_1pct(t):
+    both = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("e", F.col("p_retailprice") * F.col("l_quantity"))
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", numbers.numbers_match(F.col("e"), F.col("l_extendedprice")).alias("ok"), F.round(numbers.numeric_similarity(F.col("e"), F.col("l_extendedprice")), 6).alias("similarity"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as iso from orders")
+def date_to_iso(t):
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    written = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "d MMM yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+    return t("orders").select("o_orderkey", numbers.iso_date(written).alias("iso"))
+
+
+BAGS = r"""w as (select doc_id, text, lower(text) t from documents),
+a as (select doc_id, x as word, count(*) n from (select doc_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) x from w) group by 1, 2),
+b as (select doc_id, x as word, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, 'th', 't', 'g')), '[a-z0-9]+')) x from w) group by 1, 2),
+j as (select coalesce(a.doc_id, b.doc_id) doc_id, coalesce(a.n, 0) p, coalesce(b.n, 0) q from a full join b on a.doc_id = b.doc_id and a.word = b.word)"""
+
+
+def _bags(t):
+    docs = t("documents").select("doc_id", "text", F.regexp_replace("text", "th", "t").alias("said"))
+    return rules.bag(docs, "doc_id", "text"), rules.bag(docs, "doc_id", "said")
+
+
+@query(f"""with {BAGS} select doc_id, round(case when sum(p) > 0 then sum(greatest(p - q, 0)) / sum(p) else 0 end, 6) missing, round(case when sum(q) > 0 then sum(greatest(q - p, 0)) / sum(q) else 0 end, 6) unexpected,
+sum((p > 0 and q > p)::int)::bigint n_too_many from j group by 1""")
+def word_bag_percent(t):
+    return rules.missing_words(*_bags(t), "doc_id")
+
+
+DIGITS = ", ".join(f"(len(text) - len(replace(text, '{d}', '')))" for d in range(10))
+
+
+@query(f"""with x as (select doc_id, text, regexp_replace(text, '[13]', '', 'g') said from documents), d as (select doc_id, [{DIGITS}] a, [{DIGITS.replace('text', 'said')}] b from x)
+select doc_id, round(case when list_sum(a) > 0 then list_sum([least(a[i], b[i]) for i in range(1, 11)]) / list_sum(a) else 1 end, 6) as score from d""")
+def digit_bag_percent(t):
+    docs = t("documents").withColumn("said", F.regexp_replace("text", "[13]", ""))
+    return docs.select("doc_id", F.round(rules.digit_bag(F.col("text"), F.col("said")), 6).alias("score"))
+
+
+@query()
+def sentence_bag_missing(t):
+    docs = t("documents").withColumn("said", F.regexp_replace("text", "the", "teh"))
+    return docs.select("doc_id", F.round(rules.sentence_bag(F.col("text"), F.col("said")), 6).alias("missing"))
+
+
+@query("select doc_id, contains(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 'of the') as has, instr(text, 'the') > 0 and instr(text, 'and') > 0 and instr(text, 'the') < instr(text, 'and') as ordered from documents")
+def text_presence_and_order(t):
+    return t("documents").select("doc_id", rules.presence(F.col("text"), F.lit("of the")).alias("has"), rules.in_order(F.col("text"), F.lit("the"), F.lit("and")).alias("ordered"))
+
+
+@query(r"select doc_id, not regexp_matches(coalesce(text, ''), '[\pL\pN]') as blank from documents")
+def baseline_blank(t):
+    return t("documents").select("doc_id", rules.is_blank(F.col("text")).alias("blank"))
+
+
+@query("""select a.p_partkey, round(case when greatest(length(a.p_name), length(b.p_name)) = 0 then 1 else 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) end, 6) as similarity
+from part a join part b on b.p_partkey = a.p_partkey + 1""")
+def text_similarity_lev(t):
+    other = t("part").select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("said"))
+    return t("part").join(other, "p_partkey").select("p_partkey", F.round(text.similarity(F.col("p_name"), F.col("said")), 6).alias("similarity"))
+
+
+@query(f"""with {BAGS}, s as (select doc_id, sum(least(p, q)) m, sum(p) p, sum(q) q from j group by 1)
+select doc_id, round(case when q > 0 then m / q else 0 end, 6) as precision, round(case when p > 0 then m / p else 0 end, 6) recall, round(case when p + q > 0 then 2 * m / (p + q) else 0 end, 6) f1 from s""")
+def token_f1(t):
+    docs = t("documents").select("doc_id", text.words(F.col("text")).alias("a"), text.words(F.regexp_replace("text", "th", "t")).alias("b"))
+    return layout.token_f1(docs, "doc_id", "a", "b")
+
+
+@query(r"""select page_id, i::bigint as place, substr(h, 3, 1)::int as level from (select page_id, unnest(x) h, generate_subscripts(x, 1) - 1 i from (select page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') x from pages))""")
+def html_title_level(t):
+    return t("pages").select("page_id", F.posexplode(rules.title_levels(F.col("html"))).alias("place", "x")).select("page_id", F.col("place").cast("long").alias("place"), "x.level")
+
+
+@query(r"""select page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) as text_sha from pages""")
+def html_text_strip(t):
+    return t("pages").select("page_id", F.sha2(text.strip_tags(F.col("html")), 256).alias("text_sha"))
+
+
+@query("""select page_id, count(*) n_links, count(distinct x) n_distinct from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) x from pages) group by 1""")
+def html_link_extract(t):
+    return t("pages").select("page_id", F.explode(rules.links(F.col("html"))).alias("x")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("x").alias("n_distinct"))
+
+
+@query("""with x as (select conv_id, max(case when turn = 0 then text end) a, max(case when turn = 1 then text end) b from conversations group by 1)
+select conv_id, trim(regexp_replace(regexp_replace(lower(a), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' ') = trim(regexp_replace(regexp_replace(lower(b), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' ') as ok from x""")
+def qa_answer_compare(t):
+    turn = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    both = t("conversations").groupBy("conv_id").agg(turn(0).alias("a"), turn(1).alias("b"))
+    return both.select("conv_id", rules.answer_matches(F.col("a"), F.col("b")).alias("ok"))
+
+
+# --- tables ----------------------------------------------------------------------------------------------------------------
+
+
+def _nation_tables(t):
+    """A table of nations for each region, as HTML in odd regions and as a pipe table in even ones."""
+    pairs = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
+    by = t("nation").groupBy("n_regionkey").agg(pairs.alias("x"))
+    html = F.concat(F.lit("<p>x</p><table><tr><th>key</th><th>name</th></tr>"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("<tr><td>"), r["n_nationkey"].cast("string"), F.lit("</td><td>"), r["n_name"], F.lit("</td></tr>"))), ""), F.lit("</table>"))
+    pipe = F.concat(F.lit("text\n| key | name |\n|---|---|\n"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("| "), r["n_nationkey"].cast("string"), F.lit(" | "), r["n_name"], F.lit(" |"))), "\n"))
+    return by.select("n_regionkey", F.when(F.col("n_regionkey") % 2 == 1, html).otherwise(pipe).alias("markup"))
+
+
+GRID = """r as (select n_regionkey, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) i from nation),
+g as (select distinct n_regionkey, 0 as row, 0 as col, 'key' as text from nation union all select distinct n_regionkey, 0, 1, 'name' from nation union all select n_regionkey, i, 0, n_nationkey::varchar from r union all select n_regionkey, i, 1, n_name from r)"""
+
+
+@query(f"with {GRID} select n_regionkey, 0 as tbl, row::int as row, col::int as col, text, row = 0 as is_th from g")
+def extract_tables_udtf(t):
+    return tables.cells(_nation_tables(t), "n_regionkey", "markup").select("n_regionkey", "tbl", "row", "col", "text", "is_th")
+
+
+@query(f"with {GRID} select n_regionkey, (max(row) + 1)::bigint n_rows, (max(col) + 1)::bigint n_cols, count(*) n_cells from g group by 1")
+def num_rows_cols(t):
+    return tables.sizes(tables.cells(_nation_tables(t), "n_regionkey", "markup"), ["n_regionkey"])
+
+
+@query(f"""with {GRID} select n_regionkey, row::int as row, col::int as col, text, lead(text) over (partition by n_regionkey, row order by col) as right, lead(text) over (partition by n_regionkey, col order by row) as below from g""")
+def table_adjacent(t):
+    return tables.neighbours(tables.cells(_nation_tables(t), "n_regionkey", "markup"), ["n_regionkey"]).select("n_regionkey", "row", "col", "text", "right", "below")
+
+
+LINES = "case when l_partkey % 5 = 0 then '' else l_partkey::varchar end a, case when l_partkey % 5 = 0 and l_suppkey % 2 = 0 then '' else l_suppkey::varchar end b, case when l_partkey % 5 = 0 then '' else l_linenumber::varchar end c"
+
+
+@query(f"""with x as (select l_orderkey o, l_linenumber n, l_partkey p, {LINES} from lineitem),
+y as (select *, (a <> '')::int + (b <> '')::int + (c <> '')::int f from x), k as (select *, max((f > 1)::int) over (partition by o) m from y)
+select o as l_orderkey, count(*) * 3 as n_cells from k where f > 1 or m = 0 group by 1""")
+def structural_canon(t):
+    blank = F.col("l_partkey") % 5 == 0
+    cell = lambda i, c, empty: F.struct(F.lit(i).alias("col"), F.when(empty, "").otherwise(F.col(c).cast("string")).alias("text"))
+    row = F.xxhash64(*t("lineitem").columns)
+    grid = t("lineitem").select("l_orderkey", row.alias("row"), F.explode(F.array(cell(0, "l_partkey", blank), cell(1, "l_suppkey", blank & (F.col("l_suppkey") % 2 == 0)), cell(2, "l_linenumber", blank))).alias("x")).select("l_orderkey", "row", "x.*")
+    return tables.without_sections(grid, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def _copy(t):
+    """Supplier cells and a copy of them in which every seventh is null and every eleventh differs."""
+    true = tables.as_cells(t("supplier"), "s_suppkey", ["s_name", "s_nationkey", "s_acctbal"])
+    k = F.col("row") * 3 + F.col("col")
+    said = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.concat(F.col("text"), F.lit("9"))).otherwise(F.col("text"))
+    return true, true.withColumn("text", said).where(k % 13 != 0)
+
+
+CELLS = """c as (select s_suppkey as row, 0 as col, s_name as text from supplier union all select s_suppkey, 1, s_nationkey::varchar from supplier union all select s_suppkey, 2, s_acctbal::varchar from supplier),
+d as (select row, col, text, row * 3 + col as k from c), e as (select *, case when k % 13 = 0 or k % 7 = 0 then null when k % 11 = 0 then text || '9' else text end said from d)"""
+
+
+@query(f"""with {CELLS}, n as (select *, regexp_matches(text, '^-?[0-9]+(\\.[0-9]+)?$') num, regexp_replace(text, '[^0-9-]', '', 'g') x, regexp_replace(coalesce(said, ''), '[^0-9-]', '', 'g') y from e)
+select count(*) n_cells, count(said) n_covered, sum(num::int)::bigint n_numeric, sum((num and x = y)::int)::bigint n_exact, sum(case when num then levenshtein(x, y) else 0 end)::bigint n_edits, sum(case when num then length(x) else 0 end)::bigint n_digits from n""")
+def cell_coverage(t):
+    return tables.coverage(*_copy(t), ["row", "col"])
+
+
+@query(f"with {CELLS} select 0::bigint null_kept, 0::bigint fabricated, sum((said is null)::int)::bigint dropped, count(said) value_kept from e")
+def null_confusion(t):
+    return tables.null_confusion(*_copy(t), ["row", "col"])
+
+
+@query("""with s as (select l_orderkey k, sum(l_quantity::decimal(28, 10)) a, count(*) n from lineitem group by 1)
+select o_orderkey, coalesce(n, 0) + 1 as n_terms, o_orderkey % 5 <> 0 as evaluable, o_orderkey % 5 <> 0 and coalesce(a, 0) = case when o_orderkey % 3 = 0 then 1 else coalesce(a, 0) end as reconciles from orders left join s on k = o_orderkey""")
+def arithmetic_consistency(t):
+    lines = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("addend").alias("role"), F.col("l_quantity").cast(numbers.AMOUNT).alias("amount"))
+    sums = lines.groupBy("o_orderkey").agg(F.sum("amount").cast(numbers.AMOUNT).alias("s"))
+    total = F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).when(F.col("o_orderkey") % 3 == 0, F.lit(1)).otherwise(F.coalesce("s", F.lit(0)))
+    totals = t("orders").select("o_orderkey").join(sums, "o_orderkey", "left").select("o_orderkey", F.lit("total").alias("role"), total.cast(numbers.AMOUNT).alias("amount"))
+    return tables.relations(lines.unionByName(totals), ["o_orderkey"]).select("o_orderkey", "n_terms", "evaluable", "reconciles")
+
+
+# --- alignment -------------------------------------------------------------------------------------------------------------
+
+PAIRS = "a as (select l_orderkey o, l_linenumber n, l_partkey p, l_suppkey s from lineitem), b as (select o, n + 100 as n, p, case when p % 7 = 0 then s + 1 else s end s from a)"
+
+
+def _lines(t):
+    a = t("lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    return a, a.withColumns({"n": F.col("n") + 100, "s": F.when(F.col("p") % 7 == 0, F.col("s") + 1).otherwise(F.col("s"))})
+
+
+@query(f"""with {PAIRS}, x as (select *, row_number() over (partition by o, p, s order by n) r from a), y as (select *, row_number() over (partition by o, p, s order by n) r from b)
+select o as l_orderkey, count(*) n_peeled from x join y using (o, p, s, r) group by 1""")
+def exact_row_peel(t):
+    return align.peel(*_lines(t), "l_orderkey", "n", ["p", "s"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_peeled"))
+
+
+@query("""with a as (select o_custkey, o_orderpriority, o_orderkey k, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) r from orders where o_orderkey % 2 = 0),
+b as (select o_custkey, o_orderpriority, o_orderkey k, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) r from orders where o_orderkey % 2 = 1)
+select o_custkey, o_orderpriority, a.k as true_row, b.k as predicted_row from a full join b using (o_custkey, o_orderpriority, r)""")
+def identity_key_alignment(t):
+    half = lambda r: t("orders").where(F.col("o_orderkey") % 2 == r)
+    return align.by_identity(half(0), half(1), ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
+@query("""with a as (select o_custkey, min(o_orderkey) k from orders where o_orderkey % 2 = 0 group by 1 having count(*) = 1), b as (select o_custkey, min(o_orderkey) k from orders where o_orderkey % 2 = 1 group by 1 having count(*) = 1)
+select o_custkey, a.k as true_row, b.k as predicted_row from a join b using (o_custkey)""")
+def unique_key_alignment(t):
+    half = lambda r: t("orders").where(F.col("o_orderkey") % 2 == r)
+    return align.unique_identity(half(0), half(1), "o_custkey", "o_orderkey")
+
+
+@query()
+def hungarian_rows(t):
+    a, b = _lines(t)
+    return align.assign(a, b, "l_orderkey", "n", ["p", "s"])
+
+
+def _grids(t):
+    """By region, the grid of its nations and one that lacks a row and misspells names."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
+    by = t("nation").groupBy("n_regionkey").agg(rows.alias("a"))
+    return by.withColumn("b", F.transform(F.slice("a", 1, 4), lambda r: F.array(r[0], F.replace(r[1], F.lit("A"), F.lit("E")))))
+
+
+def _kernel(t, f) -> DataFrame:
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(f([list(r) for r in x], [list(r) for r in y]), 6) for x, y in zip(a, b, strict=True)])
+
+    return _grids(t).select("n_regionkey", score("a", "b").alias("score"))
+
+
+@query()
+def grits_pair(t):
+    return _kernel(t, lambda x, y: kernels.grid_similarity(x, y)["f"])
+
+
+@query()
+def teds_pair(t):
+    return _kernel(t, kernels.teds)
+
+
+@query()
+def trm_pair(t):
+    return _kernel(t, kernels.record_match)
+
+
+@query("""select p_partkey, round(jaro_winkler_similarity(p_name, p_type), 6) as similarity from part""")
+def jaro_winkler(t):
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(kernels.jaro_winkler(x, y), 6) for x, y in zip(a, b, strict=True)])
+
+    return t("part").select("p_partkey", score("p_name", "p_type").alias("similarity"))
+
+
+# --- JSON ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""select event_id, 'k' as path, 'number' as kind, json_extract_string(props, '$.k') as value from events where json_exists(props, '$.k')""")
+def json_leaves(t):
+    return jsontree.leaves(t("events"), "event_id", "props").select("event_id", "path", "kind", "value")
+
+
+@query("""select event_id, 1::bigint n_leaves, case when event_id % 3 = 0 then 0.0 else 1.0 end::double as score from events where json_exists(props, '$.k')""")
+def json_subset_match(t):
+    true = jsontree.flat_leaves(t("events"), "event_id", "props")
+    said = true.withColumn("value", F.when(F.col("event_id") % 3 == 0, F.concat("value", F.lit("0"))).otherwise(F.col("value")))
+    return jsontree.subset(true, said, "event_id")
+
+
+# --- layout ----------------------------------------------------------------------------------------------------------------
+
+BOXES = "select vec_id as id, vec_id % 17 as page, abs(embedding[1]::double) x0, abs(embedding[2]::double) y0, abs(embedding[1]::double) + 0.05 + abs(embedding[3]::double) x1, abs(embedding[2]::double) + 0.05 + abs(embedding[4]::double) y1, label from embeddings"
+
+
+def _boxes(t):
+    e = lambda i: F.abs(F.col("embedding")[i].cast("double"))
+    return t("embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 17).alias("page"), e(0).alias("x0"), e(1).alias("y0"), (e(0) + 0.05 + e(2)).alias("x1"), (e(1) + 0.05 + e(3)).alias("y1"), "label")
+
+
+@query(f"""with b as ({BOXES}), p as (select a.page, a.id a_id, c.id b_id, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) i,
+(a.x1 - a.x0) * (a.y1 - a.y0) s, (c.x1 - c.x0) * (c.y1 - c.y0) r from b a join b c on a.page = c.page and a.id < c.id)
+select page, a_id, b_id, round(i / (s + r - i), 6) iou from p where i / (s + r - i) > 0.3""")
+def iou_range_join(t):
+    b = _boxes(t)
+    return layout.overlapping(b, b, "page", least=0.3).where("a_id < b_id").withColumn("iou", F.round("iou", 6))
+
+
+@query()
+def greedy_match_ap(t):
+    b = _boxes(t)
+    predicted, true = b.where("id % 2 = 0").withColumn("score", F.col("x0")), b.where("id % 2 = 1")
+    hits = layout.greedy(predicted, true, "page", 0.3)
+    return layout.average_precision(hits, "page", true.groupBy("page").agg(F.count(F.lit(1)).alias("n_true")))
+
+
+@query(f"""with b as ({BOXES}) select id, round((x1 - x0) * (y1 - y0), 6) area, round(case when (x1 - x0) * (y1 - y0) > 0 then greatest(least(x1, 0.1) - x0, 0) * greatest(least(y1, 0.1) - y0, 0) / ((x1 - x0) * (y1 - y0)) else 0 end, 6) ioa from b""")
+def box_area_ioa(t):
+    b, window = geometry.box(""), tuple(F.lit(v) for v in (0.0, 0.0, 0.1, 0.1))
+    return _boxes(t).select("id", F.round(geometry.area(b), 6).alias("area"), F.round(geometry.ioa(b, window), 6).alias("ioa"))
+
+
+# --- gates -----------------------------------------------------------------------------------------------------------------
+
+
+@query("""select * from (select p_partkey, unnest([case when p_size > 45 then 'too_large' end, case when p_name like 'small%' then 'small' end, case when p_retailprice < 905 then 'cheap' end]) as defect from part) where defect is not null""")
+def schema_defects(t):
+    checks = {"too_large": F.col("p_size") > 45, "small": F.col("p_name").startswith("small"), "cheap": F.col("p_retailprice") < 905}
+    return gates.defects(t("part"), "p_partkey", checks)
+
+
+@query("select item_id, sha256(coalesce(text, '')) as sha256 from benchmark")
+def freeze_sha256(t):
+    return gates.freeze(t("benchmark"), "item_id", "text")
+
+
+@query("select doc_id from documents where sha256(coalesce(text, '')) in (select sha256(coalesce(text, '')) from benchmark)")
+def training_exclusion(t):
+    return gates.leaked(t("documents").select("doc_id", "text"), t("benchmark").select("text"), "text").select("doc_id")
+
+
+@query(r"""select doc_id, len(regexp_extract_all(text, '[ÃÂØÙ][\x{80}-\x{BF}]'))::bigint pairs from documents where len(regexp_extract_all(text, '[ÃÂØÙ][\x{80}-\x{BF}]')) >= 2""")
+def mojibake_guard(t):
+    return gates.garbled(t("documents"), "doc_id", "text")
