@@ -36,9 +36,9 @@ ISLANDS, ROUNDS, POPULATION, CROSSOVERS = 2, 2, 4, 6
 #: Bins filled less than this go to the last packing, of the leavings of TAILS shards at once.
 TAIL_FILL, TAILS = 0.97, 256
 #: Chunks whose ids a task remembers; when they are so many, it begins anew.
-MEMO = 1_000_000
+MEMO = 300_000
 #: Bytes of text that are encoded at once.
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: Lower-case Latin-1 letters: the normaliser leaves them, and a chunk of them is one pre-token.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
@@ -139,7 +139,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     part = ids[at : at + 4 * capacity]
                     for k, v in zip(out, (doc, row, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         out[k].append(v)
+            del flat
             yield record_batch(out, CUT)
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), "text").mapInArrow(cut, CUT_SQL)
 
