@@ -36,7 +36,7 @@ TREES, ROOT, DEPTH, DEEPEST = 16, 4, 7, 12
 MOST, FIRST, ESTIMATE = 128, 2, 0.64
 #: Similarity as a share: 100 * intersection >= 80 * union.
 SHARE = (80, 100)
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _RNG = np.random.default_rng(20)
 TABLE, MUL, XOR = (_RNG.integers(0, 1 << 64, n, np.uint64) for n in (256, TREES * DEPTH, TREES * DEPTH))
