@@ -3,7 +3,8 @@
 Confirmed toxic examples and unlabelled text train a linear numpy classifier over the presence of character n-grams of words.
 The risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]): unlabelled text stands for a mixture of
 both classes, and where the estimate of the negative part falls below zero its gradient is turned round. The class prior
-comes from all labels that may be learnt from. The fit takes a bounded sample, ``POSITIVES`` and ``UNLABELLED`` documents;
+comes from all labels that may be learnt from, which need not be a fair sample of the corpus: it is held to ROOM times how much rarer the most
+telling features are in unlabelled text than among positives. The fit takes a bounded sample, ``POSITIVES`` and ``UNLABELLED`` documents;
 scores read every whole text.
 
 Defined cases: a null or empty text has no feature and gets the score of the bias alone; without a confirmed toxic example all
@@ -19,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, held_out, record_batch
+from .shared import documents, held_out, record_batch, slices
 
 HASHES = 1 << 18
 ORDERS = (4, 5)
 POSITIVES, UNLABELLED = 3000, 8000
 #: Kept features: the most telling FEATURES of those whose share among positives is LEAST_LIFT times that in unlabelled text.
 FEATURES, LEAST_Z, LEAST_LIFT = 1024, 4.0, 3.0
+PURE, ROOM = 20, 1.25
 STEPS, RATE, DECAY = 250, 0.05, 1e-4
 THRESHOLD = 0.3
 CHUNK = 1 << 20
+SLICE = 4 << 20
 
 
 def hashes(text: str) -> Iterator[np.ndarray]:
@@ -129,6 +132,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     picked = np.sort(picked[z[picked] >= LEAST_Z])
     if not len(picked):
         return empty
+    best = picked[np.argsort(-z[picked], kind="stable")[:PURE]]
+    prior = min(prior, max(0.005, ROOM * float((nu[best].sum() / b) / (np_[best].sum() / a))))
     model = Model(picked, np.zeros(len(picked)), 0.0)
 
     def matrix(texts: list) -> np.ndarray:
@@ -156,7 +161,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             s = [shared.value.score(t) for t in b.column("text").to_pylist()]
             yield record_batch({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": s, "predicted": [int(x >= THRESHOLD) for x in s]}, OUT)
 
@@ -170,7 +175,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             yield b.filter(pa.array([shared.value.score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
