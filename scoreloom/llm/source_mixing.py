@@ -20,7 +20,7 @@ from .shared import WORD, Scratch, documents
 
 WEIGHTS = (1, 2, 3)
 CEILING = 3
-BLOCK_WORDS = 128
+BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 15
 #: Shards of one source at most; beyond it shards grow, so that the table of shards stays small at any size.
 MOST_SHARDS = 4096
