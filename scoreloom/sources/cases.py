@@ -25,7 +25,7 @@ def sidecars(spark: SparkSession, path: str, suffix: str = ".test.json") -> Data
     """Whole JSON files beside documents: document, content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), f"{suffix.replace('.', '[.]')}$", "")
-    return files.select(name.alias("document"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select(name.alias("document"), F.decode("content", "UTF-8").alias("content"))
 
 
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
