@@ -96,16 +96,55 @@ def align_sequences(reward: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(best[n, m]), pairs[::-1]
 
 
+def indel_ratios(a: list[str], b: list[str], longest: int = 48) -> np.ndarray:
+    """``indel_ratio`` of every pair, one numpy step for each pair of places; distinct strings count once, long ones go one by one."""
+    ua, ia = np.unique(np.array(a, object).astype(str), return_inverse=True)
+    ub, ib = np.unique(np.array(b, object).astype(str), return_inverse=True)
+    out = np.zeros((len(ua), len(ub)))
+    long_a, long_b = np.char.str_len(ua) > longest, np.char.str_len(ub) > longest
+    short_a, short_b = np.flatnonzero(~long_a), np.flatnonzero(~long_b)
+    if len(short_a) and len(short_b):
+        code = lambda u, pad: np.array([[*map(ord, x), *[pad] * (longest - len(x))] for x in u], np.int32)[:, : max(1, max(map(len, u)))]
+        ca, cb = code(ua[short_a], -1), code(ub[short_b], -2)
+        best = np.zeros((cb.shape[1] + 1, len(ca), len(cb)), np.int16)
+        for x in range(ca.shape[1]):
+            left = np.zeros((len(ca), len(cb)), np.int16)
+            for y in range(cb.shape[1]):
+                keep = best[y + 1].copy()
+                np.maximum(best[y + 1], best[y], out=best[y + 1])
+                np.maximum(best[y + 1], left + (ca[:, x, None] == cb[None, :, y]), out=best[y + 1])
+                left = keep
+        size = np.char.str_len(ua[short_a])[:, None] + np.char.str_len(ub[short_b])[None]
+        out[np.ix_(short_a, short_b)] = np.where(size > 0, 2 * best[-1] / np.maximum(size, 1), 1.0)
+    for x in range(len(ua)):
+        for y in np.flatnonzero(long_a[x] | long_b):
+            out[x, y] = indel_ratio(str(ua[x]), str(ub[y]))
+    return out[ia][:, ib]
+
+
+def aligned_totals(reward: np.ndarray) -> np.ndarray:
+    """The best monotone alignment's total of each matrix in the last two dimensions."""
+    n, m = reward.shape[-2:]
+    row = [np.zeros(reward.shape[:-2]) for _ in range(m + 1)]
+    for i in range(n):
+        left = row[0]
+        for j in range(1, m + 1):
+            keep = row[j]
+            row[j] = np.maximum(np.maximum(row[j], row[j - 1]), left + reward[..., i, j - 1])
+            left = keep
+    return row[m]
+
+
 def grid_similarity(true: list[list[str]], predicted: list[list[str]]) -> dict:
     """Factored two-dimensional most similar substructures: rows and columns are aligned apart, cells where both are."""
     rows, cols = (len(true), len(predicted)), (len(true[0]) if true else 0, len(predicted[0]) if predicted else 0)
     if not rows[0] * cols[0] or not rows[1] * cols[1]:
         return {"f": float(rows[0] * cols[0] == rows[1] * cols[1]), "rows": [], "cols": []}
-    cell = np.array([[[[indel_ratio(a, b) for b in pr] for pr in predicted] for a in tr] for tr in true])
-    by_row = np.array([[align_sequences(cell[i, :, k, :])[0] for k in range(rows[1])] for i in range(rows[0])])
-    by_col = np.array([[align_sequences(cell[:, j, :, k])[0] for k in range(cols[1])] for j in range(cols[0])])
-    row_pairs, col_pairs = align_sequences(by_row)[1], align_sequences(by_col)[1]
-    total = sum(cell[i, j, k, m] for i, k in row_pairs for j, m in col_pairs)
+    flat = indel_ratios([c for r in true for c in r], [c for r in predicted for c in r])
+    cell = flat.reshape(rows[0], cols[0], rows[1], cols[1]).transpose(0, 2, 1, 3)
+    row_pairs = align_sequences(aligned_totals(cell))[1]
+    col_pairs = align_sequences(aligned_totals(cell.transpose(2, 3, 0, 1)))[1]
+    total = sum(cell[i, k, j, m] for i, k in row_pairs for j, m in col_pairs)
     p, r = total / (rows[1] * cols[1]), total / (rows[0] * cols[0])
     return {"f": 2 * p * r / (p + r) if p and r else 0.0, "rows": row_pairs, "cols": col_pairs}
 
@@ -150,23 +189,69 @@ def table_tree(grid: list[list[str]]) -> tuple:
     return ("table", [("tr", [(f"td:{c}", []) for c in row]) for row in grid])
 
 
-def teds(true: list[list[str]], predicted: list[list[str]]) -> float:
-    """1 - edit distance / size of the larger tree; cells are renamed at the cost of their dissimilarity."""
-    size = lambda g: 1 + len(g) + sum(map(len, g))
+def cell_rename(x: str, y: str) -> float:
+    """Cells are renamed at the cost of their dissimilarity, other nodes at 1."""
+    if x[:3] == y[:3] == "td:":
+        return 1 - indel_ratio(x[3:], y[3:])
+    return float(x != y)
+
+
+def table_distance(true: list[list[str]], predicted: list[list[str]]) -> float:
+    """The tree edit distance of two tables, whose trees have three levels.
+
+    Roots of one label may always be mapped to each other, so that two rows differ by the edit distance of their cells, and a cell from a row by
+    what is left of the row without its nearest cell. One pass over the forests of rows remains, a numpy step for each node.
+    """
+    sizes = [[len(r) for r in g] for g in (true, predicted)]
+    flat = [[c for r in g for c in r] for g in (true, predicted)]
+    change = 1 - indel_ratios(*flat) if flat[0] and flat[1] else np.zeros((len(flat[0]), len(flat[1])))
+    starts = [np.cumsum([0, *s]) for s in sizes]
+    # rows against rows, all pairs of one size together
+    rows = np.zeros((len(true), len(predicted)))
+    for n in set(sizes[0]):
+        for m in set(sizes[1]):
+            a, b = np.flatnonzero(np.array(sizes[0]) == n), np.flatnonzero(np.array(sizes[1]) == m)
+            at = lambda i, j: change[np.ix_(starts[0][a] + i, starts[1][b] + j)]  # noqa: E731, B023
+            line = [np.full((len(a), len(b)), float(j)) for j in range(m + 1)]
+            for i in range(n):
+                left, line[0] = line[0], line[0] + 1
+                for j in range(m):
+                    keep = line[j + 1]
+                    line[j + 1] = np.minimum(np.minimum(line[j + 1], line[j]) + 1, left + at(i, j))
+                    left = keep
+            rows[np.ix_(a, b)] = line[m]
+    # nodes of the forests in postorder: the cells of a row, then the row
+    kind = [np.concatenate([np.r_[np.arange(x, y), -1 - k] for k, (x, y) in enumerate(zip(st[:-1], st[1:], strict=True))]) if len(st) > 1 else np.zeros(0, int) for st in starts]
+    first = [np.concatenate([np.r_[np.arange(n), 0] + base for n, base in zip(s, np.cumsum([0, *[n + 1 for n in s[:-1]]]), strict=True)]).astype(int) if s else np.zeros(0, int) for s in sizes]
+    cells = [np.flatnonzero(k >= 0) for k in kind]
+    heads = [np.flatnonzero(k < 0) for k in kind]
+    tree = np.zeros((len(kind[0]), len(kind[1])))
+    tree[np.ix_(cells[0], cells[1])] = change
+    tree[np.ix_(heads[0], heads[1])] = rows
+    for k, (x, y) in enumerate(zip(starts[1][:-1], starts[1][1:], strict=True)):
+        tree[cells[0], heads[1][k]] = (y - x) + (change[:, x:y].min(axis=1) if y > x else 1.0) if len(cells[0]) else 0
+    for k, (x, y) in enumerate(zip(starts[0][:-1], starts[0][1:], strict=True)):
+        tree[heads[0][k], cells[1]] = (y - x) + (change[x:y].min(axis=0) if y > x else 1.0) if len(cells[1]) else 0
+    n, m = tree.shape
+    forest, place = np.empty((n + 1, m + 1)), np.arange(m + 1)
+    forest[0] = place
+    for i in range(n):
+        own = np.r_[i + 1.0, np.minimum(forest[i, 1:] + 1, forest[first[0][i], first[1]] + tree[i])]
+        forest[i + 1] = np.minimum.accumulate(own - place) + place
+    return float(forest[n, m])
 
-    def rename(x: str, y: str) -> float:
-        if x[:3] == y[:3] == "td:":
-            return 1 - indel_ratio(x[3:], y[3:])
-        return float(x != y)
 
-    return 1 - tree_distance(table_tree(true), table_tree(predicted), rename) / max(size(true), size(predicted))
+def teds(true: list[list[str]], predicted: list[list[str]]) -> float:
+    """1 - edit distance / size of the larger tree."""
+    size = lambda g: 1 + len(g) + sum(map(len, g))
+    return 1 - table_distance(true, predicted) / max(size(true), size(predicted))
 
 
 def record_match(true: list[list[str]], predicted: list[list[str]], empty=("", "-")) -> float:
     """Table record match: columns by header at a ratio of 0.9 or more, records by assignment; sum of scores / the longer side."""
     if len(true) < 2 or len(predicted) < 2:
         return float(len(true) < 2 and len(predicted) < 2)
-    ratio = np.array([[indel_ratio(a.lower(), b.lower()) for b in predicted[0]] for a in true[0]])
+    ratio = indel_ratios([a.lower() for a in true[0]], [b.lower() for b in predicted[0]])
     columns = [(i, j) for i, j in assign(-ratio) if ratio[i, j] >= 0.9]
 
     def score(a: list[str], b: list[str]) -> float:

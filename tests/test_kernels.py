@@ -86,3 +86,18 @@ def test_greedy_match_takes_each_box_once():
     hit = kernels.greedy_match(np.array([[0.9, 0.6], [0.8, 0.55], [0.7, 0.2]]), np.array([0.1, 0.9, 0.5]))
     assert hit.tolist() == [1, 0, -1]
     assert kernels.average_precision(np.array([1, 0, 1]), 2) == pytest.approx((1 + 2 / 3) / 2)
+
+
+def test_table_distance_is_the_tree_distance():
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = ([["".join(rng.choice("ab") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(0, 4))] for _ in range(2))
+        want = kernels.tree_distance(kernels.table_tree(a), kernels.table_tree(b), kernels.cell_rename)
+        assert kernels.table_distance(a, b) == pytest.approx(want)
+
+
+def test_ratios_of_all_pairs():
+    rng = random.Random(8)
+    words = ["", "x" * 60, *("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(20))]
+    got = kernels.indel_ratios(words, words[::-1])
+    assert got == pytest.approx(np.array([[kernels.indel_ratio(a, b) for b in words[::-1]] for a in words]))
