@@ -193,3 +193,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The TOP best of every row whose vec_id is divisible by EVERY, against all rows of ``embeddings``."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top(vectors, spark, F.col("vec_id") % EVERY == 0)
+
+
+SQL = """
+with v as (select vec_id, [floor(256 * x::double)::bigint for x in embedding] e from embeddings
+           where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+     s as (select q.vec_id as query_id, c.vec_id, list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)])::bigint as score
+           from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""

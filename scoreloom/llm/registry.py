@@ -19,4 +19,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_warc_archives": warc_archives.SQL,
+    "op9_source_mixing": source_mixing.SQL,
+    "op10_metric_search": metric_search.SQL,
 }

@@ -120,7 +120,7 @@ def _overlaps(placed: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """Rows of one doc_id are told apart by what they hold, which a rerun finds again; ``plan`` numbers those that hold the same."""
-    return docs.withColumn("_row", F.xxhash64("text", "source"))
+    return docs.withColumn("_row", F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))))
 
 
 def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -156,3 +156,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(extra.hint("merge"), (F.col("r") == F.col("_row")) & (F.col("n") == F.col("_n")) & F.col("d").eqNullSafe(F.col("doc_id")), "left").select(
         "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
         (F.col("rounds") * F.col("size") + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"))
+
+
+def _sql_number(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '{SEED}', {', '.join(parts)})), 1, 15))::bigint"
+
+
+SQL = f"""
+with d as (select doc_id, source as src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5(coalesce(source, '') || '|' || coalesce(text, '')) as r from documents),
+e as (select *, row_number() over (partition by doc_id, r order by size) as n from d),
+s as (select src, sum(size)::bigint as ss, row_number() over (order by src is null, src) as o from d group by src),
+t as (select *, [1.0, 2.0, 3.0][(o - 1) % 3 + 1]::double as w, sum(ss) over ()::bigint as total, {CEILING} * ss::double as f from s),
+u as (select *, f / w as ratio, coalesce(sum(f) over b, 0) as fb, sum(w) over () - coalesce(sum(w) over b, 0) as wl from t
+      window b as (order by f / w, src is null, src rows between unbounded preceding and 1 preceding)),
+v as (select *, (total - fb) / wl as lvl from u),
+g as (select src, ss, least(f, coalesce((select lvl from v where lvl <= ratio order by ratio, lvl limit 1) * w, f)) as target,
+      greatest(1, round(total / {BLOCK_WORDS}))::bigint as seats, least({MOST_SHARDS}, greatest(1, ceil(ss / {SHARD_WORDS})))::bigint as shards from v),
+q as (select src, seats, row_number() over (order by target / (2 * k + 1) desc, src is null, src, k) as rk from (select *, unnest(range(0, 3 * ss // {BLOCK_WORDS} + 40)) as k from g where target > 0)),
+quotas as (select src, count(*) as quota from q where rk <= seats group by src),
+p as (select e.*, g.ss, g.target, {_sql_number("'shard'", "e.doc_id", "e.r")} % g.shards as shard from e join g on e.src is not distinct from g.src),
+z as (select *, sum(size) over (partition by src, shard order by {_sql_number("'place'", "doc_id")}, doc_id, r, n rows unbounded preceding)::bigint as stop from p),
+h as (select p.src, shard, sum(size)::bigint as words, coalesce(any_value(quota), 0) as quota from p left join quotas on p.src is not distinct from quotas.src group by p.src, shard having sum(size) > 0),
+hq as (select src, shard, quota, row_number() over (partition by src order by words / (2 * k + 1) desc, shard, k) as rk from (select *, unnest(range(0, 3 * words // {BLOCK_WORDS} + 40)) as k from h)),
+hw as (select src, shard, count(*) as won from hq where rk <= quota group by src, shard),
+b as (select h.src, h.shard, words, greatest(1, round(words / {BLOCK_WORDS}))::bigint as blocks, coalesce(won, 0) as won from h left join hw on h.src is not distinct from hw.src and h.shard = hw.shard),
+c as (select *, least(won, {CEILING} * blocks) // blocks as rounds, least(won, {CEILING} * blocks) % blocks as rest from b),
+k as (select * from (select *, row_number() over (partition by src, shard order by {_sql_number("'block'", "shard", "coalesce(src, '')", "block")}, block) as rk from (select *, unnest(range(0, blocks)) as block from c where rest > 0)) where rk <= rest),
+x as (select z.doc_id, z.r, z.n, sum(greatest(0, least((block + 1) * words // blocks, stop) - greatest(block * words // blocks, stop - size)))::bigint as extra
+      from z join k on z.src is not distinct from k.src and z.shard = k.shard group by z.doc_id, z.r, z.n)
+select z.doc_id, size, ss as source_size, target, (coalesce(rounds, 0) * size + coalesce(extra, 0))::bigint as taken
+from z left join c on z.src is not distinct from c.src and z.shard = c.shard left join x on z.doc_id is not distinct from x.doc_id and z.r = x.r and z.n = x.n
+"""
