@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, kernels, numbers, text
-from ..operators import aggregate, align, compare, confidence, gates, jsontree, layout, rules, tables
+from ..operators import aggregate, align, compare, confidence, gates, grounding, jsontree, layout, rules, scoring, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -566,3 +566,100 @@ def training_exclusion(t):
 @query(r"""select doc_id, len(regexp_extract_all(text, '[ÃÂØÙ][\x{80}-\x{BF}]'))::bigint pairs from documents where len(regexp_extract_all(text, '[ÃÂØÙ][\x{80}-\x{BF}]')) >= 2""")
 def mojibake_guard(t):
     return gates.garbled(t("documents"), "doc_id", "text")
+
+
+# --- grounding and scoring ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""with b as ({BOXES}), p as (select a.page, a.id, c.id as block, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0)) as ioa
+from b a join b c on a.page = c.page and a.id % 2 = 0 and c.id % 2 = 1), r as (select *, row_number() over (partition by page, id order by ioa desc, block) as n from p where ioa >= 0.3)
+select page, id, block, round(ioa, 6) as ioa from r where n = 1""")
+def best_attribution_block(t):
+    b = _boxes(t)
+    return grounding.best_block(b.where("id % 2 = 0"), b.where("id % 2 = 1"), "page").withColumn("ioa", F.round("ioa", 6))
+
+
+@query(f"""with {BAGS}, s as (select d.source, sum(least(p, q)) m, sum(p) p, sum(q) q from j join documents d using (doc_id) group by 1)
+select source, round(case when q > 0 then m / q else 1 end, 6) lap, round(case when p > 0 then m / p else 1 end, 6) lar from s""")
+def lap_lar(t):
+    docs = t("documents").select("source", text.words(F.col("text")).alias("a"), text.words(F.regexp_replace("text", "th", "t")).alias("b"))
+    return grounding.attributed(docs, ["source"], "a", "b")
+
+
+@query("""with a as (select l_orderkey k, l_linenumber n, min(l_returnflag) c from lineitem where l_partkey % 10 <> 0 group by 1, 2), b as (select l_orderkey k, l_linenumber n, min(l_linestatus) c from lineitem where l_partkey % 10 <> 1 group by 1, 2)
+select coalesce(a.c, 'background') true_class, coalesce(b.c, 'background') said_class, count(*) n from a full join b using (k, n) group by 1, 2""")
+def class_confusion(t):
+    side = lambda c, r: t("lineitem").where(F.col("l_partkey") % 10 != r).groupBy("l_orderkey", "l_linenumber").agg(F.min(c).alias("class"))
+    return grounding.confusion(side("l_returnflag", 0), side("l_linestatus", 1), ["l_orderkey", "l_linenumber"], "class")
+
+
+HITS = "h as (select event_type, t, event_id as id, value as score, hash_ok from (select event_type, event_id, value, unnest([3, 5, 7]) t from events), lateral (select event_id % t = 0 as hash_ok))"
+
+
+@query(f"""with {HITS}, n as (select event_type, count(*) // 2 n_true from events group by 1),
+r as (select event_type, t, hash_ok, row_number() over w as k, sum(hash_ok::int) over w as c from h window w as (partition by event_type, t order by score desc, id rows unbounded preceding)),
+a as (select event_type, t, sum(case when hash_ok then c / k else 0 end) s from r group by 1, 2), m as (select t, avg(s / n_true) ap from a join n using (event_type) where n_true > 0 group by 1)
+select round(avg(ap), 6) as map, count(*) n_thresholds from m""")
+def map_over_thresholds(t):
+    hits = t("events").select("event_type", F.col("event_id").alias("id"), F.col("value").alias("score"), F.explode(F.array(F.lit(3), F.lit(5), F.lit(7))).alias("t")).withColumn("matched", F.col("id") % F.col("t") == 0)
+    n = t("events").groupBy("event_type").agg(F.floor(F.count(F.lit(1)) / 2).alias("n_true"))
+    return grounding.mean_average_precision(hits, "event_type", "t", n)
+
+
+@query(r"""with h as (select page_id, i::bigint - 1 as place, substr(x[i], 3, 1)::int as level from (select page_id, x, unnest(range(1, len(x) + 1)) i from (select page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') x from pages)))
+select c.page_id, c.place, coalesce(max(p.place), -1) as parent from h c left join h p on p.page_id = c.page_id and p.place < c.place and p.level < c.level group by 1, 2""")
+def title_hierarchy(t):
+    titles = t("pages").select("page_id", F.posexplode(rules.title_levels(F.col("html"))).alias("place", "x")).select("page_id", F.col("place").cast("long").alias("place"), "x.level")
+    return grounding.title_edges(titles, "page_id", "place", "level")
+
+
+@query("""with a as (select o_custkey, o_orderpriority x, count(*) a from orders where o_orderkey % 2 = 0 group by 1, 2), b as (select o_custkey, o_orderpriority x, count(*) b from orders where o_orderkey % 2 = 1 group by 1, 2)
+select o_custkey, round(sum(least(a, coalesce(b, 0))) / sum(a), 6) score from a left join b using (o_custkey, x) group by 1""")
+def header_content_bag(t):
+    half = lambda r: t("orders").where(F.col("o_orderkey") % 2 == r)
+    return grounding.header_bag(half(0), half(1), "o_custkey", "o_orderpriority")
+
+
+@query("""with a as (select o_custkey k, list(distinct o_orderpriority) a from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey k, list(distinct o_orderpriority) b from orders where o_orderkey % 2 = 1 group by 1),
+j as (select k, coalesce(a, []) a, coalesce(b, []) b from a full join b using (k))
+select k as o_custkey, round(2 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) f1 from j""")
+def association_f1(t):
+    half = lambda r: t("orders").where(F.col("o_orderkey") % 2 == r)
+    return grounding.association_f1(half(0), half(1), "o_custkey", "o_orderpriority")
+
+
+@query()
+def score_document_passes(t):
+    grid = tables.cells(_nation_tables(t), "n_regionkey", "markup").select("n_regionkey", "tbl", "row", "col", "text")
+    said = grid.where("row <> 2").withColumn("text", F.replace("text", F.lit("A"), F.lit("E")))
+    key = ["n_regionkey", "tbl"]
+    sides = [scoring.grids(scoring.passes(g, key), ["n_regionkey", "pass", "tbl"]) for g in (grid, said)]
+    return scoring.score_tables(*sides, ["n_regionkey"])
+
+
+@query("""with x as (select nullif(event_type, '') system, event_id % 3 p, case when value > 50 then 'failed' else 'ok' end st, value v from events)
+select system, round(avg(case when p = 0 then case when st = 'failed' then 0 else v end end), 6) as raw, round(avg(case when p = 1 then case when st = 'failed' then 0 else v end end), 6) as "text",
+round(avg(case when p = 2 then case when st = 'failed' then 0 else v end end), 6) as struct, 'trm' as metric from x group by 1""")
+def leaderboard_by_pass(t):
+    pass_ = F.element_at(F.array(*[F.lit(p) for p in scoring.PASSES]), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = t("events").select(F.col("event_type").alias("system"), pass_.alias("pass"), F.lit("trm").alias("metric"), F.when(F.col("value") > 50, "failed").otherwise("ok").alias("status"), "value")
+    return scoring.board(rows, "trm")
+
+
+@query("select p_partkey, round(case when p_partkey % 4 = 0 then 0.0 when p_partkey % 4 = 1 then 1.0 / 2 else 1.0 end, 6)::double as fidelity from part")
+def script_fidelity(t):
+    k = F.col("p_partkey") % 4
+    said = F.when(k == 0, "١٢ ٣").when(k == 1, "12 ٣").otherwise("12 3")
+    return scoring.fidelity(t("part").select("p_partkey", F.lit("1 2 ٣").alias("a"), said.alias("b")), "p_partkey", "a", "b")
+
+
+@query("""select p_partkey, case when p_size > 45 then 'too_large' when p_name like 'small%' then 'small' else 'admitted' end as verdict from part""")
+def admission_first_failing(t):
+    checks = {"too_large": F.col("p_size") > 45, "small": F.col("p_name").startswith("small")}
+    return t("part").select("p_partkey", F.coalesce(gates.first_failing(checks), F.lit("admitted")).alias("verdict"))
+
+
+@query("""select c_custkey as row, c - 1 as new_col, [0, 1, 2][c] as col from customer, unnest([1, 2, 3]) u(c)""")
+def table_column_order(t):
+    grid = tables.as_cells(t("customer"), "c_custkey", ["c_name", "c_acctbal", "c_nationkey"]).withColumnRenamed("row", "doc").withColumn("row", F.lit(0))
+    return tables.column_order(grid, ["doc"]).select(F.col("doc").alias("row"), "col", "new_col")
