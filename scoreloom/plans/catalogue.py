@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, kernels, numbers, text
-from ..operators import aggregate, align, compare, confidence, gates, grounding, jsontree, layout, rules, scoring, tables
+from ..operators import aggregate, align, compare, confidence, evidence, gates, grounding, jsontree, layout, rules, scoring, tables
+from ..sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -663,3 +664,59 @@ def admission_first_failing(t):
 def table_column_order(t):
     grid = tables.as_cells(t("customer"), "c_custkey", ["c_name", "c_acctbal", "c_nationkey"]).withColumnRenamed("row", "doc").withColumn("row", F.lit(0))
     return tables.column_order(grid, ["doc"]).select(F.col("doc").alias("row"), "col", "new_col")
+
+
+# --- evidence and adapters -----------------------------------------------------------------------------------------------------
+
+
+@query("""with x as (select c_custkey k, c_name a, case when c_custkey % 3 = 0 then upper(c_name) when c_custkey % 3 = 1 then c_name || ' x' else '' end b from customer)
+select k as c_custkey, a = b as exact, lower(a) = lower(b) as case_insensitive, case when b = '' then false else contains(lower(b), lower(a)) end as substring from x""")
+def evidence_comparators(t):
+    k, a = F.col("c_custkey") % 3, F.col("c_name")
+    b = F.when(k == 0, F.upper(a)).when(k == 1, F.concat(a, F.lit(" x"))).otherwise("")
+    return t("customer").select("c_custkey", *[evidence.compare(c, a, b).alias(c) for c in ("exact", "case_insensitive", "substring")])
+
+
+@query("""with x as (select p_partkey k, p_retailprice e, case p_partkey % 3 when 0 then p_retailprice * 1000 when 1 then p_retailprice * 1.5 else p_retailprice end g from part)
+select k as p_partkey, round(case when k % 3 = 0 then 1 when k % 3 = 1 then greatest(0, 1 - abs(e - g) / e) else 1 end, 4) as score from x""")
+def chart_values(t):
+    k, e = F.col("p_partkey") % 3, F.col("p_retailprice")
+    given = F.when(k == 0, e * 1000).when(k == 1, e * 1.5).otherwise(e)
+    return t("part").select("p_partkey", F.round(evidence.chart_number(F.format_number(e, 2), F.format_number(given, 4)), 4).alias("score"))
+
+
+@query("""with a as (select o_custkey, list(distinct o_orderpriority) a, list(distinct o_orderstatus) s, list(distinct case when o_orderkey % 2 = 0 then o_orderpriority end) b from orders group by 1)
+select o_custkey, len(list_intersect(a, b)) >= 2 as two, len(list_intersect(a, b)) = len(a) as full from a""")
+def evidence_sets(t):
+    some = F.collect_set(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")))
+    sets = t("orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("a"), some.alias("b"))
+    return sets.select("o_custkey", evidence.covered(F.col("a"), F.col("b"), least=2).alias("two"), evidence.covered(F.col("a"), F.col("b"), exhaustive=True).alias("full"))
+
+
+@query("""select n_nationkey, n_nationkey % 2 = 0 as bold, n_nationkey % 3 = 0 as heading from nation""")
+def formatting_rules(t):
+    k = F.col("n_nationkey")
+    marked = F.concat(F.when(k % 3 == 0, "# some title\n").otherwise("x\n"), F.when(k % 2 == 0, "a **bold phrase** here").otherwise("a bold phrase here"))
+    return t("nation").select("n_nationkey", evidence.is_formatted(marked, "bold phrase", "bold").alias("bold"), evidence.is_formatted(marked, "some title", "heading").alias("heading"))
+
+
+@query("""select event_id, case when event_id % 4 = 0 then '$.k: not integer' else '$.z: not allowed' end as violation from events where json_exists(props, '$.k') and event_id % 4 < 2""")
+def schema_validation(t):
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}, "additionalProperties": False}
+    r = F.col("event_id") % 4
+    props = F.when(r == 0, F.replace("props", F.lit('"k": '), F.lit('"k": 0.'))).when(r == 1, F.replace("props", F.lit('"k"'), F.lit('"z": 1, "k"'))).otherwise(F.col("props"))
+    return evidence.schema_violations(t("events").withColumn("props", props), "event_id", "props", schema)
+
+
+@query("""select vec_id, 1 as page, 'Text' as label, round(abs(embedding[1]::double), 6) x0, round(abs(embedding[2]::double), 6) y0 from embeddings""")
+def layout_adapter(t):
+    e = lambda i: F.abs(F.col("embedding")[i].cast("double"))
+    raw = F.to_json(F.struct(F.array(F.struct(F.lit("Text").alias("BlockType"), F.lit(1).alias("Page"), F.struct(F.struct(e(0).alias("Left"), e(1).alias("Top"), F.lit(0.1).alias("Width"), F.lit(0.1).alias("Height")).alias("BoundingBox")).alias("Geometry"))).alias("Blocks")))
+    spec = adapters.Spec("Blocks[]", "Geometry.BoundingBox", "BlockType", "Text", page="Page", form="ltwh")
+    return adapters.layouts(t("embeddings").select("vec_id", raw.alias("raw")), "vec_id", "raw", spec).select("vec_id", "page", "label", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
+
+
+@query("""select vec_id, case label % 3 when 0 then 'heading' when 1 then 'table' else 'other' end as "class" from embeddings""")
+def layout_label_mapping(t):
+    raw = F.element_at(F.array(F.lit("Title"), F.lit("Table"), F.lit("Unknown")), (F.col("label") % 3 + 1).cast("int"))
+    return layout.to_classes(t("embeddings").select("vec_id", raw.alias("label"))).select("vec_id", "class")

@@ -1,0 +1,113 @@
+"""Provider layouts to one form: boxes in 0..1, with page, label, text and score.
+
+A provider's JSON is described, not coded: where its items are, and what their fields mean.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+LAYOUT = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("item", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "x1", "y1")]])
+
+
+@dataclass(frozen=True)
+class Spec:
+    """``items``: path to the items, [] where a list is walked. ``form`` of the box: xyxy, xywh, ltwh (an object), points (list of pairs or x/y objects), flat (x, y, x, y, ...)."""
+
+    items: str
+    box: str
+    label: str
+    text: str
+    page: str | None = None
+    score: str | None = None
+    form: str = "xyxy"
+    width: str | None = None  # path from the page of what boxes are divided by; None: they are in 0..1
+    height: str | None = None
+    keep: tuple[str, ...] = ()
+
+
+# fixed values: published response formats of providers
+SPECS = {
+    "boxes": Spec("pages[].items[]", "bbox", "label", "text", score="score"),
+    "textract": Spec("Blocks[]", "Geometry.BoundingBox", "BlockType", "Text", page="Page", score="Confidence", form="ltwh", keep=("LINE", "TABLE", "LAYOUT_TITLE", "LAYOUT_TEXT", "LAYOUT_TABLE", "LAYOUT_FIGURE", "LAYOUT_HEADER", "LAYOUT_FOOTER", "LAYOUT_SECTION_HEADER", "LAYOUT_LIST")),
+    "document_ai": Spec("document.pages[].blocks[]", "layout.boundingPoly.normalizedVertices", "type", "text", score="layout.confidence", form="points"),
+    "document_intelligence": Spec("analyzeResult.pages[].lines[]", "polygon", "role", "content", form="flat", width="width", height="height"),
+    "unstructured": Spec("[]", "metadata.coordinates.points", "type", "text", page="metadata.page_number", form="points", width="metadata.coordinates.layout_width", height="metadata.coordinates.layout_height"),
+}
+
+
+def get(value, path: str | None):
+    if path is None:
+        return None
+    for part in path.split("."):
+        if part and value is not None:
+            value = value.get(part) if isinstance(value, dict) else None
+    return value
+
+
+def walk(value, path: str, parent=None) -> Iterator[tuple]:
+    """(item, the page it is in, number of the page) along a path."""
+    head, _, rest = path.partition("[]")
+    value = get(value, head.strip("."))
+    if not isinstance(value, list):
+        return
+    for i, x in enumerate(value):
+        if rest:
+            yield from ((item, x, i + 1) for item, _, _ in walk(x, rest))
+        else:
+            yield x, parent if parent is not None else x, 1
+
+
+def box(raw, form: str) -> tuple[float, float, float, float] | None:
+    if form == "ltwh":
+        raw = [raw.get(k) for k in ("Left", "Top", "Width", "Height")] if isinstance(raw, dict) else raw
+    if not raw or any(v is None for v in raw):
+        return None
+    if form in ("ltwh", "xywh"):
+        return raw[0], raw[1], raw[0] + raw[2], raw[1] + raw[3]
+    if form == "points":
+        pairs = [(p.get("x", 0), p.get("y", 0)) if isinstance(p, dict) else (p[0], p[1]) for p in raw]
+    elif form == "flat":
+        pairs = list(zip(raw[::2], raw[1::2], strict=True))
+    else:
+        return tuple(raw[:4])
+    xs, ys = zip(*pairs, strict=True)
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def layout(document: str | None, spec: Spec) -> Iterator[tuple]:
+    """Rows of LAYOUT; what has no box is left out, and a text that is no JSON has no rows."""
+    try:
+        value = json.loads(document) if document else None
+    except ValueError:
+        return
+    if spec.items == "[]":
+        value, path = {"_": value}, "_[]"
+    else:
+        path = spec.items
+    for n, (item, page, number) in enumerate(walk(value, path)):
+        label, b = get(item, spec.label), box(get(item, spec.box), spec.form)
+        if b is None or spec.keep and label not in spec.keep:
+            continue
+        of = item if spec.page and spec.width else page
+        w, h = (get(of, spec.width) or 1, get(of, spec.height) or 1) if spec.width else (1, 1)
+        score = get(item, spec.score)
+        yield int(get(item, spec.page) or number) if spec.page else number, n, label, get(item, spec.text), None if score is None else float(score), b[0] / w, b[1] / h, b[2] / w, b[3] / h
+
+
+def layouts(docs: DataFrame, key: str, column: str, provider: str | Spec) -> DataFrame:
+    """key and the layout rows of every document."""
+    spec = SPECS[provider] if isinstance(provider, str) else provider
+
+    @F.udtf(returnType=LAYOUT)
+    class Rows:
+        def eval(self, document: str):
+            yield from layout(document, spec)
+
+    return docs.select(key, F.col(column).alias("_json")).lateralJoin(Rows(F.col("_json").outer())).select(key, *LAYOUT.names)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import geometry, numbers, text
-from scoreloom.operators import align, confidence, gates, jsontree, rules, tables
-from scoreloom.sources import cases
+from scoreloom.operators import align, confidence, evidence, gates, jsontree, rules, tables
+from scoreloom.sources import adapters, cases
 from scoreloom.streaming import score_stream
 
 
@@ -107,3 +107,28 @@ def test_streaming_append_is_exactly_once(spark, tmp_path):
     for _ in range(2):
         score_stream.append_log(score_stream.scores(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+@pytest.mark.parametrize(("kind", "a", "b", "want"), [
+    ("number", "$1,000.00", "1000", True), ("number", "1", "2", False), ("date", "2024-03-01", "01/03/2024", True), ("phone", "+1 (212) 555-1234", "212.555.1234", True),
+    ("boolean", "Yes", "true", True), ("boolean", "no", "true", False), ("exact", None, " ", True), ("exact", "a", None, False), ("substring", "ab", "xaby", True),
+])
+def test_evidence(spark, kind, a, b, want):
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(evidence.compare(kind, F.col("a"), F.col("b"))).first()[0] is want
+
+
+def test_schema_with_references():
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"$ref": "#/defs/n"}, "b": {"type": "array", "items": {"anyOf": [{"type": "string"}, {"type": "null"}]}}}, "defs": {"n": {"type": ["number", "null"]}}}
+    assert evidence.violations({"a": None, "b": ["x", None]}, schema) == []
+    assert evidence.violations({"a": True, "b": [1]}, schema) == ["$.a: not number/null", "$.b[0]: none of anyOf"]
+    assert evidence.violations({}, schema) == ["$.a: missing"]
+
+
+def test_adapters_reach_one_form():
+    flat = '{"analyzeResult":{"pages":[{"width":10,"height":20,"lines":[{"content":"t","polygon":[1,2,3,2,3,4,1,4]}]}]}}'
+    assert list(adapters.layout(flat, adapters.SPECS["document_intelligence"])) == [(1, 0, None, "t", None, 0.1, 0.1, 0.3, 0.2)]
+    points = '{"document":{"pages":[{"blocks":[]},{"blocks":[{"type":"p","text":"u","layout":{"confidence":0.5,"boundingPoly":{"normalizedVertices":[{"x":0.1,"y":0.2},{"x":0.3,"y":0.4}]}}}]}]}}'
+    assert list(adapters.layout(points, adapters.SPECS["document_ai"])) == [(2, 0, "p", "u", 0.5, 0.1, 0.2, 0.3, 0.4)]
+    elements = '[{"type":"Title","text":"v","metadata":{"page_number":3,"coordinates":{"points":[[0,0],[0,5],[10,5],[10,0]],"layout_width":100,"layout_height":50}}},{"type":"x"}]'
+    assert list(adapters.layout(elements, adapters.SPECS["unstructured"])) == [(3, 0, "Title", "v", None, 0, 0, 0.1, 0.1)]
+    assert list(adapters.layout("no", adapters.SPECS["boxes"])) == [] == list(adapters.layout(None, adapters.SPECS["boxes"]))
