@@ -139,7 +139,9 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     takes = scratch.table(takes.where("(rounds > 0 or spans is not null) and size > 0"), "takes")
     both = numbered.dropDuplicates(["_row", "doc_id"]).join(takes.hint("merge"), same(F.col("r"), F.col("d")))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
+    # within an array of one the text is cut into words once, not once a span
+    cut = lambda ws: F.flatten(F.transform("spans", lambda s: F.slice(ws, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
+    part = F.array_join(F.transform(F.array(words), cut)[0], "")
     texts = F.concat(F.array_repeat(F.col("text"), F.col("rounds").cast("int")), F.when(F.col("spans").isNull(), F.array().cast("array<string>")).otherwise(F.array(part)))
     out = both.withColumn("text", F.explode(texts))
     if "n_chars" in docs.columns:
