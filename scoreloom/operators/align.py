@@ -68,3 +68,37 @@ def assign(true: DataFrame, predicted: DataFrame, group: str, row: str, fields:
     kind = dict(true.dtypes)[group]
     found = sides[0].cogroup(sides[1]).applyInPandas(run, f"{group} {kind}, true_row bigint, predicted_row bigint, n_same bigint, complete boolean")
     return equal.select(group, "true_row", "predicted_row", F.lit(len(fields)).cast("long").alias("n_same"), F.lit(True).alias("complete")).unionByName(found)
+
+
+def key_quality(true: DataFrame, predicted: DataFrame, fields: list[str]) -> DataFrame:
+    """How well each field would do as a key: the share of distinct values on either side and their overlap, best first.
+
+    A field may serve from a distinct share of 0.9 and an overlap of 0.2 on (``usable``). One pass a side: fields are laid out as rows.
+    """
+
+    def values(d: DataFrame, n: str) -> DataFrame:
+        named = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+        return d.select(F.explode(named).alias("x")).select("x.*").where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias(n))
+
+    both = values(true, "a").join(values(predicted, "b"), ["field", "value"], "full").fillna(0, ["a", "b"])
+    have = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    met = F.sum(((F.col("a") > 0) & (F.col("b") > 0)).cast("long"))
+    ratio = lambda x, y: F.round(F.when(y > 0, x / y).otherwise(0.0), 6)
+    t = both.groupBy("field").agg(ratio(have("a"), F.sum("a")).alias("unique_true"), ratio(have("b"), F.sum("b")).alias("unique_predicted"), ratio(met, F.least(have("a"), have("b"))).alias("overlap"))
+    return t.withColumn("usable", (F.col("unique_true") >= 0.9) & (F.col("unique_predicted") >= 0.9) & (F.col("overlap") >= 0.2))
+
+
+def distinctive(true: DataFrame, predicted: DataFrame, row: str, fields: list[str]) -> DataFrame:
+    """Rows that share values which occur once on either side; each true row takes the partner with most of them, the smaller row of equals.
+
+    A partner that several rows would take goes to the one with most shared values.
+    """
+
+    def once(d: DataFrame, to: str) -> DataFrame:
+        named = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+        flat = d.select(F.col(row).alias(to), F.explode(named).alias("x")).select(to, "x.*").where("value is not null")
+        return flat.groupBy("field", "value").agg(F.min(to).alias(to), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+
+    votes = once(true, "true_row").join(once(predicted, "predicted_row"), ["field", "value"]).groupBy("true_row", "predicted_row").agg(F.count(F.lit(1)).alias("n_shared"))
+    best = votes.groupBy("true_row").agg(F.max_by(F.struct("predicted_row", "n_shared"), F.struct("n_shared", -F.col("predicted_row"))).alias("x")).select("true_row", "x.*")
+    return best.groupBy("predicted_row").agg(F.max_by(F.struct("true_row", "n_shared"), F.struct("n_shared", -F.col("true_row"))).alias("x")).select("x.true_row", "predicted_row", "x.n_shared")

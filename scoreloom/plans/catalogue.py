@@ -720,3 +720,29 @@ def layout_adapter(t):
 def layout_label_mapping(t):
     raw = F.element_at(F.array(F.lit("Title"), F.lit("Table"), F.lit("Unknown")), (F.col("label") % 3 + 1).cast("int"))
     return layout.to_classes(t("embeddings").select("vec_id", raw.alias("label"))).select("vec_id", "class")
+
+
+# --- keys and values of alignment ----------------------------------------------------------------------------------------------
+
+HALVES = "a as (select p_partkey k, p_name n, p_retailprice::varchar r, p_size::varchar s from part where p_partkey % 3 <> 0), b as (select p_partkey + 100000 k, p_name n, p_retailprice::varchar r, p_size::varchar s from part where p_partkey % 3 <> 1)"
+
+
+def _halves(t):
+    part = t("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("n"), F.col("p_retailprice").cast("string").alias("r"), F.col("p_size").cast("string").alias("s"))
+    return part.where("k % 3 <> 0"), part.where("k % 3 <> 1").withColumn("k", F.col("k") + 100000)
+
+
+@query(f"""with {HALVES}, x as (select 'n' field, n v, 1 a, 0 b from a union all select 'n', n, 0, 1 from b union all select 'r', r, 1, 0 from a union all select 'r', r, 0, 1 from b union all select 's', s, 1, 0 from a union all select 's', s, 0, 1 from b),
+y as (select field, v, sum(a) a, sum(b) b from x where v is not null group by 1, 2),
+z as (select field, round(sum((a > 0)::int) / sum(a), 6) unique_true, round(sum((b > 0)::int) / sum(b), 6) unique_predicted, round(sum((a > 0 and b > 0)::int) / least(sum((a > 0)::int), sum((b > 0)::int)), 6) overlap from y group by 1)
+select *, unique_true >= 0.9 and unique_predicted >= 0.9 and overlap >= 0.2 as usable from z""")
+def inferred_key_quality(t):
+    return align.key_quality(*_halves(t), ["n", "r", "s"])
+
+
+@query(f"""with {HALVES}, u as (select 'r' f, r v, min(k) k from a group by 1, 2 having count(*) = 1 union all select 'n', n, min(k) from a group by 1, 2 having count(*) = 1),
+w as (select 'r' f, r v, min(k) k from b group by 1, 2 having count(*) = 1 union all select 'n', n, min(k) from b group by 1, 2 having count(*) = 1),
+o as (select u.k t, w.k p, count(*) c from u join w using (f, v) group by 1, 2), x as (select *, row_number() over (partition by t order by c desc, p) r from o), y as (select *, row_number() over (partition by p order by c desc, t) q from x where r = 1)
+select t as true_row, p as predicted_row, c as n_shared from y where q = 1""")
+def distinctive_value_alignment(t):
+    return align.distinctive(*_halves(t), "k", ["r", "n"])
