@@ -89,3 +89,33 @@ def answer_matches(expected: Column, said: Column, tolerance: float = 0.0) -> Co
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", " "), r" +", " "))
     a, b = expected.try_cast("double"), said.try_cast("double")
     return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= tolerance).otherwise(plain(expected) == plain(said))
+
+
+def code_blocks(markdown: Column) -> Column:
+    """(language, code) of the fenced blocks of a markdown text."""
+    blocks = F.regexp_extract_all(markdown, F.lit(r"(?ms)^```[^\n]*\n.*?^```"), F.lit(0))
+    return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, r"^```([^\n]*)", 1)).alias("language"), F.regexp_extract(b, r"(?s)^```[^\n]*\n(.*)```$", 1).alias("code")))
+
+
+def formulas(markdown: Column) -> Column:
+    """The formulas of a text, between $$ or \\[ \\] or $, without white space."""
+    found = F.regexp_extract_all(markdown, F.lit(r"(?s)\$\$.+?\$\$|\\\[.+?\\\]|\$[^$\n]+\$"), F.lit(0))
+    return F.transform(found, lambda f: F.regexp_replace(f, r"^\$+|^\\\[|\$+$|\\\]$|\s+", ""))
+
+
+def marked(html: Column, colour: str) -> Column:
+    """What is marked in a colour."""
+    return F.regexp_extract_all(html, F.lit(rf'(?is)<mark[^>]*{colour}[^>]*>(.*?)</mark>'), F.lit(1))
+
+
+def in_section(html: Column, section: str, wanted: Column) -> Column:
+    """A text stands in the header or footer of a page."""
+    parts = F.regexp_extract_all(html, F.lit(rf"(?is)<{section}[^>]*>.*?</{section}>"), F.lit(0))
+    return F.exists(parts, lambda p: presence(text.strip_tags(p), wanted))
+
+
+def repeats(document: Column, n: int = 20, most: int = 5) -> Column:
+    """A line of some length that comes more than ``most`` times: a sign of a generator that ran on."""
+    lines = F.filter(F.transform(F.split(document, r"\n"), F.trim), lambda x: F.length(x) >= n)
+    counted = F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)))
+    return F.coalesce(F.array_max(counted), F.lit(0)) > most

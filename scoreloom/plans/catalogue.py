@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, kernels, numbers, text
-from ..operators import aggregate, align, compare, confidence, evidence, gates, grounding, jsontree, layout, rules, scoring, tables
+from ..operators import aggregate, align, compare, confidence, evidence, gates, grounding, jsontree, layout, rules, scoring, table_rules, tables
 from ..sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -746,3 +746,39 @@ o as (select u.k t, w.k p, count(*) c from u join w using (f, v) group by 1, 2),
 select t as true_row, p as predicted_row, c as n_shared from y where q = 1""")
 def distinctive_value_alignment(t):
     return align.distinctive(*_halves(t), "k", ["r", "n"])
+
+
+# --- rules over cells and markup -----------------------------------------------------------------------------------------------
+
+
+@query(f"""with {GRID}, k as (select n_regionkey, r.n_nationkey, r.n_name, row_number() over (partition by n_regionkey order by n_nationkey) i from nation r),
+rules as (select n_regionkey, n_nationkey * 10 + j as rule, j, n_nationkey, n_name from k, unnest([0, 1, 2, 3]) u(j))
+select n_regionkey, rule, j <> 3 as passed from rules""")
+def table_relation_rules(t):
+    wanted = F.array(
+        F.struct(F.lit(0).alias("j"), F.lit("adjacent_right").alias("kind"), F.col("n_nationkey").cast("string").alias("anchor"), F.col("n_name").alias("other")),
+        F.struct(F.lit(1).alias("j"), F.lit("top_header").alias("kind"), F.col("n_name").alias("anchor"), F.lit("name").alias("other")),
+        F.struct(F.lit(2).alias("j"), F.lit("same_column").alias("kind"), F.lit("key").alias("anchor"), F.col("n_nationkey").cast("string").alias("other")),
+        F.struct(F.lit(3).alias("j"), F.lit("adjacent_left").alias("kind"), F.col("n_nationkey").cast("string").alias("anchor"), F.col("n_name").alias("other")),
+    )
+    asked = t("nation").select("n_regionkey", "n_nationkey", F.explode(wanted).alias("x")).select("n_regionkey", (F.col("n_nationkey") * 10 + F.col("x.j")).alias("rule"), "x.kind", "x.anchor", "x.other")
+    return table_rules.relations(asked, tables.cells(_nation_tables(t), "n_regionkey", "markup"), "n_regionkey", least=0.95)
+
+
+@query("""select r_regionkey as n_regionkey, j as rule, case j when 0 then n = 5 when 1 then true else false end as passed
+from region join (select n_regionkey, count(*) n from nation group by 1) on n_regionkey = r_regionkey, unnest([0, 1, 2]) u(j)""")
+def table_size_rules(t):
+    rule = F.explode(F.array(*[F.struct(F.lit(j).alias("rule"), F.lit(r).cast("int").alias("n_rows"), F.lit(c).cast("int").alias("n_cols")) for j, (r, c) in enumerate([(6, 2), (None, 2), (None, 3)])]))
+    asked = t("region").select(F.col("r_regionkey").alias("n_regionkey"), rule.alias("x")).select("n_regionkey", "x.*")
+    return table_rules.sizes(asked, tables.cells(_nation_tables(t), "n_regionkey", "markup"), "n_regionkey")
+
+
+@query("""select n_nationkey, 'sql' as language, 'select ' || n_nationkey || chr(10) as code, 'x_' || n_nationkey || '=1' as formula, n_name as marked, true as footer, n_nationkey % 2 = 0 as repeats from nation""")
+def markup_rules(t):
+    k = F.col("n_nationkey").cast("string")
+    line = F.when(F.col("n_nationkey") % 2 == 0, F.repeat(F.lit("a line that a generator repeats\n"), 9)).otherwise("\n")
+    doc = F.concat(F.lit("text\n```sql\nselect "), k, F.lit("\n```\nso $$x_"), k, F.lit(" = 1$$ and <mark style=\"background:red\">"), F.col("n_name"), F.lit("</mark>\n"), line, F.lit("<footer><b>page "), k, F.lit("</b></footer>"))
+    d = t("nation").select("n_nationkey", "n_name", doc.alias("d"))
+    code = rules.code_blocks(F.col("d"))[0]
+    return d.select("n_nationkey", code["language"].alias("language"), code["code"].alias("code"), rules.formulas(F.col("d"))[0].alias("formula"), rules.marked(F.col("d"), "red")[0].alias("marked"),
+                    rules.in_section(F.col("d"), "footer", F.concat(F.lit("page "), F.col("n_nationkey").cast("string"))).alias("footer"), rules.repeats(F.col("d")).alias("repeats"))
