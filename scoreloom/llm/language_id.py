@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, held_out, record_batch
+from .shared import documents, held_out, record_batch, small_batches
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -171,5 +171,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = documents(spark, sf_dir)
     return identify(docs, train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))

@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return set_.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and Python; texts are long, and both sides hold a batch or two.
+BATCH_BYTES = 12 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_BYTES, never raises it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b")) if spark.conf.get(name).rstrip("b").lstrip("-").isdigit() else None
+    if now is None or now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables and files of one operator call under the shared folder.
 
@@ -37,6 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scoreloom/{name}-{uuid.uuid4().hex[:12]}"
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, held_out, record_batch, slices
+from .shared import documents, held_out, record_batch, slices, small_batches
 
 HASHES = 1 << 18
 ORDERS = (4, 5)
@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def model_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
+    small_batches(spark)
     may = ~held_out(F.col("doc_id"))
     return train(docs.where(may).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").where(may).select("doc_id", "toxic"))
 
