@@ -36,7 +36,7 @@ ISLANDS, ROUNDS, POPULATION, CROSSOVERS = 2, 2, 4, 6
 #: Bins filled less than this go to the last packing, of the leavings of TAILS shards at once.
 TAIL_FILL, TAILS = 0.97, 256
 #: Chunks whose ids a task remembers; when they are so many, it begins anew.
-MEMO = 300_000
+MEMO = 500_000
 #: Bytes of text that are encoded at once.
 SLICE = 3 << 20
 #: Lower-case Latin-1 letters: the normaliser leaves them, and a chunk of them is one pre-token.
