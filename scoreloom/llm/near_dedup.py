@@ -11,6 +11,11 @@ Round 2 takes the blocks of all trees in which more than one component meets and
 from different components whose signatures agree on ESTIMATE or more of their digits. Pairs within a component
 cannot change a result and are left out. Components come from label propagation with shortcuts, in tables.
 
+Round 3 takes the classes of regions that were dealt by hash, for two of them need not have met. A prefix-filter join over these classes
+alone: each has its rarest shingles as keys, as many as leave no pair of 0.8 without a common one, and all members of a key that are of
+different components are compared, with bounds on size and position, in tiles of LOT by LOT. Of such pairs only those with under SURE of their digits
+in common are not tried on full sets (a chance of 1e-11 for a pair at 0.8).
+
 Recall: a pair at 0.8 exactly misses a block of ROOT digits in all 16 trees with probability (1 - 0.8^4)^16 = 0.0002.
 
 Defined cases: without words or text the set is empty and links with nothing (the document is its own component); with fewer
@@ -34,6 +39,8 @@ from .shared import Scratch, documents, joined_bytes, mixed, partitions, record_
 
 TREES, ROOT, DEPTH, DEEPEST = 16, 4, 7, 12
 MOST, FIRST, ESTIMATE = 128, 2, 0.64
+#: Of round 3: members of a side of a tile, the least share of equal digits, and bits of a shingle that count its frequency.
+LOT, SURE, COUNTED = 512, 0.5, 18
 #: Similarity as a share: 100 * intersection >= 80 * union.
 SHARE = (80, 100)
 SLICE = 2 << 20
@@ -135,12 +142,12 @@ def digit(depth: int) -> F.Column:
     return F.substring(F.col("sig"), (2 * at + 1).cast("int"), F.lit(2))
 
 
-def blocks_of(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """block, tree, digest: the neighbourhoods of all trees. ``nodes``: digest, sig, ..."""
+def blocks_of(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """block, tree, digest: the neighbourhoods of all trees; and digest of the classes whose region was dealt by hash, if any. ``nodes``: digest, sig, ..."""
     trees = nodes.select("digest", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"))
     # digits of one region are consecutive bytes
     root = F.xxhash64("tree", F.substring(F.col("sig"), (2 * DEPTH * F.col("tree") + 1).cast("int"), F.lit(2 * ROOT)))
-    level, done = trees.select(root.alias("region"), "tree", "digest"), []
+    level, done, cut = trees.select(root.alias("region"), "tree", "digest"), [], None
     for depth in range(ROOT, DEEPEST + 1):
         # written before they are joined, so that the join of a hot region stands alone and Spark can split it
         level = scratch.table(level, f"keyed-{depth}") if done else level
@@ -151,6 +158,7 @@ def blocks_of(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         if large.isEmpty():
             break
         if depth == DEEPEST:
+            cut = scratch.table(large.select("digest").distinct(), "cut")
             lot = F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("size") / MOST))
             done.append(large.select(F.xxhash64("region", lot).alias("block"), "tree", "digest"))
         else:
@@ -159,7 +167,7 @@ def blocks_of(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out, cut
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFrame]:
@@ -198,13 +206,13 @@ class Forest:
         return a != b
 
 
-def estimates(t: pa.Table) -> Iterator[tuple[int, int]]:
-    """Pairs of members whose signatures agree on ESTIMATE of the digits or more and whose sizes allow a link, best first."""
+def estimates(t: pa.Table, least: float = ESTIMATE, also: np.ndarray | bool = True) -> Iterator[tuple[int, int]]:
+    """Pairs of members whose signatures agree on ``least`` of the digits or more and whose sizes (and ``also``) allow a link, best first."""
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1)
     n = np.asarray(t.column("n"))
     same = np.stack([(sig == s).sum(axis=1) for s in sig])
     fits = np.minimum(n[:, None], n[None]) * SHARE[1] >= SHARE[0] * np.maximum(n[:, None], n[None])
-    i, j = np.nonzero(np.triu(fits & (same >= ESTIMATE * sig.shape[1]), 1))
+    i, j = np.nonzero(np.triu(fits & also & (same >= least * sig.shape[1]), 1))
     order = np.argsort(-same[i, j], kind="stable")
     return zip(i[order].tolist(), j[order].tolist(), strict=True)
 
@@ -240,20 +248,92 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(t: pa.Table, column: str) -> np.ndarray:
+    """Equal values of a column as equal numbers."""
+    seen: dict = {}
+    return np.array([seen.setdefault(x, len(seen)) for x in t.column(column).to_pylist()])
+
+
+def _across(least: float):
     """By block: links between members of different components, found on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "block"):
+            labels, ids = _numbers(t, "label"), t.column("digest").to_pylist()
+            if labels.any():
+                sets, forest, seen, out = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], Forest(len(ids)), {}, []
+                for i, label in enumerate(labels.tolist()):
+                    forest.join(i, seen.setdefault(label, i))
+                for i, j in estimates(t, least, labels[:, None] != labels[None]):
+                    if forest.root(i) != forest.root(j) and similar(sets[i], sets[j]):
+                        forest.join(i, j)
+                        out.append((ids[i], ids[j]))
+                if out:
+                    yield _edges(out)
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = np.frombuffer(b"".join(b.column("set").to_pylist()), np.uint64) >> np.uint64(64 - COUNTED)
+        at, n = np.unique(x.astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
+
+
+def keys_of(sets: DataFrame) -> DataFrame:
+    """key, digest, label, place of each class: its rarest shingles, in one order for all; those that no other class can have are left out.
+
+    How often a shingle occurs is counted by its first COUNTED bits, a table of a fixed size; any order gives the same links.
+    """
+    often = np.zeros(1 << COUNTED, np.int64)
+    found = sets.select("set").mapInArrow(_counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    often[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    often = np.minimum(often, (1 << 31) - 1).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, label, x in zip(*[b.column(c).to_pylist() for c in ("digest", "label", "set")], strict=True):
+                s = np.frombuffer(x, np.uint64)
+                n = often[s >> np.uint64(64 - COUNTED)]
+                place = np.lexsort((s, n))[: len(s) + SHARE[0] * -len(s) // SHARE[1] + 1]
+                at = np.flatnonzero(n[place] > 1)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(s[place[at]].view(np.int64)), pa.array([d] * len(at), pa.binary()), pa.array([label] * len(at), pa.binary()), pa.array(at, pa.int64())], names=["key", "digest", "label", "place"]
+                    )
+
+    return sets.select("digest", "label", "set").mapInArrow(run, "key bigint, digest binary, label binary, place bigint")
+
+
+def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By tile: the members of some pair that is to be tried on full sets."""
     for t in groups(batches, "block"):
-        labels, ids = t.column("label").to_pylist(), t.column("digest").to_pylist()
-        if len(set(labels)) > 1:
-            sets, forest, seen, out = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], Forest(len(ids)), {}, []
-            for i, label in enumerate(labels):
-                forest.join(i, seen.setdefault(label, i))
-            for i, j in estimates(t):
-                if forest.root(i) != forest.root(j) and similar(sets[i], sets[j]):
-                    forest.join(i, j)
-                    out.append((ids[i], ids[j]))
-            if out:
-                yield _edges(out)
+        labels = _numbers(t, "label")
+        if labels.any():
+            lot, n, place = (np.asarray(t.column(c)) for c in ("lot", "n", "place"))
+            most = np.minimum(place[:, None], place[None]) + np.minimum((n - place)[:, None], (n - place)[None])
+            also = (labels[:, None] != labels[None]) & (sum(SHARE) * most >= SHARE[0] * (n[:, None] + n[None]))
+            if (lot != lot[0]).any():  # pairs of one lot have a tile of their own
+                also &= lot[:, None] != lot[None]
+            at = sorted({i for p in estimates(t, SURE, also) for i in p})
+            if at:
+                yield pa.RecordBatch.from_arrays([t.column(c).take(pa.array(at)).combine_chunks() for c in ("block", "digest")], names=["block", "digest"])
+
+
+def completed(cut: DataFrame, labels: DataFrame, about: DataFrame, sets: DataFrame, scratch: Scratch, spark: SparkSession) -> DataFrame:
+    """Links between different components among the classes of ``cut``: a prefix-filter join."""
+    named = cut.join(labels.hint("merge"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    named = scratch.table(named, "cut-labels")
+    keys = scratch.table(keys_of(named.join(sets.hint("merge"), "digest")), "keys")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    met = scratch.table(met.select("key", F.ceil(F.col("size") / LOT).alias("lots")), "met-keys")
+    lot = F.pmod(F.xxhash64("digest"), F.col("lots"))
+    laid = keys.join(met.hint("merge"), "key").withColumn("lot", lot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    laid = laid.withColumn("block", F.xxhash64("key", F.least("lot", "other"), F.greatest("lot", "other"))).join(about.hint("merge"), "digest")
+    tiles = scratch.table(by_block(laid.select("block", "digest", "label", "lot", "place", "n", "sig"), spark).mapInArrow(_tried, "block bigint, digest binary"), "tiles")
+    full = tiles.join(named.hint("merge"), "digest").join(about.hint("merge"), "digest").join(sets.hint("merge"), "digest")
+    return by_block(full.select("block", "digest", "label", "n", "sig", "set"), spark).mapInArrow(_across(SURE), EDGES).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -283,11 +363,13 @@ def linked(docs: DataFrame, spark: SparkSession, k: int, name: str) -> DataFrame
     rows = scratch.table(signed(docs, k), "signed")
     nodes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
     nodes = scratch.table(nodes.select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.sig"), "nodes")
-    blocks = scratch.table(blocks_of(nodes, scratch), "blocks")
+    blocks, cut = blocks_of(nodes, scratch)
+    blocks = scratch.table(blocks, "blocks")
     about = nodes.select("digest", "n", "sig")
     laid = by_block(blocks.join(about.hint("merge"), "digest").select("block", "tree", "digest", "n", "sig"), spark)
     hopeful = scratch.table(laid.mapInArrow(_hopeful, EDGES).distinct(), "hopeful")
-    needed = hopeful.where("a = b").select(F.col("a").alias("digest")).join(nodes.select("digest", "rep"), "digest")
+    needed = hopeful.where("a = b").select(F.col("a").alias("digest"))
+    needed = (needed.union(cut).distinct() if cut else needed).join(nodes.select("digest", "rep"), "digest")
     sets = scratch.table(sets_of(docs, needed, k), "sets")
     pairs = hopeful.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a").join(sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
@@ -299,10 +381,15 @@ def linked(docs: DataFrame, spark: SparkSession, k: int, name: str) -> DataFrame
     met = scratch.table(met, "met")
     mixed_ = met.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
     met = met.join(mixed_.hint("merge"), "block", "left_semi").join(about.hint("merge"), "digest").join(sets.hint("merge"), "digest")
-    more = by_block(met.select("block", "digest", "label", "n", "sig", "set"), spark).mapInArrow(_across, EDGES)
+    more = by_block(met.select("block", "digest", "label", "n", "sig", "set"), spark).mapInArrow(_across(ESTIMATE), EDGES)
     more = scratch.table(more.distinct(), "links-2")
     if not more.isEmpty():
-        labels = components(links.union(more), scratch, "components-2")
+        links = links.union(more)
+        labels = components(links, scratch, "components-2")
+    if cut:
+        last = scratch.table(completed(cut, labels, about, sets, scratch, spark), "links-3")
+        if not last.isEmpty():
+            labels = components(links.union(last), scratch, "components-3")
     least = nodes.select("digest", "rep").join(labels.hint("merge"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = scratch.table(least, "labelled")
     named = least.groupBy("label").agg(F.min("rep").alias("component_id"))
