@@ -2,7 +2,7 @@
 
 Documents with the same set are one class, of which one member goes on. Each class has TREES signatures, sorted orders in
 effect: the digits of a tree are minima of independent hash functions. Classes that share the first ROOT digits of a tree form a region;
-a region with more than MOST members is cut by its next digit, and so on (adaptive depth), and only what is still
+a region with more than MOST members is cut by its next STEP digits, and so on (adaptive depth), and only what is still
 larger after DEEPEST digits by a hash that differs between trees. So a block is a longest-common-prefix neighbourhood of at most about MOST
 classes, and no task holds a whole hot group.
 
@@ -11,12 +11,13 @@ Round 2 takes the blocks of all trees in which more than one component meets and
 from different components whose signatures agree on ESTIMATE or more of their digits. Pairs within a component
 cannot change a result and are left out. Components come from label propagation with shortcuts, in tables.
 
-Round 3 takes the classes of regions that were dealt by hash, for two of them need not have met. A prefix-filter join over these classes
+Round 3 takes the classes of all regions that were cut, by digits or by hash, for two of them need not have met. A prefix-filter join over these classes
 alone: each has its rarest shingles as keys, as many as leave no pair of 0.8 without a common one, and all members of a key that are of
 different components are compared, with bounds on size and position, in tiles of LOT by LOT. Of such pairs only those with under SURE of their digits
 in common are not tried on full sets (a chance of 1e-11 for a pair at 0.8).
 
-Recall: a pair at 0.8 exactly misses a block of ROOT digits in all 16 trees with probability (1 - 0.8^4)^16 = 0.0002.
+Recall: a pair at 0.8 exactly misses a region of ROOT digits in all 16 trees with probability (1 - 0.8^4)^16 = 0.0002; two classes that share
+a region which is cut are both in round 3, so a cut loses none of it.
 
 Defined cases: without words or text the set is empty and links with nothing (the document is its own component); with fewer
 words than the shingle length the whole sequence is the one shingle; repeated rows share their component, and ``dedup`` keeps one
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, documents, joined_bytes, mixed, partitions, record_batch, slices
 
-TREES, ROOT, DEPTH, DEEPEST = 16, 4, 7, 12
+TREES, ROOT, DEPTH, DEEPEST, STEP = 16, 4, 7, 12, 4
 MOST, FIRST, ESTIMATE = 128, 2, 0.64
 #: Of round 3: members of a side of a tile, the least share of equal digits, and bits of a shingle that count its frequency.
 LOT, SURE, COUNTED = 512, 0.5, 18
@@ -143,12 +144,12 @@ def digit(depth: int) -> F.Column:
 
 
 def blocks_of(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """block, tree, digest: the neighbourhoods of all trees; and digest of the classes whose region was dealt by hash, if any. ``nodes``: digest, sig, ..."""
+    """block, tree, digest: the neighbourhoods of all trees; and digest of the classes that had a region cut, if any. ``nodes``: digest, sig, ..."""
     trees = nodes.select("digest", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"))
     # digits of one region are consecutive bytes
     root = F.xxhash64("tree", F.substring(F.col("sig"), (2 * DEPTH * F.col("tree") + 1).cast("int"), F.lit(2 * ROOT)))
     level, done, cut = trees.select(root.alias("region"), "tree", "digest"), [], None
-    for depth in range(ROOT, DEEPEST + 1):
+    for depth in range(ROOT, DEEPEST + 1, STEP):
         # written before they are joined, so that the join of a hot region stands alone and Spark can split it
         level = scratch.table(level, f"keyed-{depth}") if done else level
         sizes = scratch.table(level.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{depth}")
@@ -157,13 +158,14 @@ def blocks_of(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
         large = level.where(F.col("size") > MOST)
         if large.isEmpty():
             break
-        if depth == DEEPEST:
+        if depth == ROOT:
             cut = scratch.table(large.select("digest").distinct(), "cut")
+        if depth + STEP > DEEPEST:
             lot = F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("size") / MOST))
             done.append(large.select(F.xxhash64("region", lot).alias("block"), "tree", "digest"))
         else:
             sig = nodes.select("digest", "sig")
-            level = large.join(sig.hint("merge"), "digest").select(F.xxhash64("region", digit(depth)).alias("region"), "tree", "digest")
+            level = large.join(sig.hint("merge"), "digest").select(F.xxhash64("region", *[digit(depth + i) for i in range(STEP)]).alias("region"), "tree", "digest")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

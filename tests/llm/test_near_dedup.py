@@ -63,13 +63,13 @@ def test_regions_above_the_limit(spark, monkeypatch):
     assert sorted((r.doc_id, r.n, r.component_id) for r in got) == brute(rows, 2)
 
 
-def family(seed, n):
-    """Twins at a little over 0.8, and between the pairs of twins about 0.6: all lie in the same large regions."""
+def family(seed, n, own=8):
+    """Twins at a little over 0.8, and less between the pairs of twins (0.6, or 0.7 if ``own`` is 12): all lie in the same large regions."""
     rng, rows = random.Random(seed), []
     base = [f"b{i}" for i in range(120)]
     for i in range(n):
         words = list(base)
-        for p in range(0, 120, 8):
+        for p in range(0, 120, own):
             words[p] = f"f{i}x{p}"
         rows.append((2 * i, " ".join(words)))
         for p in rng.sample(range(4, 120, 8), 6):
@@ -87,6 +87,13 @@ def test_regions_dealt_by_hash_are_completed(spark, monkeypatch):
     assert sorted((r.doc_id, r.n, r.component_id) for r in got) == brute(rows, 2)
 
 
+def test_regions_cut_by_digits_are_completed(spark, monkeypatch):
+    monkeypatch.setattr(e, "MOST", 8)
+    rows = family(4, 100, own=12)
+    got = e.linked(spark.createDataFrame(rows, "doc_id long, text string"), spark, 2, "test").collect()
+    assert sorted((r.doc_id, r.n, r.component_id) for r in got) == brute(rows, 2)
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in e.op7(spark, tables_at(spark, tmp_path, documents=odd(spark))).collect())
