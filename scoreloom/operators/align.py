@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 
-#: Cells of one assignment matrix; beyond it a group's rows stay unmatched and say so.
-MOST_CELLS = 4_000_000
+#: Cells of one assignment matrix, as in the reference; beyond it the rows of a piece stay unmatched, each with a row that says so.
+MOST_CELLS = 100_000_000
 
 
 def peel(true: DataFrame, predicted: DataFrame, group: str, row: str, fields: list[str]) -> DataFrame:
@@ -33,11 +33,30 @@ def unique_identity(true: DataFrame, predicted: DataFrame, key: str, row: str) -
     return once(true, "true_row").join(once(predicted, "predicted_row"), key)
 
 
+def pieces(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows (of a, of b; a column a field) that are tied by equal values, directly or through others: no pair across pieces has an equal field."""
+    n, up, seen = len(a[0]), list(range(len(a[0]) + len(b[0]))), {}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for f, (x, y) in enumerate(zip(a, b, strict=True)):
+        for i, value in enumerate([*x, *y]):
+            up[root(i)] = root(seen.setdefault((f, value), i))
+    of = np.array([root(i) for i in range(len(up))])
+    order = np.argsort(of, kind="stable")
+    return [(g[g < n], g[g >= n] - n) for g in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)]
+
+
 def assign(true: DataFrame, predicted: DataFrame, group: str, row: str, fields: list[str], buckets: int = 256) -> DataFrame:
     """Assignment of the rows of a group at the least number of differing fields: group, true row, predicted row, n_same, complete.
 
     Rows that are equal in all fields are peeled off by a join first, so that the kernel sees only what remains. Small groups share a
-    call of the kernel, a bucket of them; a group whose matrix is too large is reported, not cut.
+    call of the kernel, a bucket of them. A group whose matrix is too large is assigned piece by piece of rows that share values, and
+    what is left is paired in order, with nothing equal: the same least cost. Only the rows of a piece that is too large by itself are not
+    assigned: each, of either side, comes with a null partner and complete = false.
     """
     equal = peel(true, predicted, group, row, fields)
     rest_true = true.join(equal.select(group, F.col("true_row").alias(row)), [group, row], "left_anti")
@@ -53,14 +72,24 @@ def assign(true: DataFrame, predicted: DataFrame, group: str, row: str, fields:
                 to = of_b.get(key)
                 if to is None:
                     continue
-                if len(at) * len(to) > MOST_CELLS:
-                    out.append((key, None, None, 0, False))
-                    continue
-                same = np.zeros((len(at), len(to)))
-                for f in fields:
-                    same += a[f].to_numpy(object)[at][:, None] == b[f].to_numpy(object)[to][None]
-                out += [(key, int(a[row].iloc[at[i]]), int(b[row].iloc[to[j]]), int(same[i, j]), True) for i, j in kernels.assign(-same)]
-        return pd.DataFrame(out, columns=names)
+                x, y = [a[f].to_numpy(object)[at] for f in fields], [b[f].to_numpy(object)[to] for f in fields]
+                large = len(at) * len(to) > MOST_CELLS
+                left = (set(range(len(at))), set(range(len(to)))) if large else (set(), set())
+                for own, its in pieces(x, y) if large else [(np.arange(len(at)), np.arange(len(to)))]:
+                    if len(own) * len(its) > MOST_CELLS:
+                        out += [(key, int(a[row].iloc[at[i]]), None, 0, False) for i in own] + [(key, None, int(b[row].iloc[to[j]]), 0, False) for j in its]
+                        left[0].difference_update(own.tolist())
+                        left[1].difference_update(its.tolist())
+                    elif len(own) and len(its):
+                        same = np.zeros((len(own), len(its)), np.int16)
+                        for v, w in zip(x, y, strict=True):
+                            same += v[own][:, None] == w[its][None]
+                        pairs = [(own[i], its[j], int(same[i, j])) for i, j in kernels.assign(-same) if same[i, j] or not large]
+                        out += [(key, int(a[row].iloc[at[i]]), int(b[row].iloc[to[j]]), n, True) for i, j, n in pairs]
+                        for k in (0, 1):
+                            left[k].difference_update(int(p[k]) for p in pairs)
+                out += [(key, int(a[row].iloc[at[i]]), int(b[row].iloc[to[j]]), 0, True) for i, j in zip(*map(sorted, left), strict=False)]
+        return pd.DataFrame(out, columns=names).astype({"true_row": "Int64", "predicted_row": "Int64"})
 
     bucket = F.pmod(F.xxhash64(group), F.lit(buckets)).alias("_bucket")
     # names of its own: the two sides may come from one plan

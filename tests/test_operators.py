@@ -73,6 +73,17 @@ def test_peel_pairs_duplicates_once(spark):
     assert (1, 7) in full and len(full) == 2
 
 
+def test_assignment_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(align, "MOST_CELLS", 4)
+    a = [(1, i, f"p{i}", f"s{i}") for i in range(6)] + [(2, i, "p", f"s{i}") for i in range(3)]
+    b = [(1, i + 10, f"p{i}" if i < 4 else f"q{i}", f"r{i}") for i in range(6)] + [(2, i + 10, "p", f"r{i}") for i in range(3)]
+    a, b = (spark.createDataFrame(x, "g int, row int, p string, s string") for x in (a, b))
+    out = align.assign(a, b, "g", "row", ["p", "s"]).collect()
+    assert sorted((r.true_row, r.predicted_row, r.n_same, r.complete) for r in out if r.g == 1) == [(i, i + 10, int(i < 4), True) for i in range(6)]
+    assert sorted((r.true_row or 0, r.predicted_row or 0) for r in out if r.g == 2 and not r.complete) == [(0, 0), (0, 10), (0, 11), (0, 12), (1, 0), (2, 0)]
+    assert sum(r.g == 2 for r in out) == 6
+
+
 def test_sentences_merge_short_chunks(spark):
     assert one(spark, "Hi. This is a longer sentence. No.", rules.sentences) == ["Hi This is a longer sentence", "No"]
 
