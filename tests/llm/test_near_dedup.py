@@ -94,6 +94,15 @@ def test_regions_cut_by_digits_are_completed(spark, monkeypatch):
     assert sorted((r.doc_id, r.n, r.component_id) for r in got) == brute(rows, 2)
 
 
+def test_every_class_of_a_cut_region_is_completed(spark, monkeypatch):
+    monkeypatch.setattr(e, "MOST", 2)
+    sig = np.random.default_rng(1).integers(0, 1 << 16, (4, e.TREES, e.DEPTH)).astype(np.uint16)
+    sig[:, :, : e.ROOT] = 7
+    nodes = spark.createDataFrame([(bytes([i]), bytearray(s.tobytes())) for i, s in enumerate(sig)], "digest binary, sig binary")
+    _, cut = e.blocks_of(nodes, e.Scratch(spark, "test"))
+    assert cut is not None and cut.count() == 4
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in e.op7(spark, tables_at(spark, tmp_path, documents=odd(spark))).collect())
