@@ -1,27 +1,24 @@
 """MinHash near-dedup with an LSH forest: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Documents with the same set are one class, of which one member goes on. Each class has TREES signatures, sorted orders in
-effect: the digits of a tree are minima of independent hash functions. Classes that share the first ROOT digits of a tree form a region;
-a region with more than MOST members is cut by its next STEP digits, and so on (adaptive depth), and only what is still
-larger after DEEPEST digits by a hash that differs between trees. So a block is a longest-common-prefix neighbourhood of at most about MOST
-classes, and no task holds a whole hot group.
-
-Round 1 links along the best estimates in the blocks of FIRST trees: a spanning forest a block, confirmed on full sets.
-Round 2 takes the blocks of all trees in which more than one component meets and tries, on full sets, every pair of classes
-from different components whose signatures agree on ESTIMATE or more of their digits. Pairs within a component
-cannot change a result and are left out. Components come from label propagation with shortcuts, in tables.
-
-Round 3 takes the classes of all regions that were cut, by digits or by hash, for two of them need not have met. A prefix-filter join over these classes
-alone: each has its rarest shingles as keys, as many as leave no pair of 0.8 without a common one, and all members of a key that are of
-different components are compared, with bounds on size and position, in tiles of LOT by LOT. Of such pairs only those with under SURE of their digits
-in common are not tried on full sets (a chance of 1e-11 for a pair at 0.8).
-
-Recall: a pair at 0.8 exactly misses a region of ROOT digits in all 16 trees with probability (1 - 0.8^4)^16 = 0.0002; two classes that share
-a region which is cut are both in round 3, so a cut loses none of it.
-
-Defined cases: without words or text the set is empty and links with nothing (the document is its own component); with fewer
-words than the shingle length the whole sequence is the one shingle; repeated rows share their component, and ``dedup`` keeps one
-row of each component; an empty table gives no rows; further columns pass ``dedup``.
+Documents with the same set are one class, of which one member goes on. Each class has TREES signatures of DEPTH digits, minima of
+independent hash functions. For each tree the classes are put in the order of their signatures (a range-partitioned sort), so that those
+with the longest common prefixes are neighbours. A region is a run of classes that share the first ROOT digits. A region of at most MOST classes is one
+block; a larger one is cut into blocks of neighbours, each time where the common prefix is shortest (adaptive depth), and its classes are
+marked as cut. So are the first and the last region of a partition, for they may go on in the next one. A block never exceeds MOST classes, and
+sorting is the only thing that meets a hot region whole; ties in the order go by id, so ranges split even equal signatures.
+
+1. In the blocks of FIRST trees pairs whose signatures agree on ESTIMATE of their digits or more are tried on full sets; connected components follow.
+2. So are pairs between components in those blocks of the other trees in which components meet.
+3. Classes marked as cut are completed by a prefix-filter join over these classes alone: each has its rarest shingles as keys, as many as leave no pair of 0.8
+without a common one, and members of a key that are of different components are compared, with bounds on size and position. The largest component of
+a key is only compared with the rest, in tiles of LOT by LOT classes, so a group of near copies costs in proportion to its size.
+
+Recall: a pair at 0.8 exactly shares no region in any of 16 trees with probability (1 - 0.8^4)^16 = 0.0002, and has fewer than ESTIMATE equal digits with
+probability 0.00002; pairs in regions that are cut, however they are cut, all come to step 3 (which leaves out pairs with under SURE equal digits: 1e-11).
+Sets are sets of 64-bit shingle hashes: two shingles of a pair of documents of 10,000 words are mistaken for one with probability 5e-12.
+
+Rows without words (null and empty texts too) have an empty set and are linked with nothing. Equal rows, and rows with a null doc_id, count like others:
+classes are told apart by doc_id and set, and a null doc_id comes after all others. Very long texts are held one at a time, whole.
 """
 
 from __future__ import annotations
@@ -30,18 +27,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import Scratch, documents, joined_bytes, mixed, partitions, record_batch, slices
 
-TREES, ROOT, DEPTH, DEEPEST, STEP = 16, 4, 7, 12, 4
+TREES, ROOT, DEPTH = 16, 4, 7
 MOST, FIRST, ESTIMATE = 128, 2, 0.64
-#: Of round 3: members of a side of a tile, the least share of equal digits, and bits of a shingle that count its frequency.
+#: Of step 3: members of a side of a tile, the least share of equal digits, and bits of a shingle that count its frequency.
 LOT, SURE, COUNTED = 512, 0.5, 18
+#: Links that one task of ``components`` holds.
+HELD = 1 << 20
 #: Similarity as a share: 100 * intersection >= 80 * union.
 SHARE = (80, 100)
 SLICE = 2 << 20
@@ -108,71 +107,164 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+#: An id orders classes by doc_id (null last) and tells those of one doc_id apart: 9 bytes of doc_id, then the digest of the set.
+ID_BYTES = 9
+
+
+def ids(doc_id: pa.Array, digests: list[bytes | None]) -> list[bytes | None]:
+    values = np.asarray(doc_id.cast(pa.int64()).fill_null(0), np.int64)
+    packed = (values.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes()
+    last = bytes([1] + [0] * 8)
+    return [
+        None if d is None else (last if null else b"\0" + packed[8 * i : 8 * i + 8]) + d
+        for i, (d, null) in enumerate(zip(digests, doc_id.is_null().to_pylist(), strict=True))
+    ]
+
+
+def doc_of(id_: F.Column) -> F.Column:
+    """The doc_id in an id."""
+    ordered = F.conv(F.hex(F.substring(id_, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(id_, 1, 1)) == "00", ordered.cast("bigint"))
+
+
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("digest", pa.binary()), ("sig", pa.binary())])
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), digest of the set, sig; digest and sig are null for an empty set."""
+    """doc_id, n (size of the set), id, digest of the set, sig and what else ``docs`` has; id, digest and sig are null for an empty set."""
+    more = [f for f in docs.schema if f.name not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             sets = shingle_sets(*joined_bytes(b, "text"), k)
             full = [s for s in sets if len(s)]
             sigs = iter(signatures(full) if full else ())
-            yield record_batch({"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "digest": [digest(s) if len(s) else None for s in sets], "sig": [next(sigs).tobytes() if len(s) else None for s in sets]}, SIGNED)
+            digests = [digest(s) if len(s) else None for s in sets]
+            out = {"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "id": ids(b.column("doc_id"), digests), "digest": digests, "sig": [next(sigs).tobytes() if len(s) else None for s in sets]}
+            out = record_batch(out, SIGNED)
+            yield pa.RecordBatch.from_arrays([*out.columns, *[b.column(f.name) for f in more]], names=[*out.schema.names, *[f.name for f in more]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, digest binary, sig binary")
+    schema = "doc_id bigint, n bigint, id binary, digest binary, sig binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+    return docs.mapInArrow(run, schema)
+
+
+MEMBER = "id binary, n bigint, sig binary, set binary"
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """digest, set (its hashes, packed) of the classes in ``needed`` (digest, rep: the doc_id of a member)."""
+    """id, n, sig, set (its hashes, packed) of the classes in ``needed`` (id, n, sig; an id names a member)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
-            found = [(d, s.tobytes()) for d, s in zip(b.column("digest").to_pylist(), shingle_sets(*joined_bytes(b, "text"), k), strict=True) if digest(s) == d]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["digest", "set"])
-
-    both = docs.select("doc_id", "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id")
-    return both.select("digest", "text").mapInArrow(run, "digest binary, set binary")
-
-
-def digit(depth: int) -> F.Column:
-    """Digit ``depth`` of the column tree; beyond a tree's own digits come those of the next tree."""
-    at = (F.col("tree") * DEPTH + depth) % (TREES * DEPTH)
-    return F.substring(F.col("sig"), (2 * at + 1).cast("int"), F.lit(2))
-
-
-def blocks_of(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """block, tree, digest: the neighbourhoods of all trees; and digest of the classes that had a region cut, if any. ``nodes``: digest, sig, ..."""
-    trees = nodes.select("digest", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"))
-    # digits of one region are consecutive bytes
-    root = F.xxhash64("tree", F.substring(F.col("sig"), (2 * DEPTH * F.col("tree") + 1).cast("int"), F.lit(2 * ROOT)))
-    level, done, cut = trees.select(root.alias("region"), "tree", "digest"), [], None
-    for depth in range(ROOT, DEEPEST + 1, STEP):
-        # written before they are joined, so that the join of a hot region stands alone and Spark can split it
-        level = scratch.table(level, f"keyed-{depth}") if done else level
-        sizes = scratch.table(level.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{depth}")
-        level = scratch.table(level.join(sizes.hint("merge"), "region"), f"level-{depth}")
-        done.append(level.where(F.col("size") <= MOST).select(F.col("region").alias("block"), "tree", "digest"))
-        large = level.where(F.col("size") > MOST)
-        if large.isEmpty():
-            break
-        if depth == ROOT:
-            cut = scratch.table(large.select("digest").distinct(), "cut")
-        if depth + STEP > DEEPEST:
-            lot = F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("size") / MOST))
-            done.append(large.select(F.xxhash64("region", lot).alias("block"), "tree", "digest"))
-        else:
-            sig = nodes.select("digest", "sig")
-            level = large.join(sig.hint("merge"), "digest").select(F.xxhash64("region", *[digit(depth + i) for i in range(STEP)]).alias("region"), "tree", "digest")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out, cut
+            sets = shingle_sets(*joined_bytes(b, "text"), k)
+            own = [i for i, (d, s) in enumerate(zip(b.column("id").to_pylist(), sets, strict=True)) if len(s) and digest(s) == d[ID_BYTES:]]
+            if own:
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("id", "n", "sig")], pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["id", "n", "sig", "set"])
+
+    needed = needed.withColumn("doc", doc_of(F.col("id")))
+    both = docs.select("doc_id", "text").join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc")))
+    return both.select("id", "n", "sig", "text").mapInArrow(run, MEMBER)
+
+
+def _same_region(tree: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Where a row of the order lies in the same region as the row before it (false for the first)."""
+    same = np.zeros(len(tree), bool)
+    same[1:] = (tree[1:] == tree[:-1]) & (root[1:] == root[:-1])
+    return same
+
+
+def cut_points(keys: np.ndarray, most: int) -> list[int]:
+    """Where a region in the order of ``keys`` (rows of digits) is cut, so that no block has more than ``most`` rows: where neighbours have least in common."""
+    common = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)
+    at, out = 0, []
+    while len(keys) - at > most:
+        low = at + max(1, most // 2)
+        span = common[low - 1 : at + most]
+        at = low + int(len(span) - 1 - np.argmin(span[::-1]))
+        out.append(at)
+    return out
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFrame]:
+BLOCKS = "block bigint, tree int, id binary, cut boolean"
+
+
+def neighbourhoods(ordered: DataFrame, most: int) -> DataFrame:
+    """block, tree, id, cut: the blocks of neighbours of each tree. ``ordered``: tree, key, id, in this order within ranges of it.
+
+    A class that is alone in its region has no row, unless the region touches the edge of a range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        salt = mixed(np.array([number + 1], np.uint64))[0]
+        made = 0  # blocks of cut regions so far
+
+        def rows(t: pa.Table, block: np.ndarray, cut: bool) -> pa.RecordBatch:
+            columns = [pa.array(block.view(np.int64)), t.column("tree").combine_chunks(), t.column("id").combine_chunks(), pa.array(np.full(t.num_rows, cut))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "tree", "id", "cut"])
+
+        def cut_region(t: pa.Table, keys: np.ndarray, whole: bool) -> tuple[list[pa.RecordBatch], int]:
+            """Blocks of a region that is cut, and how many of its rows are in them; the last rows wait if the region goes on."""
+            nonlocal made
+            points = cut_points(keys, most)
+            ends = [*points, t.num_rows] if whole else points
+            out, at = [], 0
+            for end in ends:
+                made += 1
+                out.append(rows(t.slice(at, end - at), np.full(end - at, mixed(np.array([made], np.uint64) + salt)[0]), True))
+                at = end
+            return out, at
+
+        rest, going, first = None, False, True
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            if not t.num_rows:
+                continue
+            keys, tree, root = digits_of(t)
+            starts = np.flatnonzero(~_same_region(tree, root))
+            last = int(starts[-1])
+            # regions that are whole: all but the last one
+            sizes = np.diff(starts)
+            large = sizes > most
+            if len(sizes) and (first or going):
+                large[0] = True
+            small = np.repeat((sizes > 1) & ~large, sizes)
+            if small.any():
+                block = mixed(root[:last][small] + mixed(tree[:last][small].astype(np.uint64)) + salt)
+                yield rows(t.slice(0, last).filter(pa.array(small)), block, False)
+            for i in np.flatnonzero(large):
+                a, z = int(starts[i]), int(starts[i + 1])
+                yield from cut_region(t.slice(a, z - a), keys[a:z], True)[0]
+            if len(sizes):
+                first = going = False
+            rest = t.slice(last)
+            if rest.num_rows > 2 * most:
+                blocks, used = cut_region(rest, keys[last:], False)
+                yield from blocks
+                rest, going = rest.slice(used), True
+        if rest is not None and rest.num_rows:
+            yield from cut_region(rest, digits_of(rest)[0], True)[0]
+
+    return ordered.select("tree", "key", "id").mapInArrow(run, BLOCKS)
+
+
+def digits_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digits, tree, first ROOT digits as a number) of rows of the order."""
+    keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint16).reshape(t.num_rows, DEPTH)
+    root = np.ascontiguousarray(keys[:, :ROOT]).view(np.uint64).reshape(-1)
+    return keys, np.asarray(t.column("tree").combine_chunks(), np.int64), root
+
+
+def in_order(nodes: DataFrame, spark: SparkSession) -> DataFrame:
+    """tree, key, id of every class in every tree, sorted by signature over all partitions."""
+    key = F.substring(F.col("sig"), (2 * DEPTH * F.col("tree") + 1).cast("int"), F.lit(2 * DEPTH))
+    rows = nodes.select("id", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")).select("tree", key.alias("key"), "id")
+    return rows.repartitionByRange(partitions(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal ``key`` of rows in its order."""
     rest: list[pa.Table] = []
     for b in batches:
@@ -188,7 +280,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFrame
 
 
 def by_block(df: DataFrame, spark: SparkSession) -> DataFrame:
-    return df.repartition(partitions(spark), "block").sortWithinPartitions("block", "digest")
+    return df.repartition(partitions(spark), "block").sortWithinPartitions("block", "id")
 
 
 class Forest:
@@ -208,7 +300,7 @@ class Forest:
         return a != b
 
 
-def estimates(t: pa.Table, least: float = ESTIMATE, also: np.ndarray | bool = True) -> Iterator[tuple[int, int]]:
+def estimates(t: pa.Table, least: float, also: np.ndarray | bool = True) -> Iterator[tuple[int, int]]:
     """Pairs of members whose signatures agree on ``least`` of the digits or more and whose sizes (and ``also``) allow a link, best first."""
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1)
     n = np.asarray(t.column("n"))
@@ -231,25 +323,6 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
-def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By block: a spanning forest of the best estimates (for the first trees), and (x, x) for every member of some pair."""
-    for t in groups(batches, "block"):
-        if t.num_rows > 1:
-            pairs, ids = list(estimates(t)), t.column("digest").to_pylist()
-            forest = Forest(len(ids))
-            out = [(ids[i], ids[j]) for i, j in pairs if forest.join(i, j)] if t.column("tree")[0].as_py() < FIRST else []
-            out += [(ids[i], ids[i]) for i in sorted({i for p in pairs for i in p})]
-            if out:
-                yield _edges(out)
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [[np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("set_a", "set_b")]
-        good = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], names=["a", "b"])
-
-
 def _numbers(t: pa.Table, column: str) -> np.ndarray:
     """Equal values of a column as equal numbers."""
     seen: dict = {}
@@ -261,7 +334,7 @@ def _across(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "block"):
-            labels, ids = _numbers(t, "label"), t.column("digest").to_pylist()
+            labels, ids = _numbers(t, "label"), t.column("id").to_pylist()
             if labels.any():
                 sets, forest, seen, out = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], Forest(len(ids)), {}, []
                 for i, label in enumerate(labels.tolist()):
@@ -284,7 +357,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keys_of(sets: DataFrame) -> DataFrame:
-    """key, digest, label, place of each class: its rarest shingles, in one order for all; those that no other class can have are left out.
+    """key, id, label, place of each class: its rarest shingles, in one order for all; those that no other class can have are left out.
 
     How often a shingle occurs is counted by its first COUNTED bits, a table of a fixed size; any order gives the same links.
     """
@@ -295,17 +368,21 @@ def keys_of(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, label, x in zip(*[b.column(c).to_pylist() for c in ("digest", "label", "set")], strict=True):
+            keys, owners, places = [], [], []
+            for i, x in enumerate(b.column("set").to_pylist()):
                 s = np.frombuffer(x, np.uint64)
                 n = often[s >> np.uint64(64 - COUNTED)]
                 place = np.lexsort((s, n))[: len(s) + SHARE[0] * -len(s) // SHARE[1] + 1]
                 at = np.flatnonzero(n[place] > 1)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(s[place[at]].view(np.int64)), pa.array([d] * len(at), pa.binary()), pa.array([label] * len(at), pa.binary()), pa.array(at, pa.int64())], names=["key", "digest", "label", "place"]
-                    )
+                keys.append(s[place[at]])
+                owners.append(np.full(len(at), i))
+                places.append(at)
+            if keys:
+                at = pa.array(np.concatenate(owners), pa.int64())
+                columns = [pa.array(np.concatenate(keys).view(np.int64)), b.column("id").take(at), b.column("label").take(at), pa.array(np.concatenate(places), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "label", "place"])
 
-    return sets.select("digest", "label", "set").mapInArrow(run, "key bigint, digest binary, label binary, place bigint")
+    return sets.select("id", "label", "set").mapInArrow(run, "key bigint, id binary, label binary, place bigint")
 
 
 def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,104 +390,183 @@ def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in groups(batches, "block"):
         labels = _numbers(t, "label")
         if labels.any():
-            lot, n, place = (np.asarray(t.column(c)) for c in ("lot", "n", "place"))
+            side, n, place = (np.asarray(t.column(c)) for c in ("side", "n", "place"))
             most = np.minimum(place[:, None], place[None]) + np.minimum((n - place)[:, None], (n - place)[None])
             also = (labels[:, None] != labels[None]) & (sum(SHARE) * most >= SHARE[0] * (n[:, None] + n[None]))
-            if (lot != lot[0]).any():  # pairs of one lot have a tile of their own
-                also &= lot[:, None] != lot[None]
+            if (side != side[0]).any():  # pairs of one side have a tile of their own
+                also &= side[:, None] != side[None]
             at = sorted({i for p in estimates(t, SURE, also) for i in p})
             if at:
-                yield pa.RecordBatch.from_arrays([t.column(c).take(pa.array(at)).combine_chunks() for c in ("block", "digest")], names=["block", "digest"])
+                yield pa.RecordBatch.from_arrays([t.column(c).take(pa.array(at)).combine_chunks() for c in ("block", "id")], names=["block", "id"])
+
 
+def tiles_of(keys: DataFrame) -> DataFrame:
+    """block, side, id, label, place: each member of a key in the tiles in which it can meet members of other components.
 
-def completed(cut: DataFrame, labels: DataFrame, about: DataFrame, sets: DataFrame, scratch: Scratch, spark: SparkSession) -> DataFrame:
+    Members of a key's largest component (in lots of LOT) meet the lots of the rest; lots of the rest meet one another.
+    """
+    one = keys.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    of_key = one.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).where("size > top.n")
+    lots = lambda n: F.ceil(n / LOT).cast("int")
+    of_key = of_key.select("key", F.col("top.label").alias("top"), lots(F.col("top.n")).alias("tops"), lots(F.col("size") - F.col("top.n")).alias("others"))
+    met = keys.join(of_key.hint("merge"), "key")
+    lot = F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
+    met = met.withColumn("lot", lot).withColumn("is_top", F.col("label") == F.col("top"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    with_top = lambda top, other, side: F.struct(F.xxhash64("key", F.lit("top"), top, other).alias("block"), F.lit(side).alias("side"))
+    tops = F.transform(each(F.col("others")), lambda o: with_top(F.col("lot"), o, -1))
+    to_top = F.transform(each(F.col("tops")), lambda t: with_top(t, F.col("lot"), -2))
+    to_others = F.transform(
+        each(F.col("others")), lambda o: F.struct(F.xxhash64("key", F.lit("rest"), F.least("lot", o), F.greatest("lot", o)).alias("block"), F.col("lot").alias("side"))
+    )
+    tile = F.explode(F.when(F.col("is_top"), tops).otherwise(F.concat(to_top, to_others)))
+    return met.select("id", "label", "place", tile.alias("tile")).select("tile.block", "tile.side", "id", "label", "place")
+
+
+def completed(cut: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, spark: SparkSession) -> DataFrame:
     """Links between different components among the classes of ``cut``: a prefix-filter join."""
-    named = cut.join(labels.hint("merge"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    named = scratch.table(named, "cut-labels")
-    keys = scratch.table(keys_of(named.join(sets.hint("merge"), "digest")), "keys")
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    met = scratch.table(met.select("key", F.ceil(F.col("size") / LOT).alias("lots")), "met-keys")
-    lot = F.pmod(F.xxhash64("digest"), F.col("lots"))
-    laid = keys.join(met.hint("merge"), "key").withColumn("lot", lot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    laid = laid.withColumn("block", F.xxhash64("key", F.least("lot", "other"), F.greatest("lot", "other"))).join(about.hint("merge"), "digest")
-    tiles = scratch.table(by_block(laid.select("block", "digest", "label", "lot", "place", "n", "sig"), spark).mapInArrow(_tried, "block bigint, digest binary"), "tiles")
-    full = tiles.join(named.hint("merge"), "digest").join(about.hint("merge"), "digest").join(sets.hint("merge"), "digest")
-    return by_block(full.select("block", "digest", "label", "n", "sig", "set"), spark).mapInArrow(_across(SURE), EDGES).distinct()
-
-
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """digest, label (the least digest reachable) of every class with a link: hooking and shortcuts, a table a round."""
-    both = scratch.table(edges.union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = scratch.table(both.groupBy(F.col("a").alias("digest")).agg(F.least(F.min("b"), F.col("digest")).alias("label")), f"{name}-0")
+    named = cut.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = scratch.table(named.join(sets.hint("merge"), "id"), "cut-sets")
+    keys = scratch.table(keys_of(named), "keys")
+    tiles = scratch.table(tiles_of(keys), "laid").join(named.select("id", "n", "sig").hint("merge"), "id")
+    tiles = scratch.table(by_block(tiles, spark).mapInArrow(_tried, "block bigint, id binary"), "tiles")
+    full = tiles.join(named.hint("merge"), "id")
+    return by_block(full.select("block", "id", "label", "n", "sig", "set"), spark).mapInArrow(_across(SURE), EDGES)
+
+
+STARS = "id binary, label binary"
+
+
+def _contracted(held: int):
+    """Links in lots of ``held`` at most: each id that has a smaller one in its component of the lot, and the smallest of them."""
+
+    def stars(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(lot)
+        both = pa.concat_arrays([*t.column(0).chunks, *t.column(1).chunks]).dictionary_encode()
+        order = pc.sort_indices(both.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[np.asarray(order)] = np.arange(len(order))
+        codes = rank[np.asarray(both.indices)]
+        a, b = codes[: t.num_rows], codes[t.num_rows :]
+        label = np.arange(len(order))
+        while True:
+            x, y = label[a], label[b]
+            if (x == y).all():
+                break
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label != label[label]).any():
+                label = label[label]
+        names = both.dictionary.take(order)
+        own = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(own)), names.take(pa.array(label[own]))], names=["id", "label"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, n = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, held):
+                part = b.slice(at, held)
+                if n + part.num_rows > held:
+                    yield stars(lot)
+                    lot, n = [], 0
+                lot.append(part)
+                n += part.num_rows
+        if n:
+            yield stars(lot)
+
+    return run
+
+
+def components(links: DataFrame, scratch: Scratch, name: str, held: int | None = None) -> DataFrame:
+    """id, label (the least id reachable) of every class that has a link to a smaller one.
+
+    Each task contracts its links to stars. Where that took one task it is the result. Else rounds follow: an id with several labels links these
+    with one another, and labels jump to labels of their own, until neither happens.
+    """
+    held = held or HELD
+    tasks = max(1, -(-links.count() // held))
+    stars = scratch.table(links.coalesce(tasks).mapInArrow(_contracted(held), STARS), f"{name}-0")
     step = 0
-    while True:
+    while tasks > 1:
         step += 1
-        reach = both.join(labels.select(F.col("digest").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("label").alias("low"))
-        told = labels.join(reach.hint("merge"), "digest", "left").withColumn("low", F.least("label", "low"))
-        # each class takes the least label around it, and so does the class that is its label
-        hooked = told.select("digest", "low").union(told.select(F.col("label").alias("digest"), "low")).groupBy("digest").agg(F.min("low").alias("low"))
-        hooked = scratch.table(hooked, f"{name}-hook-{step}")
-        short = hooked.join(hooked.select(F.col("digest").alias("low"), F.col("low").alias("lower")).hint("merge"), "low").select("digest", F.least("low", "lower").alias("label"))
-        new = scratch.table(short, f"{name}-{step}")
-        old = labels.withColumnRenamed("label", "was")
-        if new.join(old.hint("merge"), "digest").where("label <> was").isEmpty():
-            return new
-        scratch.drop(f"{name}-{step - 1}", f"{name}-hook-{step}")
-        labels = new
+        least = stars.groupBy("id").agg(F.min("label").alias("label"))
+        least = scratch.table(least, f"{name}-least-{step}")
+        others = stars.join(least.withColumnRenamed("label", "low").hint("merge"), "id").where("label <> low")
+        others = scratch.table(others.select(F.col("label").alias("id"), F.col("low").alias("label")), f"{name}-others-{step}")
+        jump = least.join(least.select(F.col("id").alias("label"), F.col("label").alias("lower")).hint("merge"), "label", "left")
+        jump = scratch.table(jump.select("id", F.coalesce("lower", "label").alias("label"), F.col("lower").isNotNull().alias("moved")), f"{name}-jump-{step}")
+        if others.isEmpty() and jump.where("moved").isEmpty():
+            return least
+        # an id keeps its link to the old label through the label's own row
+        both = jump.select("id", "label").union(others)
+        stars = scratch.table(both.mapInArrow(_contracted(held), STARS), f"{name}-{step}")
+    return stars
 
 
 def linked(docs: DataFrame, spark: SparkSession, k: int, name: str) -> DataFrame:
-    """doc_id, digest, n, component_id for every row of ``docs``."""
+    """doc_id, n, id, label for every row of ``docs``, and its further columns but text: id is that of the row, label the least id of its component.
+
+    Both are null for rows with an empty set.
+    """
     scratch = Scratch(spark, name)
     rows = scratch.table(signed(docs, k), "signed")
-    nodes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
-    nodes = scratch.table(nodes.select("digest", F.col("x.doc_id").alias("rep"), "x.n", "x.sig"), "nodes")
-    blocks, cut = blocks_of(nodes, scratch)
-    blocks = scratch.table(blocks, "blocks")
-    about = nodes.select("digest", "n", "sig")
-    laid = by_block(blocks.join(about.hint("merge"), "digest").select("block", "tree", "digest", "n", "sig"), spark)
-    hopeful = scratch.table(laid.mapInArrow(_hopeful, EDGES).distinct(), "hopeful")
-    needed = hopeful.where("a = b").select(F.col("a").alias("digest"))
-    needed = (needed.union(cut).distinct() if cut else needed).join(nodes.select("digest", "rep"), "digest")
+    nodes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sig")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    nodes = scratch.table(nodes.select("digest", "x.id", "x.n", "x.sig", "copies"), "nodes")
+    blocks = scratch.table(neighbourhoods(in_order(nodes, spark), MOST), "blocks")
+    needed = nodes.select("id", "n", "sig").join(blocks.select("id").distinct().hint("merge"), "id", "left_semi")
     sets = scratch.table(sets_of(docs, needed, k), "sets")
-    pairs = hopeful.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a").join(sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
-    links = scratch.table(pairs.mapInArrow(_confirm, EDGES), "links-1")
+
+    met = blocks.where(F.col("tree") < FIRST).select("block", "id").join(sets.hint("merge"), "id").withColumn("label", F.col("id"))
+    links = scratch.table(by_block(met.select("block", "id", "label", "n", "sig", "set"), spark).mapInArrow(_across(ESTIMATE), EDGES), "links-1")
     labels = components(links, scratch, "components-1")
 
-    # blocks in which components meet, without the members that no estimate speaks for
-    met = blocks.join(sets.select("digest").hint("merge"), "digest").join(labels.hint("merge"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    met = scratch.table(met, "met")
-    mixed_ = met.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
-    met = met.join(mixed_.hint("merge"), "block", "left_semi").join(about.hint("merge"), "digest").join(sets.hint("merge"), "digest")
-    more = by_block(met.select("block", "digest", "label", "n", "sig", "set"), spark).mapInArrow(_across(ESTIMATE), EDGES)
-    more = scratch.table(more.distinct(), "links-2")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links, scratch, "components-2")
-    if cut:
-        last = scratch.table(completed(cut, labels, about, sets, scratch, spark), "links-3")
-        if not last.isEmpty():
-            labels = components(links.union(last), scratch, "components-3")
-    least = nodes.select("digest", "rep").join(labels.hint("merge"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = scratch.table(least, "labelled")
-    named = least.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = scratch.table(least.join(named.hint("merge"), "label").select("digest", "component_id"), "named")
-    scratch.drop("sets", "met", "blocks")
-    return rows.join(named.hint("merge"), "digest", "left").select("doc_id", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # blocks of the other trees in which components meet
+    met = blocks.where(F.col("tree") >= FIRST).select("block", "id").join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    own = scratch.table(met, "met")
+    differ = own.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
+    met = own.join(differ.hint("merge"), "block", "left_semi").join(sets.hint("merge"), "id")
+    links = links.union(scratch.table(by_block(met.select("block", "id", "label", "n", "sig", "set"), spark).mapInArrow(_across(ESTIMATE), EDGES), "links-2"))
+    cut = scratch.table(blocks.where("cut").select("id").distinct(), "cut")
+    links = links.union(scratch.table(completed(cut, labels, sets, scratch, spark), "links-3"))
+    labels = components(links, scratch, "components-2")
+    least = scratch.table(nodes.select("digest", "id", "copies").join(labels.hint("merge"), "id", "left").select("digest", F.coalesce("label", "id").alias("label"), "copies"), "labelled")
+    scratch.drop("sets", "met", "blocks", "cut-sets", "keys", "laid")
+    return named(rows.drop("sig"), least, spark)
+
+
+def named(rows: DataFrame, least: DataFrame, spark: SparkSession) -> DataFrame:
+    """``rows`` with the label of their digest, dropping the digest.
+
+    Digests that fill more than a quarter of a partition are dealt by broadcast: there are at most 4 a partition, whatever the size of the data.
+    """
+    share = max(1, rows.count() // (4 * partitions(spark)))
+    hot = least.where(F.col("copies") > share).select("digest", "label")
+    cold = least.where(F.col("copies") <= share).select("digest", "label")
+    worded = rows.where("digest is not null")
+    there = worded.join(F.broadcast(hot), "digest")
+    other = worded.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold.hint("merge"), "digest")
+    bare = rows.where("digest is null").withColumn("label", F.lit(None).cast("binary"))
+    return there.unionByName(other).unionByName(bare).drop("digest")
 
 
 def dedup(docs: DataFrame, spark: SparkSession, k: int = 5) -> DataFrame:
-    """One row of each component: that of the smallest doc_id."""
+    """One row of each component: of the rows with the smallest doc_id (null last) that with the least MD5 of its text. Rows with empty sets all stay.
+
+    All columns of ``docs`` pass, whatever their names.
+    """
     scratch = Scratch(spark, "near-kept")
-    keep = linked(docs, spark, k, "near").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    keep = scratch.table(keep, "keep").select(F.col("doc_id").alias("keep_id"))
-    both = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return both.withColumn("_first", first).where("_first = 1").drop("_first")
+    mark = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    rows = linked(docs.select("doc_id", "text", mark.alias("mark")), spark, k, "near")
+    keep = rows.where("n > 0 and id = label").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark", F.lit(True).alias("worded"))
+    bare = rows.where("n = 0").select("doc_id", "mark", F.lit(False).alias("worded")).distinct()
+    keep = scratch.table(keep.union(bare), "keep")
+    packed = docs.select(F.col("doc_id").alias("doc"), mark.alias("text_mark"), F.struct(*docs.columns).alias("row"))
+    both = packed.join(keep.hint("merge"), F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("text_mark") == F.col("mark")))
+    first = both.where("worded").groupBy("doc", "text_mark").agg(F.any_value("row").alias("row")).select("row.*")
+    return first.union(both.where("not worded").select("row.*"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``documents``, with shingles of two words."""
     out = linked(documents(spark, sf_dir).select("doc_id", "text"), spark, 2, "op7")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    component = F.coalesce(doc_of(F.col("label")), "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

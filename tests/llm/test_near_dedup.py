@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scoreloom.llm import near_dedup as e
 
@@ -56,11 +57,15 @@ def test_against_brute_force(spark, tmp_path):
     assert got == brute(rows, 2)
 
 
+def got(spark, rows, k=2):
+    out = e.linked(spark.createDataFrame(rows, "doc_id long, text string"), spark, k, "test")
+    return sorted((r.doc_id, r.n, r.c) for r in out.select("doc_id", "n", F.coalesce(e.doc_of(F.col("label")), "doc_id").alias("c")).collect())
+
+
 def test_regions_above_the_limit(spark, monkeypatch):
     monkeypatch.setattr(e, "MOST", 8)
     rows = corpus(2, 200)
-    got = e.linked(spark.createDataFrame(rows, "doc_id long, text string"), spark, 2, "test").collect()
-    assert sorted((r.doc_id, r.n, r.component_id) for r in got) == brute(rows, 2)
+    assert got(spark, rows) == brute(rows, 2)
 
 
 def family(seed, n, own=8):
@@ -78,29 +83,75 @@ def family(seed, n, own=8):
     return rows
 
 
-def test_regions_dealt_by_hash_are_completed(spark, monkeypatch):
+def test_cut_regions_are_completed(spark, monkeypatch):
     monkeypatch.setattr(e, "MOST", 2)
-    monkeypatch.setattr(e, "DEEPEST", e.ROOT)
     monkeypatch.setattr(e, "LOT", 16)
     rows = family(3, 60)
-    got = e.linked(spark.createDataFrame(rows, "doc_id long, text string"), spark, 2, "test").collect()
-    assert sorted((r.doc_id, r.n, r.component_id) for r in got) == brute(rows, 2)
+    assert got(spark, rows) == brute(rows, 2)
 
 
 def test_regions_cut_by_digits_are_completed(spark, monkeypatch):
     monkeypatch.setattr(e, "MOST", 8)
     rows = family(4, 100, own=12)
-    got = e.linked(spark.createDataFrame(rows, "doc_id long, text string"), spark, 2, "test").collect()
-    assert sorted((r.doc_id, r.n, r.component_id) for r in got) == brute(rows, 2)
+    assert got(spark, rows) == brute(rows, 2)
+
+
+def test_neighbourhoods_hold_every_pair_or_mark_it(spark):
+    """Of a region that is not cut all members share one block; cut ones, and those at the edges of ranges, are marked."""
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 16, (300, e.TREES, e.DEPTH)).astype(np.uint16)
+    sig[:, :, : e.ROOT] = (rng.integers(0, 40, (300, e.TREES, 1)) ** 2 // 40).astype(np.uint16)
+    nodes = spark.createDataFrame([(bytearray(i.to_bytes(4, "big")), bytearray(s.tobytes())) for i, s in enumerate(sig)], "id binary, sig binary")
+    rows = e.neighbourhoods(e.in_order(nodes, spark), 16).collect()
+    blocks, cut = {}, {(r.tree, bytes(r.id)) for r in rows if r.cut}
+    for r in rows:
+        blocks.setdefault((r.tree, r.block), set()).add(bytes(r.id))
+    assert max(map(len, blocks.values())) <= 16 and cut
+    together = {(t, frozenset((a, b))) for (t, _), x in blocks.items() for a in x for b in x if a < b}
+    regions = {}
+    for i, s in enumerate(sig):
+        for t in range(e.TREES):
+            regions.setdefault((t, s[t, : e.ROOT].tobytes()), []).append(i.to_bytes(4, "big"))
+    for (t, _), x in regions.items():
+        for a in x:
+            for b in x:
+                assert a >= b or (t, frozenset((a, b))) in together or {(t, a), (t, b)} <= cut
+
+
+def test_cuts_lie_where_neighbours_have_least_in_common():
+    keys = np.array([[1, 1], [1, 1], [1, 2], [1, 2], [2, 2], [2, 2], [2, 2]])
+    assert e.cut_points(keys, 4) == [4] and e.cut_points(keys, 3) == [2, 4] and e.cut_points(keys, 1) == [1, 2, 3, 4, 5, 6]
+
+
+def test_components_in_rounds(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(0, 90)] + [(100 + i, 100) for i in range(1, 60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame([(bytearray(a.to_bytes(4, "big")), bytearray(b.to_bytes(4, "big"))) for a, b in pairs], "a binary, b binary").repartition(6)
+    scratch, up = e.Scratch(spark, "test"), list(range(400))
 
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
 
-def test_every_class_of_a_cut_region_is_completed(spark, monkeypatch):
-    monkeypatch.setattr(e, "MOST", 2)
-    sig = np.random.default_rng(1).integers(0, 1 << 16, (4, e.TREES, e.DEPTH)).astype(np.uint16)
-    sig[:, :, : e.ROOT] = 7
-    nodes = spark.createDataFrame([(bytes([i]), bytearray(s.tobytes())) for i, s in enumerate(sig)], "digest binary, sig binary")
-    _, cut = e.blocks_of(nodes, e.Scratch(spark, "test"))
-    assert cut is not None and cut.count() == 4
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    want = sorted((i, root(i)) for i in range(400) if root(i) != i)
+    for held in (7, 40, 1000):
+        found = e.components(scratch.table(links, f"links-{held}"), scratch, f"c{held}", held).collect()
+        assert sorted((int.from_bytes(r.id, "big"), int.from_bytes(r.label, "big")) for r in found) == want
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, long), (None, "other words here and now"), (1, long + " more"), (1, "a b c d e f g"), (2, "a b c d e f g"), (2, None), (2, ""), (-5, "a b c d e f g")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, keep_id int, _first int")
+    kept = e.dedup(docs, spark, k=2)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert found == [(False, -5, "a b c d e f g"), (False, 1, long + " more"), (False, 2, ""), (False, 2, ""), (True, 0, "other words here and now")]
 
 
 def test_odd_rows(spark, tmp_path):
