@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment. DataFrame functions only.
 
 Equal-token blocks are the seats. The sources get their seats by highest quotients v / (2k + 1) on their target
-words; each source's seats go on to its shards in the same way, by the shards' words. In each shard, whole rounds
-over all its blocks come first and the rest are the blocks first in a seeded order. A document takes what
-the chosen blocks cover of it.
+words; each source's seats go on to its shards in the same way, by the shards' words. In each shard, whole rounds over all its blocks come first and the rest
+are consecutive blocks from a seeded start on. A document takes what the chosen blocks cover of it.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, last in order; an empty
 table gives no rows; repeated rows each take part as rows of their own (they share a doc_id, and so a place in
-the seeded order, told apart by a number); columns beyond doc_id, text and source pass through ``mix``.
+the seeded order, told apart by a number); columns beyond doc_id, text and source pass through ``mix`` under any name. A very long text lies in one shard,
+which is longer by it. Equal quotients go to the smaller source, batch or shard. The table of sources is ordered in one task: one row a source.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ WEIGHTS = (1, 2, 3)
 CEILING = 3
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 15
-#: Shards of one source at most; beyond it shards grow, so that the table of shards stays small at any size.
-MOST_SHARDS = 4096
+#: Shards that are ranked together.
+BATCH = 4096
 SEED = "mix-1"
 
 
@@ -73,91 +73,93 @@ def _seats(votes: DataFrame, group: list[str], key: list[str], vote: str, seats:
     return won.withColumn("won", F.col("_from") + F.col("_more")).drop("_from", "_more")
 
 
-def plan(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(one row for each document: _row, _n, doc_id, size, source_size, target, src, shard, begin, end; chosen blocks: src, shard, block, copies)."""
+def _number_of_row(source: Column, text: Column) -> Column:
+    """Rows of one doc_id are told apart by what they hold, which a rerun finds again; ``plan`` numbers those that hold the same."""
+    return F.md5(F.concat(F.coalesce(source, F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))))
+
+
+def plan(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text, source): row, n, doc_id, size, source_size, target, rounds and spans (from, to: words of it, to excluded).
+
+    Documents of a source are dealt to shards of about SHARD_WORDS words and put in a seeded order there. A shard's blocks are runs of BLOCK_WORDS words
+    in this order; the blocks beyond its whole rounds are consecutive ones from a seeded start on, so that at most three documents of a shard are cut.
+    """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    again = F.row_number().over(W.partitionBy("doc_id", "_row").orderBy("size"))
-    sized = docs.select(F.col("_row"), "doc_id", F.col("source").alias("src"), words.alias("size"))
-    sized = scratch.table(sized.withColumn("_n", again), "sized")
+    again = F.row_number().over(W.partitionBy("doc_id", "row").orderBy("size"))
+    sized = docs.select(_number_of_row(F.col("source"), F.col("text")).alias("row"), "doc_id", F.col("source").alias("src"), words.alias("size"))
+    sized = scratch.table(sized.withColumn("n", again), "sized")
     by_source = _targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")))
     by_source = by_source.withColumn("seats", F.round(F.col("total") / BLOCK_WORDS).cast("long")).withColumn("seats", F.greatest("seats", F.lit(1).cast("long")))
-    by_source = by_source.select("src", "source_size", "target", "seats").withColumn(
-        "shards", F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long").alias("shards")
+    by_source = by_source.select("src", "source_size", "target", "seats", shards)
     won = _seats(by_source, [], ["src"], "target", "seats").select("src", F.col("won").alias("quota"))
     by_source = scratch.table(by_source.drop("seats").join(won, by_source.src.eqNullSafe(won.src), "left").drop(won.src).fillna(0, ["quota"]), "sources")
 
     # the table of sources is one row a source, which the ordering of sources above bounds
     placed = sized.join(by_source, sized.src.eqNullSafe(by_source.src)).drop(by_source.src)
-    placed = placed.withColumn("shard", F.pmod(_number(F.lit("shard"), F.col("doc_id"), F.col("_row")), F.col("shards")))
-    run = W.partitionBy("src", "shard").orderBy(_number(F.lit("place"), F.col("doc_id")), "doc_id", "_row", "_n")
+    placed = placed.withColumn("shard", F.pmod(_number(F.lit("shard"), F.col("doc_id"), F.col("row")), F.col("shards")))
+    run = W.partitionBy("src", "shard").orderBy(_number(F.lit("place"), F.col("doc_id")), "doc_id", "row", "n")
     placed = placed.withColumn("end", F.sum("size").over(run)).withColumn("begin", F.col("end") - F.col("size"))
-    placed = scratch.table(placed.select("_row", "_n", "doc_id", "size", "source_size", "target", "src", "shard", "begin", "end"), "placed")
-    shards = placed.groupBy("src", "shard").agg(F.sum("size").alias("words"))
-    shards = shards.join(by_source.select(F.col("src").alias("s"), "quota"), F.col("src").eqNullSafe(F.col("s"))).drop("s").where("words > 0")
-    shards = _seats(shards, ["src"], ["shard"], "words", "quota").withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / BLOCK_WORDS)).cast("long"))
-    shards = shards.withColumn("won", F.least("won", CEILING * F.col("blocks")))
-    shards = shards.withColumn("rounds", F.floor(F.col("won") / F.col("blocks"))).withColumn("rest", F.col("won") - F.col("rounds") * F.col("blocks"))
-    shards = scratch.table(shards, "shards")
-    first = W.partitionBy("src", "shard").orderBy(_number(F.lit("block"), F.col("shard"), F.coalesce("src", F.lit("")), F.col("block")), "block")
-    chosen = shards.where("rest > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    chosen = chosen.withColumn("_rank", F.row_number().over(first)).where("_rank <= rest").select("src", "shard", "block", F.col("words").alias("w"), F.col("blocks").alias("b"))
-    return placed.join(shards.select(F.col("src").alias("s"), F.col("shard").alias("h"), "words", "blocks", "rounds"),
-                       F.col("src").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")), "left").drop("s", "h").fillna(0, ["rounds"]), chosen
+    placed = scratch.table(placed.select("row", "n", "doc_id", "size", "source_size", "target", "src", "shard", "begin", "end"), "placed")
+    taken = scratch.table(_chosen(placed, by_source), "shards")
+    same = F.col("src").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))
+    out = placed.join(taken.hint("merge"), same, "left").fillna(0, ["rounds"])
+    inside = lambda a, z: F.struct(F.greatest(a - F.col("begin"), F.lit(0)).cast("long").alias("from"), F.least(z - F.col("begin"), F.col("size")).cast("long").alias("to"))
+    spans = F.filter(F.array(inside(F.lit(0).cast("long"), F.col("b1")), inside(F.col("a0"), F.col("a1"))), lambda x: x["to"] > x["from"])
+    spans = F.when(F.col("a0").isNull(), F.filter(F.array(inside(F.col("begin"), F.col("begin"))), lambda x: F.lit(False))).otherwise(spans)
+    return out.select("row", "n", "doc_id", "size", "source_size", "target", "rounds", spans.alias("spans"))
 
 
-def _overlaps(placed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """For each document and chosen block that meet: _row, _n, doc_id, from, to (words of the document, to excluded)."""
-    # block k of a shard is words [floor(k * words / blocks), floor((k + 1) * words / blocks))
-    at = lambda word: F.floor(((word + 1) * F.col("blocks") - 1) / F.col("words"))
-    met = placed.where("size > 0").withColumn("block", F.explode(F.sequence(at(F.col("begin")), at(F.col("end") - 1))))
-    met = met.select("_row", "_n", "doc_id", "size", F.col("src").alias("s"), F.col("shard").alias("h"), F.col("block").alias("k"), "begin")
-    # both sides grow with the corpus and Spark cannot foresee what explode makes: no broadcast
-    both = met.join(chosen.hint("merge"), F.col("src").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")) & (F.col("block") == F.col("k")))
-    bound = lambda k: F.floor(k * F.col("w") / F.col("b"))
-    start, stop = F.greatest(bound(F.col("block")) - F.col("begin"), F.lit(0)), F.least(bound(F.col("block") + 1) - F.col("begin"), F.col("size"))
-    return both.select("_row", "_n", "doc_id", start.cast("long").alias("from"), stop.cast("long").alias("to")).where("to > from")
-
+def _chosen(placed: DataFrame, by_source: DataFrame) -> DataFrame:
+    """By shard (s, h): rounds, and the words of its chosen blocks, [a0, a1) and [0, b1).
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows of one doc_id are told apart by what they hold, which a rerun finds again; ``plan`` numbers those that hold the same."""
-    return docs.withColumn("_row", F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))))
+    A source's seats go to batches of BATCH shards first and then to the shards of each, so that no source is ranked in one task whole.
+    """
+    shards = placed.groupBy("src", "shard").agg(F.sum("size").alias("words")).where("words > 0").withColumn("batch", F.floor(F.col("shard") / BATCH).cast("long"))
+    quotas = by_source.select(F.col("src").alias("s"), F.col("quota"))
+    batches = shards.groupBy("src", "batch").agg(F.sum("words").alias("in_batch")).join(quotas, F.col("src").eqNullSafe(F.col("s"))).drop("s")
+    batches = _seats(batches, ["src"], ["batch"], "in_batch", "quota").select(F.col("src").alias("s"), F.col("batch").alias("b"), F.col("won").alias("seats"))
+    shards = shards.join(batches, F.col("src").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b"))).drop("s", "b")
+    shards = _seats(shards, ["src", "batch"], ["shard"], "words", "seats").withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / BLOCK_WORDS)).cast("long"))
+    shards = shards.withColumn("won", F.least("won", CEILING * F.col("blocks")))
+    shards = shards.withColumn("rounds", F.floor(F.col("won") / F.col("blocks"))).withColumn("rest", F.col("won") - F.col("rounds") * F.col("blocks"))
+    start = F.pmod(_number(F.lit("block"), F.col("shard"), F.coalesce("src", F.lit(""))), F.col("blocks"))
+    # block k of a shard is words [floor(k * words / blocks), floor((k + 1) * words / blocks))
+    bound = lambda k: F.floor(k * F.col("words") / F.col("blocks"))
+    stop = F.col("start") + F.col("rest")
+    return shards.withColumn("start", start).select(
+        F.col("src").alias("s"), F.col("shard").alias("h"), "rounds", bound(F.col("start")).alias("a0"), bound(F.least(stop, F.col("blocks"))).alias("a1"),
+        bound(F.greatest(stop - F.col("blocks"), F.lit(0))).alias("b1"))
 
 
 def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The mixed corpus: for each document as many whole copies as its shard has whole rounds, and one row of the words that chosen blocks cover.
 
-    The result has the columns of ``docs``; n_chars, where there, is set anew. Of rows with the same doc_id, text and source
+    The result has the columns of ``docs``, whatever their names; n_chars, where there, is set anew. Of rows with the same doc_id, text and source
     one lends its further columns to what all of them take.
     """
-    scratch = Scratch(spark, "mix")
-    numbered = _numbered(docs)
-    placed, chosen = plan(numbered, spark, scratch)
-    spans = _overlaps(placed, chosen).groupBy("_row", "_n", "doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
-    takes = placed.select(F.col("_row").alias("r"), F.col("_n").alias("n"), F.col("doc_id").alias("d"), "rounds", "size")
-    same = lambda x, y: (x == F.col("_row")) & y.eqNullSafe(F.col("doc_id"))
-    takes = takes.join(spans.hint("merge"), same(F.col("r"), F.col("d")) & (F.col("n") == F.col("_n")), "left").drop("_row", "_n", "doc_id")
-    takes = scratch.table(takes.where("(rounds > 0 or spans is not null) and size > 0"), "takes")
-    both = numbered.dropDuplicates(["_row", "doc_id"]).join(takes.hint("merge"), same(F.col("r"), F.col("d")))
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    takes = plan(docs.select("doc_id", "text", "source"), spark, scratch := Scratch(spark, "mix"))
+    takes = scratch.table(takes.where("(rounds > 0 or size(spans) > 0) and size > 0").select("row", "doc_id", "rounds", "size", "spans"), "takes")
+    mark = _number_of_row(F.col("source"), F.col("text"))
+    own = docs.select(mark.alias("mark"), F.col("doc_id").alias("doc"), F.struct(*docs.columns).alias("whole")).groupBy("mark", "doc").agg(F.any_value("whole").alias("whole"))
+    both = own.join(takes.hint("merge"), (F.col("mark") == F.col("row")) & F.col("doc").eqNullSafe(F.col("doc_id")))
+    words = F.regexp_extract_all(F.col("whole.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     # within an array of one the text is cut into words once, not once a span
     cut = lambda ws: F.flatten(F.transform("spans", lambda s: F.slice(ws, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int"))))
     part = F.array_join(F.transform(F.array(words), cut)[0], "")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("rounds").cast("int")), F.when(F.col("spans").isNull(), F.array().cast("array<string>")).otherwise(F.array(part)))
-    out = both.withColumn("text", F.explode(texts))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    covered = F.element_at("spans", 1)
+    part = F.when((F.size("spans") == 1) & (covered["from"] == 0) & (covered["to"] == F.col("size")), F.col("whole.text")).otherwise(part)
+    texts = F.concat(F.array_repeat(F.col("whole.text"), F.col("rounds").cast("int")), F.when(F.size("spans") == 0, F.array().cast("array<string>")).otherwise(F.array(part)))
+    out = both.select("whole", F.explode(texts).alias("text"))
+    made = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[made.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``documents``."""
-    scratch = Scratch(spark, "op9")
-    placed, chosen = plan(_numbered(documents(spark, sf_dir).select("doc_id", "text", "source")), spark, scratch)
-    extra = _overlaps(placed, chosen).groupBy("_row", "_n", "doc_id").agg(F.sum(F.col("to") - F.col("from")).alias("extra"))
-    extra = extra.select(F.col("_row").alias("r"), F.col("_n").alias("n"), F.col("doc_id").alias("d"), "extra")
-    return placed.join(extra.hint("merge"), (F.col("r") == F.col("_row")) & (F.col("n") == F.col("_n")) & F.col("d").eqNullSafe(F.col("doc_id")), "left").select(
-        "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
-        (F.col("rounds") * F.col("size") + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"))
+    out = plan(documents(spark, sf_dir).select("doc_id", "text", "source"), spark, Scratch(spark, "op9"))
+    extra = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("rounds") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def _sql_number(*parts: str) -> str:
@@ -173,19 +175,22 @@ u as (select *, f / w as ratio, coalesce(sum(f) over b, 0) as fb, sum(w) over ()
       window b as (order by f / w, src is null, src rows between unbounded preceding and 1 preceding)),
 v as (select *, (total - fb) / wl as lvl from u),
 g as (select src, ss, least(f, coalesce((select lvl from v where lvl <= ratio order by ratio, lvl limit 1) * w, f)) as target,
-      greatest(1, round(total / {BLOCK_WORDS}))::bigint as seats, least({MOST_SHARDS}, greatest(1, ceil(ss / {SHARD_WORDS})))::bigint as shards from v),
+      greatest(1, round(total / {BLOCK_WORDS}))::bigint as seats, greatest(1, ceil(ss / {SHARD_WORDS}))::bigint as shards from v),
 q as (select src, seats, row_number() over (order by target / (2 * k + 1) desc, src is null, src, k) as rk from (select *, unnest(range(0, 3 * ss // {BLOCK_WORDS} + 40)) as k from g where target > 0)),
 quotas as (select src, count(*) as quota from q where rk <= seats group by src),
 p as (select e.*, g.ss, g.target, {_sql_number("'shard'", "e.doc_id", "e.r")} % g.shards as shard from e join g on e.src is not distinct from g.src),
 z as (select *, sum(size) over (partition by src, shard order by {_sql_number("'place'", "doc_id")}, doc_id, r, n rows unbounded preceding)::bigint as stop from p),
-h as (select p.src, shard, sum(size)::bigint as words, coalesce(any_value(quota), 0) as quota from p left join quotas on p.src is not distinct from quotas.src group by p.src, shard having sum(size) > 0),
-hq as (select src, shard, quota, row_number() over (partition by src order by words / (2 * k + 1) desc, shard, k) as rk from (select *, unnest(range(0, 3 * words // {BLOCK_WORDS} + 40)) as k from h)),
-hw as (select src, shard, count(*) as won from hq where rk <= quota group by src, shard),
+h as (select src, shard, shard // {BATCH} as batch, sum(size)::bigint as words from p group by src, shard having sum(size) > 0),
+hb as (select h.src, batch, sum(words)::bigint as words, coalesce(any_value(quota), 0) as quota from h left join quotas on h.src is not distinct from quotas.src group by h.src, batch),
+bq as (select src, batch, quota, row_number() over (partition by src order by words / (2 * k + 1) desc, batch, k) as rk from (select *, unnest(range(0, 3 * words // {BLOCK_WORDS} + 40)) as k from hb)),
+bw as (select src, batch, count(*) as seats from bq where rk <= quota group by src, batch),
+hq as (select h.src, shard, seats, row_number() over (partition by h.src, h.batch order by words / (2 * k + 1) desc, shard, k) as rk
+       from (select *, unnest(range(0, 3 * words // {BLOCK_WORDS} + 40)) as k from h) h join bw on h.src is not distinct from bw.src and h.batch = bw.batch),
+hw as (select src, shard, count(*) as won from hq where rk <= seats group by src, shard),
 b as (select h.src, h.shard, words, greatest(1, round(words / {BLOCK_WORDS}))::bigint as blocks, coalesce(won, 0) as won from h left join hw on h.src is not distinct from hw.src and h.shard = hw.shard),
-c as (select *, least(won, {CEILING} * blocks) // blocks as rounds, least(won, {CEILING} * blocks) % blocks as rest from b),
-k as (select * from (select *, row_number() over (partition by src, shard order by {_sql_number("'block'", "shard", "coalesce(src, '')", "block")}, block) as rk from (select *, unnest(range(0, blocks)) as block from c where rest > 0)) where rk <= rest),
-x as (select z.doc_id, z.r, z.n, sum(greatest(0, least((block + 1) * words // blocks, stop) - greatest(block * words // blocks, stop - size)))::bigint as extra
-      from z join k on z.src is not distinct from k.src and z.shard = k.shard group by z.doc_id, z.r, z.n)
-select z.doc_id, size, ss as source_size, target, (coalesce(rounds, 0) * size + coalesce(extra, 0))::bigint as taken
-from z left join c on z.src is not distinct from c.src and z.shard = c.shard left join x on z.doc_id is not distinct from x.doc_id and z.r = x.r and z.n = x.n
+c as (select *, least(won, {CEILING} * blocks) // blocks as rounds, least(won, {CEILING} * blocks) % blocks as rest, {_sql_number("'block'", "shard", "coalesce(src, '')")} % blocks as start from b),
+i as (select *, start * words // blocks as a0, least(start + rest, blocks) * words // blocks as a1, greatest(start + rest - blocks, 0) * words // blocks as b1 from c)
+select z.doc_id, size, ss as source_size, target,
+       (coalesce(rounds, 0) * size + coalesce(greatest(0, least(a1, stop) - greatest(a0, stop - size)) + greatest(0, least(b1, stop) - (stop - size)), 0))::bigint as taken
+from z left join i on z.src is not distinct from i.src and z.shard = i.shard
 """

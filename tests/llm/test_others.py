@@ -236,6 +236,27 @@ def test_mixed_texts_hold_what_is_taken(spark):
     assert n(mixed) == want
 
 
+def test_mix_keeps_documents_whole(spark):
+    """Chosen blocks follow one another in a shard, so few documents are cut; columns of any name pass."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100)), "ab"[i % 4 == 0], i, i, "x", "y") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, r int, d int, spans string, _row string").withColumn("rounds", F.lit(1)).withColumn("size", F.lit(2)).withColumn("n", F.lit(3))
+    out = source_mixing.mix(docs, spark)
+    assert out.columns == docs.columns
+    sizes = Counter(len(r.text.split()) for r in out.collect())
+    assert sum(sizes.values()) - sizes[100] <= 3 * 8 and all(r.r == r.doc_id and r.rounds == 1 for r in out.collect())
+
+
+def test_mixing_in_several_batches_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "BATCH", 2)
+    monkeypatch.setattr(source_mixing, "SHARD_WORDS", 2048)
+    monkeypatch.setattr(source_mixing, "SQL", source_mixing.SQL.replace("// 4096", "// 2").replace("/ 32768", "/ 2048"))
+    got = sorted(tuple(r) for r in source_mixing.op9(spark, SF).collect())
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(con.sql(source_mixing.SQL).fetchall())
+    assert len(got) == len(want) and all(a[0] == b[0] and a[1:3] == b[1:3] and a[3] == pytest.approx(b[3]) and a[4] == b[4] for a, b in zip(got, want, strict=True))
+
+
 def test_mixing_odd_rows(spark, tmp_path):
     got = source_mixing.op9(spark, tables_at(spark, tmp_path, documents=odd(spark))).collect()
     assert len(got) == len(ODD) and all(r.taken <= 3 * r.size for r in got) and {r.doc_id for r in got if r.size == 0} == {1, 2, 8}
