@@ -2,18 +2,23 @@
 
 Documents become pieces of at most ``CAPACITY`` tokens; full pieces are sequences of their own. The others are dealt to
 shards of some thousand pieces, each a bin-packing problem with several islands. An island holds a population of
-packings, begun from best-fit decreasing and from best-fit in random orders. In a crossover, whole well-filled bins of one parent are
+packings, begun from best-fit decreasing and from best-fit in random orders. Every island makes CROSSOVERS crossovers a round, and goes on above
+the lower bound, ceil(tokens / capacity), until STALE of them in a row bring nothing. In a crossover, whole well-filled bins of one parent are
 injected into another; bins of the receiver that share a document with them are emptied, and the displaced documents that remain
-go by best fit, longest first. After each round an island's elite moves to the next island of its shard. A shard stops at
-its lower bound, ceil(tokens / capacity). What is left in the emptiest bins of many shards is packed once more, together.
+go by best fit, longest first. After each round an island's elite moves to the next island of its shard. Of packings with as many bins
+the one that fills them most unevenly is the better one: it leaves its slack in few bins, and what is in the emptiest bins of many shards is
+packed once more, together. Bins from TAIL_FILL on stay closed, so up to 1 - TAIL_FILL of their room is given up for good.
 
 Defined cases: a null text is the empty one, a piece of the end token alone; rows that repeat a doc_id are packed
-each for itself and told apart by ``row_id``; an empty table gives no rows; further columns are ignored.
+each for itself and told apart by ``row_id``; an empty table gives no rows; further columns are ignored. A very long text is encoded alone, whole.
+Pieces of equal length are taken in the order of row_id and piece.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -32,7 +37,7 @@ from .shared import Scratch, documents, record_batch, slices
 CAPACITY = 4096
 END = 1
 SHARD_PIECES = 1500
-ISLANDS, ROUNDS, POPULATION, CROSSOVERS = 2, 2, 4, 6
+ISLANDS, ROUNDS, POPULATION, CROSSOVERS, STALE = 2, 2, 6, 8, 30
 #: Bins filled less than this go to the last packing, of the leavings of TAILS shards at once.
 TAIL_FILL, TAILS = 0.97, 256
 #: Chunks whose ids a task remembers; when they are so many, it begins anew.
@@ -43,8 +48,21 @@ SLICE = 3 << 20
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
+#: The normaliser and the pre-tokenizer for which chunks can be encoded apart, as a tokenizer's file states them (fixed values).
+WORD_RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+
+
 class Encoder:
-    """Token ids of texts, chunk by chunk: no pre-token of the word vocabulary spans a space, so the ids of a text are those of its chunks.
+    """Token ids of texts; other tokenizers than that of WORD_RULES encode whole texts. With its rules, chunk by chunk: no pre-token of the word vocabulary spans a space, so the ids of a text are those of its chunks.
 
     A full stop or comma between a letter and a space is a pre-token of its own, so it is a chunk of its own too. Each distinct chunk
     is encoded once; the ids of the texts are then gathered from the pool.
@@ -54,6 +72,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_chunks = [rules["normalizer"], rules["pre_tokenizer"]] == WORD_RULES and rules["model"].get("end_of_word_suffix") == "</w>"
         self.whole.no_padding()
         self.whole.no_truncation()
         self.plain = Tokenizer(self.whole.model)
@@ -71,12 +92,15 @@ class Encoder:
         self.starts, self.lengths = np.zeros((2, 1 << 12), np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if PLAIN(c)]
-        other = [c for c in chunks if not PLAIN(c)]
-        if plain:
-            ids = np.array(self.plain.encode(" ".join(plain).translate(self.mapped), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            self.store(plain, ids, np.diff(ends, prepend=0))
+        groups: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for c in chunks:
+            groups[(0 if c.isascii() else 1) if PLAIN(c) else 2].append(c)
+        ascii_, accented, other = groups
+        for plain, text in ((ascii_, " ".join(ascii_)), (accented, " ".join(accented).translate(self.mapped))):
+            if plain:
+                ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                self.store(plain, ids, np.diff(ends, prepend=0))
         if other:
             each = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
             self.store(other, np.array([i for ids in each for i in ids], "<u4"), np.array([len(ids) for ids in each], np.int64))
@@ -93,20 +117,29 @@ class Encoder:
         self.used += len(ids)
         self.memo.update(zip(chunks, range(n, m), strict=True))
 
+    def known(self, chunks: list[str]) -> np.ndarray:
+        """Where the pool has each chunk; -1 for those that are new."""
+        return np.fromiter(map(self.memo.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, where each text begins and ends among them)."""
+        if not self.by_chunks:
+            each = [e.ids for e in self.whole.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], "<u4"), np.cumsum([0, *map(len, each)])
         texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")  # ascii_lower misreads slices
         texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         split = pc.split_pattern(pc.replace_substring_regex(texts, r"(\pL)([.,]) ", r"\1 \2 "), " ")
         bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known(distinct)
+        if len(self.memo) + int((known < 0).sum()) > MEMO:
             self.forget()
-            new = distinct
-        self.learn(new)
-        at = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))[np.asarray(words.indices)]
+            known[:] = -1
+        new = np.flatnonzero(known < 0).tolist()
+        self.learn([distinct[i] for i in new])
+        known[new] = self.known([distinct[i] for i in new])
+        at = known[np.asarray(words.indices)]
         n = self.lengths[at]
         ends = np.cumsum(n)
         place = np.repeat(self.starts[at] - ends + n, n)
@@ -197,7 +230,7 @@ def crossover(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity:
 
 
 def evolve(sizes: np.ndarray, start: list[np.ndarray], capacity: int, seed: int, crossovers: int = CROSSOVERS) -> list[np.ndarray]:
-    """A population after some crossovers, best first."""
+    """A population after ``crossovers`` crossovers, best first; above the lower bound they go on until STALE in a row have not made the best one better."""
     rng, bound = np.random.default_rng(seed), -(-int(sizes.sum()) // capacity)
     people = list(start)
     worth = lambda o: value(np.bincount(o, sizes), capacity)
@@ -206,31 +239,34 @@ def evolve(sizes: np.ndarray, start: list[np.ndarray], capacity: int, seed: int,
             owner, loads = np.zeros(len(sizes), np.int32), []
             best_fit(sizes, order, capacity, owner, loads)
             people.append(owner)
-            if len(loads) <= bound:
-                break
-    people.sort(key=worth, reverse=True)
-    for _ in range(crossovers):
-        if people[0].max() + 1 <= bound or len(people) < 2:
-            break
-        a, b = rng.choice(len(people), 2, replace=False)
-        people.append(crossover(sizes, people[a], people[b], capacity, rng))
-        people = sorted(people, key=worth, reverse=True)[:POPULATION]
-    return people
+    ranked = sorted(((worth(o), i, o) for i, o in enumerate(people)), key=lambda x: x[:2], reverse=True)
+    made = stale = 0
+    while len(sizes) > 1 and (made < crossovers or crossovers and -ranked[0][0][0] > bound and stale < STALE):
+        a, b = rng.choice(len(ranked), 2, replace=False) if len(ranked) > 1 else (0, 0)
+        child = crossover(sizes, ranked[a][2], ranked[b][2], capacity, rng)
+        made, best = made + 1, ranked[0][0]
+        if (own := worth(child)) not in {x[0] for x in ranked}:
+            ranked = sorted([*ranked, (own, len(people) + made, child)], key=lambda x: x[:2], reverse=True)[:POPULATION]
+        stale = 0 if ranked[0][0] > best else stale + 1
+    return [o for _, _, o in ranked]
 
 
 def _pack(items: DataFrame, scratch: Scratch, name: str, capacity: int) -> DataFrame:
     """row_id, piece, length, shard, bin: the best packing of each shard after all rounds. ``items``: row_id, piece, length, shard."""
-    population = "shard bigint, island int, people array<binary>"
+    population = "shard bigint, island int, people array<binary>, least int, begun int, bins int"
     key = ["length", "row_id", "piece"]
 
     def island(round_: int):
         def run(ids: tuple, own: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
             if own.empty:
-                return pd.DataFrame({"shard": [], "island": [], "people": []})
+                return pd.DataFrame({"shard": [], "island": [], "people": [], "least": [], "begun": [], "bins": []})
             sizes = own.sort_values(key)["length"].to_numpy(np.int64)
             start = [np.frombuffer(x, np.int32) for people in (guests["people"] if len(guests) else []) for x in people]
-            people = evolve(sizes, start, capacity, hash((int(ids[0]), int(ids[1]), round_)) & 0x7FFFFFFF)
-            return pd.DataFrame({"shard": [ids[0]], "island": [ids[1]], "people": [[x.tobytes() for x in people]]})
+            seed = hash((int(ids[0]), int(ids[1]), round_)) & 0x7FFFFFFF
+            start = start or evolve(sizes, [], capacity, seed, crossovers=0)
+            people = evolve(sizes, start, capacity, seed)
+            bins = lambda x: [min(int(o.max()) + 1 for o in x)]
+            return pd.DataFrame({"shard": [ids[0]], "island": [ids[1]], "people": [[x.tobytes() for x in people]], "least": [-(-int(sizes.sum()) // capacity)], "begun": bins(start), "bins": bins(people)})
 
         return run
 
@@ -240,7 +276,7 @@ def _pack(items: DataFrame, scratch: Scratch, name: str, capacity: int) -> DataF
         evolved = laid.groupBy("shard", "island").cogroup(people.groupBy("shard", "island")).applyInPandas(island(r), population)
         evolved = scratch.table(evolved, f"{name}-{r}")
         # an island keeps its people and gets the elite of the one before it
-        elite = evolved.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("people", 1, 1).alias("people"))
+        elite = evolved.withColumn("island", (F.col("island") + 1) % ISLANDS).withColumn("people", F.slice("people", 1, 1))
         people = evolved.unionByName(elite)
 
     def settle(ids: tuple, own: pd.DataFrame, islands: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +292,8 @@ def _pack(items: DataFrame, scratch: Scratch, name: str, capacity: int) -> DataF
 def pack(docs: DataFrame, spark: SparkSession, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, row_id for every piece of every row."""
     scratch = Scratch(spark, "pack")
-    cut = scratch.table(pieces(docs, tokenizer, capacity), "pieces")
+    # numbered as it is written, so that a task that runs again finds the same numbers
+    cut = scratch.table(pieces(docs, tokenizer, capacity).withColumn("number", F.monotonically_increasing_id()), "pieces")
     part = cut.where(F.col("length") < capacity).select("row_id", "piece", "length")
     shards = max(1, part.count() // SHARD_PIECES)
     items = part.withColumn("shard", F.pmod(F.xxhash64("row_id", "piece"), F.lit(shards)))
@@ -271,7 +308,7 @@ def pack(docs: DataFrame, spark: SparkSession, tokenizer: str | None = None, cap
     # level and shard and bin make the number; full pieces take the numbers below zero
     number = (F.col("level").cast("long") * (1 << 62)) + F.col("shard") * (1 << 20) + F.col("bin")
     both = cut.join(placed.select("row_id", "piece", number.alias("sequence_id")), ["row_id", "piece"], "left")
-    both = both.withColumn("sequence_id", F.coalesce("sequence_id", -1 - F.monotonically_increasing_id()))
+    both = both.withColumn("sequence_id", F.coalesce("sequence_id", -1 - F.col("number")))
     before = W.partitionBy("sequence_id").orderBy("row_id", "piece").rowsBetween(W.unboundedPreceding, -1)
     return both.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "row_id")
 

@@ -40,6 +40,26 @@ def test_crossover_keeps_every_piece_in_bounds():
     assert better[0].max() <= people[0].max()
 
 
+def test_crossovers_close_what_best_fit_leaves_open():
+    open_, closed = 0, 0
+    for seed in range(60):
+        sizes = np.random.default_rng(seed).integers(20, 50, 30)
+        bound = -(-int(sizes.sum()) // 100)
+        begun = e.evolve(sizes, [], 100, seed, crossovers=0)  # best fit in six orders, decreasing among them
+        if begun[0].max() + 1 > bound:
+            people = e.evolve(sizes, begun, 100, seed)
+            assert np.bincount(people[0], sizes).max() <= 100
+            open_, closed = open_ + 1, closed + (people[0].max() + 1 == bound)
+    assert open_ >= 20 and closed >= 4
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tokenizer = e.Encoder(path), Tokenizer.from_file(path)
+    flat, bounds = enc(pa.array([*TEXTS, None]))
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [tokenizer.encode(x, add_special_tokens=False).ids for x in [*TEXTS, ""]]
+
+
 def check(rows, docs, capacity=4096):
     tokenizer = Tokenizer.from_file(PATH)
     want = []
