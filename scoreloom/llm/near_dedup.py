@@ -400,7 +400,7 @@ def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([t.column(c).take(pa.array(at)).combine_chunks() for c in ("block", "id")], names=["block", "id"])
 
 
-def tiles_of(keys: DataFrame) -> DataFrame:
+def tiles_of(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """block, side, id, label, place: each member of a key in the tiles in which it can meet members of other components.
 
     Members of a key's largest component (in lots of LOT) meet the lots of the rest; lots of the rest meet one another.
@@ -409,6 +409,7 @@ def tiles_of(keys: DataFrame) -> DataFrame:
     of_key = one.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).where("size > top.n")
     lots = lambda n: F.ceil(n / LOT).cast("int")
     of_key = of_key.select("key", F.col("top.label").alias("top"), lots(F.col("top.n")).alias("tops"), lots(F.col("size") - F.col("top.n")).alias("others"))
+    of_key = scratch.table(of_key, "met-keys")  # so that the join of a hot key stands alone and Spark can split it
     met = keys.join(of_key.hint("merge"), "key")
     lot = F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
     met = met.withColumn("lot", lot).withColumn("is_top", F.col("label") == F.col("top"))
@@ -428,7 +429,7 @@ def completed(cut: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scrat
     named = cut.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = scratch.table(named.join(sets.hint("merge"), "id"), "cut-sets")
     keys = scratch.table(keys_of(named), "keys")
-    tiles = scratch.table(tiles_of(keys), "laid").join(named.select("id", "n", "sig").hint("merge"), "id")
+    tiles = scratch.table(tiles_of(keys, scratch), "laid").join(named.select("id", "n", "sig").hint("merge"), "id")
     tiles = scratch.table(by_block(tiles, spark).mapInArrow(_tried, "block bigint, id binary"), "tiles")
     full = tiles.join(named.hint("merge"), "id")
     return by_block(full.select("block", "id", "label", "n", "sig", "set"), spark).mapInArrow(_across(SURE), EDGES)
