@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,9 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; only where it names none, a local one."""
+    """The folder that driver and executors share, as the cluster names it; only a local session may do without, for it has one machine."""
     set_ = spark.conf.get("spark.checkpoint.dir", None)
     if not set_:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         set_ = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", set_)
     return set_.rstrip("/")
@@ -32,7 +35,7 @@ BATCH_BYTES = 12 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to BATCH_BYTES, never raises it."""
+    """Lowers the session's Arrow batch size to BATCH_BYTES, never raises it. It stays so, as results are computed after the call."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(name).rstrip("b")) if spark.conf.get(name).rstrip("b").lstrip("-").isdigit() else None
     if now is None or now <= 0 or now > BATCH_BYTES:
@@ -79,6 +82,18 @@ def deal(df: DataFrame, n: int, part: str = "part") -> DataFrame:
     return df.repartitionById(n, F.col(part))
 
 
+def with_class(rows: DataFrame, classes: DataFrame, key: list[str], size: str, spark: SparkSession) -> DataFrame:
+    """``rows`` with the columns of ``classes``, one row a key, by an inner join; ``size`` is the number of rows that have the key.
+
+    Keys that fill more than a quarter of a partition come by broadcast: there are at most 4 a partition, whatever the size of the data. The others
+    are merged, so that no key makes one task much longer than the rest. Both sides are read twice: they should be tables.
+    """
+    share = max(1, rows.count() // (4 * partitions(spark)))
+    hot, cold = classes.where(F.col(size) > share), classes.where(F.col(size) <= share)
+    there = rows.join(F.broadcast(hot), key)
+    return there.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold.hint("merge"), key))
+
+
 def low(text: Column) -> Column:
     """A-Z to a-z, and nothing else."""
     return F.translate(text, UPPER, LOWER)
