@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, documents, joined_bytes, mixed, partitions, record_batch, slices
+from .shared import Scratch, documents, joined_bytes, mixed, partitions, record_batch, slices, with_class
 
 TREES, ROOT, DEPTH = 16, 4, 7
 MOST, FIRST, ESTIMATE = 128, 2, 0.64
@@ -535,18 +535,10 @@ def linked(docs: DataFrame, spark: SparkSession, k: int, name: str) -> DataFrame
 
 
 def named(rows: DataFrame, least: DataFrame, spark: SparkSession) -> DataFrame:
-    """``rows`` with the label of their digest, dropping the digest.
-
-    Digests that fill more than a quarter of a partition are dealt by broadcast: there are at most 4 a partition, whatever the size of the data.
-    """
-    share = max(1, rows.count() // (4 * partitions(spark)))
-    hot = least.where(F.col("copies") > share).select("digest", "label")
-    cold = least.where(F.col("copies") <= share).select("digest", "label")
-    worded = rows.where("digest is not null")
-    there = worded.join(F.broadcast(hot), "digest")
-    other = worded.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold.hint("merge"), "digest")
+    """``rows`` with the label of their digest, dropping the digest; the label is null for rows with an empty set."""
+    there = with_class(rows.where("digest is not null"), least, ["digest"], "copies", spark).drop("copies")
     bare = rows.where("digest is null").withColumn("label", F.lit(None).cast("binary"))
-    return there.unionByName(other).unionByName(bare).drop("digest")
+    return there.unionByName(bare).drop("digest")
 
 
 def dedup(docs: DataFrame, spark: SparkSession, k: int = 5) -> DataFrame:
