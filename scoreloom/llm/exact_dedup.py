@@ -1,15 +1,17 @@
 """Exact dedup with an extendible-hash index on shared files.
 
 Keys are 64-bit hashes of the texts, lower-cased in A-Z only. The key space is cut into as many ranges as there are
-owner tasks. Each map task first folds equal texts of a batch into one row, so that a text that a third of all rows
-repeat reaches its owner as a few rows a task. An owner gets its range in key order and inserts into its buckets: an
-overfull bucket is split by the next bit of the key, and where its depth passes that of the directory, the directory
+owner tasks. Each map task first folds equal texts into one row, so that a text that a third of all rows
+repeat reaches its owner about once a task. An owner gets its range in key order and inserts into its buckets by the place of a key within the range
+(so that all bits of the directory tell): an overfull bucket is split by the next bit, and where its depth passes that of the directory, the directory
 doubles. Texts that share a key chain within the bucket; bytes decide which entry of the chain a text is. As keys come
 in order, a bucket that lies below the present key is complete and goes to the owner's file in the shared folder: an
-owner holds one bucket and the directory. The file ends with the directory; ``Index`` reads it by ranges.
+owner holds one bucket and the directory. The file ends with the directory. ``Index`` reads files by ranges: the range of a key names the file,
+the directory its bucket, and one page is read.
 
 Defined cases: null counts as the empty text; equal texts keep the largest doc_id; of rows that repeat both doc_id
-and text one is kept; null doc_ids are smaller than all others; an empty table gives no rows; further columns pass ``dedup``.
+and text one is kept; null doc_ids are smaller than all others; an empty table gives no rows; further columns pass ``dedup`` under any name.
+A very long text is held whole, and alone fills its bucket.
 """
 
 from __future__ import annotations
@@ -21,18 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Scratch, blobs, deal, documents, low, partitions, record_batch, store
+from .shared import Scratch, blobs, deal, documents, low, partitions, record_batch, store, with_class
 
 BUCKET_ENTRIES = 4096
 BUCKET_BYTES = 8 << 20
 KEY_BITS = 64
-#: The directory has 2 ** MOST_DEPTH places at most; a bucket that is still overfull then chains on.
+#: The directory of an owner has 2 ** MOST_DEPTH places at most, for some 4 * 10^9 texts; a bucket that is still overfull then chains on.
 MOST_DEPTH = 20
+#: Bytes of texts that a map task holds while it folds.
+HELD = 24 << 20
 
 
 class Bucket:
@@ -58,7 +61,7 @@ class Bucket:
 
     def page(self) -> bytes:
         """Its entries: key, keep id (with a flag for null), group size, length of the text, and the texts behind."""
-        rows = [(key, *entry) for key, chain in sorted(self.chains.items()) for entry in chain]
+        rows = [(entry[4], *entry[:4]) for _, chain in sorted(self.chains.items()) for entry in chain]
         head = b"".join(struct.pack("<QqBqQ", key, keep or 0, keep is not None, n, len(text)) for key, text, keep, n, _ in rows)
         raw = struct.pack("<I", len(rows)) + head + b"".join(r[1] for r in rows)
         return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
@@ -75,23 +78,29 @@ def read_page(page: bytes) -> Iterator[tuple[int, int | None, int, bytes]]:
         at, text = at + step, text + length
 
 
+def owner_of(key: int, owners: int) -> tuple[int, int]:
+    """(the owner of a key, its place in the owner's range as a number of 64 bits, which rises with the key)."""
+    high = (key >> 33) * owners
+    return high >> 31, (high & 0x7FFFFFFF) << 33 | key & 0x1FFFFFFFF
+
+
 class Builder:
     """The index of one owner. ``directory[p]`` is the bucket of the keys whose first ``depth`` bits are p; None once it is written."""
 
-    def __init__(self, out, entries: int = BUCKET_ENTRIES, size: int = BUCKET_BYTES):
-        self.out, self.most, self.depth = out, (entries, size), 0
+    def __init__(self, out, entries: int = BUCKET_ENTRIES, size: int = BUCKET_BYTES, owner: tuple[int, int] = (0, 1)):
+        self.out, self.most, self.depth, self.owner = out, (entries, size), 0, owner
         self.directory: list[Bucket | None] = [Bucket(0, 0)]
         self.next, self.written, self.offset = 0, [], 0
 
-    def insert(self, key: int, text: bytes, keep: int | None, n: int, digest: str) -> None:
-        """Keys must not fall."""
+    def insert(self, key: int, text: bytes, keep: int | None, n: int, digest: str, whole: int | None = None) -> None:
+        """Keys (places in the owner's range) must not fall; ``whole`` is the key that pages hold."""
         bucket = self.directory[key >> (KEY_BITS - self.depth) if self.depth else 0]
         for entry in bucket.chains.get(key, ()):
             if entry[0] == text:
-                entry[1] = keep if entry[1] is None else entry[1] if keep is None else max(entry[1], keep)
+                entry[1] = _larger(entry[1], keep)
                 entry[2] += n
                 return
-        bucket.add(key, [bytes(text), keep, n, digest])
+        bucket.add(key, [bytes(text), keep, n, digest, key if whole is None else whole])
         while bucket.overfull(*self.most):
             if bucket.depth == self.depth:
                 self.directory = [b for b in self.directory for _ in (0, 1)]
@@ -116,39 +125,57 @@ class Builder:
                 self.offset += len(page)
             self.directory[self.next : self.next + span] = [None] * span
             self.next += span
-            for k, chain in bucket.chains.items():
-                for place, (_, keep, n, digest) in enumerate(chain):
+            for chain in bucket.chains.values():
+                for place, (_, keep, n, digest, k) in enumerate(chain):
                     yield k, keep, n, digest, place
 
     def close(self) -> None:
-        tail = json.dumps({"depth": self.depth, "buckets": self.written}).encode()
-        self.out.write(tail + struct.pack("<Q", len(tail)))
+        """The directory (for each place the number of its page, -1 if it has none), the pages' places and the owner, and their sizes."""
+        directory = np.full(1 << self.depth, -1, np.int32)
+        for i, (prefix, depth, _, _) in enumerate(self.written):
+            span = 1 << (self.depth - depth)
+            directory[prefix * span : (prefix + 1) * span] = i
+        tail = json.dumps({"depth": self.depth, "owner": self.owner, "pages": [w[2:] for w in self.written]}).encode()
+        packed = directory.tobytes()
+        self.out.write(packed + tail + struct.pack("<QQ", len(packed), len(tail)))
 
 
 class Index:
     """The files of all owners, read by ranges: the directory first, then the one page that may hold a key."""
 
     def __init__(self, files: list[str]):
-        self.files = []
+        self.owners, self.files = 1, {}
         for f in files:
             fs, path = store(f)
             with fs.open_input_file(path) as src:
                 end = src.size()
-                n = struct.unpack("<Q", src.read_at(8, end - 8))[0]
-                self.files.append((fs, path, json.loads(src.read_at(n, end - 8 - n))))
+                packed, n = struct.unpack("<QQ", src.read_at(16, end - 16))
+                tail = json.loads(src.read_at(n, end - 16 - n))
+                directory = np.frombuffer(src.read_at(packed, end - 16 - n - packed), np.int32)
+            part, self.owners = tail["owner"]
+            self.files[part] = fs, path, tail["depth"], directory, tail["pages"]
+
+    def page_of(self, key: int) -> tuple | None:
+        """(file system, path, offset, length) of the page of a key, by one look into the directory; None if no key lies there."""
+        part, place = owner_of(key, self.owners)
+        if part not in self.files:
+            return None
+        fs, path, depth, directory, pages = self.files[part]
+        number = int(directory[place >> (KEY_BITS - depth) if depth else 0])
+        return (fs, path, *pages[number]) if number >= 0 else None
 
     def find(self, text: bytes) -> tuple[int | None, int] | None:
         """(keep id, group size) of a text, or None; ``text`` is already lower-cased."""
         import xxhash
 
         key = xxhash.xxh64(text, seed=42).intdigest()
-        for fs, path, directory in self.files:
-            for prefix, depth, offset, length in directory["buckets"]:
-                if key >> (KEY_BITS - depth) == prefix if depth else True:
-                    with fs.open_input_file(path) as src:
-                        for k, keep, n, own in read_page(src.read_at(length, offset)):
-                            if k == key and own == text:
-                                return keep, n
+        at = self.page_of(key)
+        if at:
+            fs, path, offset, length = at
+            with fs.open_input_file(path) as src:
+                for k, keep, n, own in read_page(src.read_at(length, offset)):
+                    if k == key and own == text:
+                        return keep, n
         return None
 
 
@@ -156,29 +183,43 @@ FOLDED = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("keep_id", pa.in
 OWNED = pa.schema([("key", pa.int64()), ("digest", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("place", pa.int32()), ("file", pa.string())])
 
 
+def _larger(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text of a batch, with its largest id and count."""
+    """One row for each text of a task, with its largest id and count: texts are held up to HELD bytes; beyond that those seen once go on, or else all."""
+    held: dict[int, list[list]] = {}  # key -> [text, part, digest, keep, n] of each text with it
+    size = 0
+
+    def out(rows: list[tuple[int, list]]) -> pa.RecordBatch:
+        columns = {"part": [e[1] for _, e in rows], "key": [k for k, _ in rows], "keep_id": [e[3] for _, e in rows], "n": [e[4] for _, e in rows], "digest": [e[2] for _, e in rows], "body": [e[0] for _, e in rows]}
+        return record_batch(columns, FOLDED)
+
     for b in batches:
-        key = np.asarray(b.column("key"))
-        order = np.argsort(key, kind="stable")
-        same = np.flatnonzero(key[order][1:] == key[order][:-1])
-        counts, keep, ids = np.ones(len(key), np.int64), b.column("doc_id").to_pylist(), b.column("doc_id")
-        if len(same):
-            texts, heads, gone = blobs(b, "body"), {}, set()
-            for i in sorted({int(order[j]) for s in same for j in (s, s + 1)}):
-                for head in heads.setdefault(int(key[i]), []):
-                    if texts[head] == texts[i]:
-                        counts[head] += 1
-                        keep[head] = keep[i] if keep[head] is None else keep[head] if keep[i] is None else max(keep[head], keep[i])
-                        gone.add(i)
-                        break
-                else:
-                    heads[int(key[i])].append(i)
-            rows = pa.array([i for i in range(len(key)) if i not in gone], pa.int64())
-            ids = pa.array(keep, pa.int64())
-        else:
-            rows = pa.array(np.arange(len(key)))
-        yield record_batch({"part": b.column("part").take(rows), "key": b.column("key").take(rows), "keep_id": ids.take(rows), "n": pc.take(pa.array(counts), rows), "digest": b.column("digest").take(rows), "body": b.column("body").take(rows)}, FOLDED)
+        columns = (b.column(c).to_pylist() for c in ("key", "part", "digest", "doc_id"))
+        for text, key, part, digest, doc in zip(blobs(b, "body"), *columns, strict=True):
+            chain = held.setdefault(key, [])
+            for e in chain:
+                if e[0] == text:
+                    e[3], e[4] = _larger(e[3], doc), e[4] + 1
+                    break
+            else:
+                chain.append([bytes(text), part, digest, doc, 1])
+                size += len(text) + 200
+            if size > HELD:
+                all_ = [(k, e) for k, chain in held.items() for e in chain]
+                once = [(k, e) for k, e in all_ if e[4] == 1]
+                go = once if sum(len(e[0]) + 200 for _, e in once) > size // 2 else all_
+                yield out(go)
+                held = {}
+                for k, e in all_ if go is once else ():
+                    if e[4] > 1:
+                        held.setdefault(k, []).append(e)
+                size = sum(len(e[0]) + 200 for chain in held.values() for e in chain)
+    rows = [(k, e) for k, chain in held.items() for e in chain]
+    if rows:
+        yield out(rows)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -195,7 +236,7 @@ def index(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame:
         fs, path = store(f"{root}/{uuid.uuid4().hex}.xh")  # a lost task's file is never read: the rows name the files
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(path) as out:
-            builder, rows = Builder(out), []
+            builder, rows = None, []
 
             def told() -> pa.RecordBatch:
                 k, keep, size, digest, place = zip(*rows, strict=True)
@@ -204,13 +245,16 @@ def index(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame:
             for b in batches:
                 keys = np.asarray(b.column("key")).view(np.uint64).tolist()
                 for key, text, keep, size, digest in zip(keys, blobs(b, "body"), b.column("keep_id").to_pylist(), b.column("n").to_pylist(), b.column("digest").to_pylist(), strict=True):
-                    rows += builder.finished(key)
-                    builder.insert(key, text, keep, size, digest)
+                    part, place = owner_of(key, n)
+                    builder = builder or Builder(out, owner=(part, n))
+                    rows += builder.finished(place)
+                    builder.insert(place, text, keep, size, digest, key)
                 if rows:
                     yield told()
                     rows = []
-            rows += builder.finished(None)
-            builder.close()
+            if builder:
+                rows += builder.finished(None)
+                builder.close()
             if rows:
                 yield told()
 
@@ -225,19 +269,20 @@ def dedup(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows that stay: of equal texts the one with the largest doc_id."""
     scratch = Scratch(spark, "exact")
     kept = index(docs.select("doc_id", "text"), spark, scratch).select(F.col("key").alias("k"), F.col("digest").alias("d"), "keep_id")
-    both = keyed(docs.select(F.struct(*docs.columns).alias("row"), F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))).drop("body", "text")
-    both = both.join(kept, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    first = F.row_number().over(W.partitionBy("key", "digest", "doc_id").orderBy("key"))
-    return both.withColumn("first", first).where("first = 1").select("row.*")
+    both = keyed(docs.select(F.struct(*docs.columns).alias("row")).select("row", "row.doc_id", "row.text")).drop("body", "text")
+    # by id too, so that a hot text's rows lie apart; rows that repeat both become one where they are read
+    both = both.join(kept.hint("merge"), (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return both.groupBy("key", "digest", "doc_id").agg(F.any_value("row").alias("row")).select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``documents``."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    owned = index(docs, spark, Scratch(spark, "op3")).select(F.col("key").alias("k"), F.col("digest").alias("d"), "keep_id", "group_size")
+    scratch = Scratch(spark, "op3")
+    owned = index(docs, spark, scratch).select("key", "digest", "keep_id", "group_size")
     rows = keyed(docs).select("doc_id", "key", "digest")
-    rows = rows.withColumn("again", F.row_number().over(W.partitionBy("doc_id", "key").orderBy("key")))
-    both = rows.join(owned, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")))
+    rows = scratch.table(rows.withColumn("again", F.row_number().over(W.partitionBy("doc_id", "key").orderBy("key"))), "rows")
+    both = with_class(rows, owned, ["key", "digest"], "group_size", spark)
     return both.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
