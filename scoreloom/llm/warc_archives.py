@@ -11,11 +11,14 @@ whose names the manifest gives; what a lost task left is never read.
 
 Defined cases: null html is an empty payload; a null url gives an empty target; rows that repeat page_id and payload are told apart
 by ``row`` and one of them is the response; an empty table gives no rows; extra columns are ignored; archives with no such index raise.
+Of equal payloads with the largest page_id more than once (or a null one alone) the row that was numbered last is the response. A very long
+payload is held alone, whole; it may make its archive longer than ARCHIVE_BYTES.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -26,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, record_batch, store
+from .shared import Scratch, partitions, record_batch, slices, store
 
 LEAST = 1000
 #: An archive is closed beyond so many bytes.
 ARCHIVE_BYTES = 256 << 20
+#: Bytes of records that are read one after another, and of archives that a task reads at most.
+RUN_BYTES, TASK_BYTES = 2 << 20, 256 << 20
+SLICE = 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ROOM = 0xFFFFFFFF
 
@@ -192,7 +198,7 @@ def write(pages: DataFrame, scratch: Scratch) -> DataFrame:
             out.close()
             done.append((name, len(lines), z.at))
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "body", SLICE)):
             for r in b.to_pylist():
                 if z is None:
                     name = f"{uuid.uuid4().hex}.wacz"
@@ -215,11 +221,14 @@ def write(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(rows.mapInArrow(run, "archive string, records bigint, bytes bigint"), "manifest")
 
 
-def read(manifest: DataFrame, root: str, per_task: int = 4096) -> DataFrame:
+def read(manifest: DataFrame, root: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives of a manifest.
 
-    Indexes are cut into runs of records, which tasks read by ranges on their own: a large archive is no task's burden.
+    Indexes are cut into runs of records of about RUN_BYTES, which tasks read by ranges on their own: a large archive is no task's burden. There are as
+    many tasks as partitions, or more where a task would have more than TASK_BYTES of archives to read.
     """
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("archives")).first()
+    tasks = max(partitions(manifest.sparkSession), -(-total["bytes"] // TASK_BYTES))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = store(root)
@@ -227,7 +236,8 @@ def read(manifest: DataFrame, root: str, per_task: int = 4096) -> DataFrame:
             for archive in b.column("archive").to_pylist():
                 with fs.open_input_file(f"{base}/{archive}") as src:
                     lines = [json.loads(x) for x in ZipReader(src).read(INDEX).decode().splitlines()]
-                cuts = [lines[i : i + per_task] for i in range(0, len(lines), per_task)]
+                sizes = itertools.accumulate(x["length"] for x in lines)
+                cuts = [[x for x, _ in g] for _, g in itertools.groupby(zip(lines, sizes, strict=True), key=lambda x: x[1] // RUN_BYTES)]
                 if cuts:
                     yield pa.RecordBatch.from_arrays([pa.array([archive] * len(cuts)), pa.array([[x["offset"] for x in c] for c in cuts], pa.list_(pa.int64())), pa.array([[x["length"] for x in c] for c in cuts], pa.list_(pa.int64()))], names=["archive", "offsets", "lengths"])
 
@@ -242,8 +252,9 @@ def read(manifest: DataFrame, root: str, per_task: int = 4096) -> DataFrame:
                         out.append([r[k] for k in READ.names])
                 yield record_batch({k: list(v) for k, v in zip(READ.names, zip(*out, strict=True), strict=True)}, READ)
 
-    cut = manifest.select("archive").repartition(F.col("archive")).mapInArrow(runs, "archive string, offsets array<bigint>, lengths array<bigint>")
-    cut = cut.repartition(F.xxhash64("archive", F.element_at("offsets", 1)))
+    cut = manifest.select("archive").repartition(max(1, min(tasks, total["archives"])), "archive").mapInArrow(runs, "archive string, offsets array<bigint>, lengths array<bigint>")
+    # with a number, so that tasks aren't put together by the size of the offsets
+    cut = cut.repartition(tasks, F.xxhash64("archive", F.element_at("offsets", 1)))
     return cut.mapInArrow(records, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
