@@ -1,12 +1,13 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies count every document that may be learnt from, in one pass; the model is fitted on a bounded sample
-of them, ``SAMPLE`` for each language, by follow-the-regularised-leader (proximal, per-coordinate rates) with L1 and L2
-penalties, so that most weights are exactly zero. A part of the sample that the fit does not see sets the temperature
-of the softmax. Prediction reads every whole text.
+of them, about ``SAMPLE`` for each language (fewer where all languages together would pass ``SAMPLE_ALL``), by follow-the-regularised-leader (proximal, per-coordinate
+rates) with L1 and L2 penalties, so that most weights are exactly zero. Every lang value is learnt. Tasks turn the sample into vectors; no text comes to
+the driver. A part of the sample that the fit does not see sets the temperature of the softmax. Prediction reads every whole text.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0; with no row to learn from all documents
-are; repeated rows each get a row; languages with fewer rows than ``SAMPLE`` give all of theirs; extra columns are ignored.
+are; repeated rows each get a row; languages with fewer rows than ``SAMPLE`` give all of theirs; extra columns are ignored. Of languages
+with equal scores the first in order is named. A very long text is hashed in parts of CHUNK code points, which counts the space between parts once more.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, held_out, record_batch, small_batches
+from .shared import documents, held_out, record_batch, slices, small_batches
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
-#: Documents of each language in the sample, and how many languages (the most frequent) are learnt.
-SAMPLE, MOST_LANGUAGES = 400, 256
+#: Documents in the sample: of each language, and of all together.
+SAMPLE, SAMPLE_ALL = 400, 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.05
 #: Code points that are hashed at once; a longer text goes in overlapping parts.
 CHUNK = 1 << 20
+#: Bytes of text that become Python strings at once.
+SLICE = 4 << 20
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +62,10 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES + 1, np.int64), 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                df[counts(t)[0]] += 1
-                n += 1
+            for part in slices(b, "text", SLICE):
+                for t in part.column("text").to_pylist():
+                    df[counts(t)[0]] += 1
+                    n += 1
         df[FEATURES] = n
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(df[found])], names=["feature", "n"])
@@ -72,6 +76,18 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df[:FEATURES], int(df[FEATURES])
 
 
+def vectors(sample: DataFrame, idf: np.ndarray) -> DataFrame:
+    """doc_id, lang, features, x (its TF-IDF vector) of the rows of a sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
+            both = [vector(t, idf) for t in b.column("text").to_pylist()]
+            columns = [pa.array([f.astype(np.int32) for f, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], names=["doc_id", "lang", "features", "x"])
+
+    return sample.mapInArrow(run, "doc_id bigint, lang string, features array<int>, x array<double>")
+
+
 def fit(data: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights (feature by class) and biases by FTRL-proximal with an elastic net."""
     z, n = np.zeros((FEATURES, classes)), np.zeros((FEATURES, classes))
@@ -134,18 +150,20 @@ class Model:
 def train(learn: DataFrame) -> Model:
     """``learn``: doc_id, text, lang, the rows that may be learnt from."""
     learn = learn.where("text is not null and lang is not null")
-    known = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not known:
+    # one row a language
+    known = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
+    languages = sorted(r["lang"] for r in known.select("lang").collect())
+    if not languages:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    languages = sorted(r["lang"] for r in known)
     df, n = document_frequencies(learn.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    # by a share of a hash: no shuffle, and about SAMPLE rows a language however many there are
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE / r["count"]))) for r in known])
+    # by a share of a hash: about so many rows a language however many there are; the table of languages is as small as their number
+    each = max(1, min(SAMPLE, SAMPLE_ALL // len(languages)))
     lot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    sample = learn.where(lot < share).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang"])
-    data = [vector(t, idf) for t in sample["text"]]
-    y = sample["lang"].map(languages.index).to_numpy()
+    sample = learn.join(F.broadcast(known), "lang").where(lot < each / F.col("of_lang")).select("doc_id", "text", "lang")
+    sample = vectors(sample, idf).toPandas().sort_values(["doc_id", "lang"])
+    data = [(np.asarray(f, np.int32), np.asarray(x, np.float64)) for f, x in zip(sample["features"], sample["x"], strict=True)]
+    y = sample["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
     aside = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in sample["doc_id"]], bool)
     if aside.all() or not aside.any():
         aside[:] = False
@@ -162,7 +180,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             said = [shared.value.predict(t) for t in b.column("text").to_pylist()]
             yield record_batch({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": [s[0] for s in said], "score": [s[1] for s in said]}, OUT)
 
