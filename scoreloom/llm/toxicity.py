@@ -4,11 +4,12 @@ Confirmed toxic examples and unlabelled text train a linear numpy classifier ove
 The risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]): unlabelled text stands for a mixture of
 both classes, and where the estimate of the negative part falls below zero its gradient is turned round. The class prior
 comes from all labels that may be learnt from, which need not be a fair sample of the corpus: it is held to ROOM times how much rarer the most
-telling features are in unlabelled text than among positives. The fit takes a bounded sample, ``POSITIVES`` and ``UNLABELLED`` documents;
-scores read every whole text.
+telling features are in unlabelled text than among positives. The fit takes a bounded sample, about ``POSITIVES`` and ``UNLABELLED`` documents, of which
+tasks send the distinct hashes to the driver, not the texts; scores read every whole text.
 
 Defined cases: a null or empty text has no feature and gets the score of the bias alone; without a confirmed toxic example all
-scores are 0; repeated rows each get a row; labels without a document and a null label teach nothing; extra columns pass ``keep``.
+scores are 0; repeated rows each get a row; labels without a document and a null label teach nothing; extra columns pass ``keep`` under any name. A very
+long text is hashed in parts of CHUNK code points.
 """
 
 from __future__ import annotations
@@ -63,6 +64,19 @@ class Presence:
         return h[self.last[h] == at]
 
 
+def presences(docs: DataFrame) -> list[np.ndarray]:
+    """The distinct hashes of each document of a sample, in the order of doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = Presence()
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
+            found = pa.array([present(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], names=["doc_id", "found"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, found array<int>").toPandas()
+    return [np.asarray(x, np.int32) for x in rows.sort_values("doc_id", kind="stable")["found"]]
+
+
 class Model:
     def __init__(self, picked: np.ndarray, weights: np.ndarray, bias: float):
         self.picked, self.weights, self.bias = picked.astype(np.int32), weights.astype(np.float32), bias
@@ -86,18 +100,23 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
 
 
+def risks(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(positive part, negative part, and the gradients of both) of the PU risk with logistic loss; the last weight is the bias."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    wrong, found, claimed = sigmoid(-gp), sigmoid(gp), sigmoid(gu)
+    positive = -prior * np.r_[wrong @ p, wrong.sum()] / len(p)
+    negative = np.r_[claimed @ u, claimed.sum()] / len(u) - prior * np.r_[found @ p, found.sum()] / len(p)
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean(), positive, negative
+
+
 def fit(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative PU risk with logistic loss, by Adam on the whole sample. ``p``, ``u``: rows of features."""
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     n = p.shape[1]
     w, m, v = np.zeros((3, n + 1), np.float32)
     w[n] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
-        gp, gu = p @ w[:n] + w[n], u @ w[:n] + w[n]
-        wrong, found, claimed = sigmoid(-gp), sigmoid(gp), sigmoid(gu)
-        positive = -prior * np.r_[wrong @ p, wrong.sum()] / len(p)
-        negative = np.r_[claimed @ u, claimed.sum()] / len(u) - prior * np.r_[found @ p, found.sum()] / len(p)
-        risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        _, risk, positive, negative = risks(w, p, u, prior)
         g = positive + negative if risk >= 0 else -negative
         g[:n] += DECAY * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -114,16 +133,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = min(0.5, max(0.005, told["p"] / told["n"]))
     lot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     # some POSITIVES ids by their share of a hash: the bound of this broadcast
-    ids = labels.where((F.col("toxic") == 1) & (lot < POSITIVES / told["p"])).select("doc_id").distinct().limit(2 * POSITIVES)
-    positive = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").toPandas().sort_values("doc_id")["text"].tolist()
+    ids = labels.where((F.col("toxic") == 1) & (lot < POSITIVES / told["p"])).select("doc_id", lot.alias("lot")).distinct().orderBy("lot", "doc_id").limit(2 * POSITIVES)
+    positive = presences(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"))
     known = docs.select("doc_id").count()
-    unlabelled = docs.where(lot < UNLABELLED / max(known, 1)).select("doc_id", "text").toPandas().sort_values("doc_id")["text"].tolist()
+    unlabelled = presences(docs.where(lot < UNLABELLED / max(known, 1)))
     if not positive or not unlabelled:
         return empty
-    present, np_, nu = Presence(), np.zeros(HASHES), np.zeros(HASHES)
-    for texts, n in ((positive, np_), (unlabelled, nu)):
-        for t in texts:
-            n[present(t)] += 1
+    np_, nu = np.zeros(HASHES), np.zeros(HASHES)
+    for found, n in ((positive, np_), (unlabelled, nu)):
+        for h in found:
+            n[h] += 1
     a, b = len(positive), len(unlabelled)
     both = (np_ + nu + 1) / (a + b + 2)
     z = (np_ / a - nu / b) / np.sqrt(both * (1 - both) * (1 / a + 1 / b))
@@ -136,12 +155,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = min(prior, max(0.005, ROOM * float((nu[best].sum() / b) / (np_[best].sum() / a))))
     model = Model(picked, np.zeros(len(picked)), 0.0)
 
-    def matrix(texts: list) -> np.ndarray:
-        x = np.zeros((len(texts), len(picked)), np.float32)
-        for i, t in enumerate(texts):
-            for h in hashes(t or ""):
-                at = model.place[h]
-                x[i, at[at >= 0]] = 1
+    def matrix(found: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(found), len(picked)), np.float32)
+        for i, h in enumerate(found):
+            at = model.place[h]
+            x[i, at[at >= 0]] = 1
         return unit(x)
 
     w, bias = fit(matrix(positive), matrix(unlabelled), prior)
