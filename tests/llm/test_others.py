@@ -53,7 +53,7 @@ def test_surrogates_keep_format_and_coreference(spark):
         (1, "Call Mr. John Smith or Mrs. Jane Smith at +1 (212) 555-1234, 1-212-555-1234. Mr. Smith: J.Doe@Mail.example.com j.doe@mail.example.com"),
         (2, None), (3, ""), (4, "Госпожа Анна Иванова 4111 1111 1111 1111 and 4111-1111-1111-1111 ip 10.20.30.41."), (4, "DE89 3704 0044 0532 0130 00 123-45-6789"), (5, "nothing here 12"), (5, "nothing here 12"),
     ]
-    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r")), spark).collect()
+    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r")), spark, "k").collect()
     texts = defaultdict(list)
     for r in out:
         texts[r.doc_id].append(r.text)
@@ -74,14 +74,125 @@ def test_surrogates_keep_format_and_coreference(spark):
 
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"Mr. {'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[i % 26]}{'abcdefghij'[i // 26]}") for i in range(200)]
-    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    out = pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), spark, "k").collect()
     assert len({r.text.lower() for r in out}) == 200 and not {r.text for r in out} & {t for _, t in rows}
 
 
+def test_bare_mentions_and_other_scripts(spark):
+    rows = [
+        (1, "Mr. John Smith came. Smith left; John's hat stayed. Smithson did not come."), (2, "Dr. Jane Doe and Prof Doe met Mlle. Anne Petit."), (3, "السيد محمد علي هنا"), (4, "Κυρία Μαρία Παππά"),
+        (5, "+49 30 123456 or +33 1 23 45 67 89; +44 (20) 7946 0958, +5 apples, 12 345"), (6, "Smith is no name here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_entities", "found", "whole", "row", "new")})
+    out = pii_surrogates.replace(docs, spark, "k")
+    assert out.columns == docs.columns and {r.n_entities for r in out.collect()} == {"x"}
+    t = {r.doc_id: r.text for r in out.collect()}
+    assert "Smith " not in t[1].replace("Smithson", "") and "John" not in t[1] and "Smithson" in t[1]
+    given, surname = t[1].split()[1:3]
+    assert t[1].split()[4] == surname and t[1].split()[6].startswith(given)
+    assert not any(x in t[2] for x in ("Jane", "Doe", "Anne", "Petit")) and t[2].startswith("Dr. ") and t[2].split()[2] == t[2].split()[5]
+    assert t[3].startswith("السيد ") and "محمد" not in t[3] and all("\u0621" <= c <= "\u064a" for c in t[3].split()[1])
+    assert "Μαρία" not in t[4] and t[4].startswith("Κυρία ")
+    assert not any(x in t[5] for x in ("123456", "45 67 89", "7946")) and t[5].endswith("+5 apples, 12 345") and t[5].startswith("+49 ") is False or t[5][0] == "+"
+    assert t[6] == rows[5][1]
+    other = {r.doc_id: r.text for r in pii_surrogates.replace(docs, spark, "another key").collect()}
+    assert other[1] != t[1] and other[6] == t[6]
+
+
+def test_surrogates_against_brute_force(spark):
+    """Card numbers by the definition: HMAC, sign by sign, Luhn."""
+    import hashlib
+    import hmac
+
+    rows = [(i, f"pay 4{i:03d} 1234 5678 901{i % 10} now") for i in range(30)]
+    out = {r.doc_id: r.text for r in pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), spark, "secret").collect()}
+    for i, text in rows:
+        canon = "".join(c for c in text if c.isdigit())
+        h = hmac.new(b"secret", f"card|{canon}|0".encode(), hashlib.sha512).hexdigest()
+        value = lambda k: int(h[(2 * k) % 126 : (2 * k) % 126 + 2], 16)  # noqa: E731, B023
+        body = canon[0] + "".join(str(value(k) % 10) for k in range(1, 15))
+        total = sum(sum(divmod(int(d) * (1 + (15 - k) % 2), 10)) for k, d in enumerate(body))
+        want = body + str(-total % 10)
+        assert "".join(c for c in out[i] if c.isdigit()) == want and out[i].startswith("pay ") and [len(x) for x in out[i].split()] == [3, 4, 4, 4, 4, 3]
+
+
 def test_surrogates_of_empty_table(spark, tmp_path):
     assert pii_surrogates.op2(spark, tables_at(spark, tmp_path, documents=empty(spark))).count() == 0
 
 
+# --- learning, against brute force ------------------------------------------------------------------------------------------
+
+
+def test_ftrl_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(language_id, "FEATURES", 12)
+    rng = np.random.default_rng(5)
+    data, y = [], []
+    for _ in range(40):
+        f = np.sort(rng.choice(12, 4, replace=False))
+        data.append((f, rng.random(4)))
+        y.append(int(f[0] % 3))
+    got, bias = language_id.fit(data, np.array(y), 3)
+    z, n, b = [[[0.0] * 3 for _ in range(12)] for _ in range(2)] + [[0.0] * 3]
+
+    def weight(j, k):
+        shrunk = max(abs(z[j][k]) - language_id.L1, 0) * (1 if z[j][k] > 0 else -1)
+        return -shrunk / ((language_id.BETA + n[j][k] ** 0.5) / language_id.ALPHA + language_id.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(language_id.EPOCHS):
+        for i in order.permutation(len(data)):
+            f, x = data[i]
+            w = [[weight(j, k) for k in range(3)] for j in f]
+            s = [b[k] + sum(x[a] * w[a][k] for a in range(4)) for k in range(3)]
+            e = [np.exp(v - max(s)) for v in s]
+            p = [v / sum(e) for v in e]
+            for k in range(3):
+                g0 = p[k] - (k == y[i])
+                for a, j in enumerate(f):
+                    g = x[a] * g0
+                    sigma = ((n[j][k] + g * g) ** 0.5 - n[j][k] ** 0.5) / language_id.ALPHA
+                    z[j][k] += g - sigma * w[a][k]
+                    n[j][k] += g * g
+                b[k] -= 0.01 * g0
+    assert np.allclose(got, [[weight(j, k) for k in range(3)] for j in range(12)]) and np.allclose(bias, b) and (got == 0).any()
+
+
+def test_many_languages_are_all_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ALL", 600)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, (letters[i % 26] + letters[(i * 7 + 3) % 26]) * 12, f"l{i % 26:02d}") for i in range(2600)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 26 and np.mean([model.predict(t)[0] == lang for _, t, lang in rows[:260]]) > 0.95
+
+
+def test_gradients_of_the_pu_risk():
+    rng = np.random.default_rng(6)
+    p, u, w = rng.random((30, 5)), rng.random((50, 5)), rng.normal(size=6)
+    a, b, ga, gb = toxicity.risks(w, p, u, 0.3)
+    loss = lambda g: np.log1p(np.exp(-g))
+    assert a == pytest.approx(0.3 * loss(p @ w[:5] + w[5]).mean()) and b == pytest.approx(loss(-(u @ w[:5] + w[5])).mean() - 0.3 * loss(-(p @ w[:5] + w[5])).mean())
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        hi, lo = toxicity.risks(w + step, p, u, 0.3), toxicity.risks(w - step, p, u, 0.3)
+        assert (hi[0] - lo[0]) / 2e-6 == pytest.approx(ga[i], abs=1e-6) and (hi[1] - lo[1]) / 2e-6 == pytest.approx(gb[i], abs=1e-6)
+
+
+def test_scores_against_a_dense_scorer():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcde fg"), 200)) for _ in range(20)] + ["", "a"]
+    seen = toxicity.Presence()
+    picked = np.unique(np.concatenate([seen(t) for t in texts]))[::3]
+    model = toxicity.Model(picked, rng.normal(size=len(picked)), 0.4)
+    for t in texts:
+        s = f" {' '.join(t.lower().split())} "
+        grams = {s[i : i + n] for n in toxicity.ORDERS for i in range(len(s) - n + 1) if " " not in s[i + 1 : i + n - 1]}
+        found = set(seen(t).tolist())
+        assert len(found) <= len(grams)
+        x = np.isin(picked, sorted(found)).astype(float)
+        g = float(x @ model.weights) / np.sqrt(max(1, x.sum())) + 0.4
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-g)), abs=1e-6)
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "u", "x" * 2000), (2, "u", "x" * 2000), (3, None, "x" * 2000), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "é" * 500), (8, "u", "é" * 500), (9, "u\r\nX: y", "é" * 499)]
@@ -96,6 +207,20 @@ def test_warc_round_trip_matches_sql(spark, tmp_path):
     assert {r[0]: r[4] for r in got if r[3] == "revisit"} == {1: 3, 2: 3, 7: 8}
 
 
+def test_warc_archives_roll_over_and_long_payloads_pass(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_archives, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc_archives, "RUN_BYTES", 3_000)
+    rng = np.random.default_rng(4)
+    rows = [(i, f"u{i}", "".join(map(chr, rng.integers(97, 123, 3000)))) for i in range(60)] + [(60, "u", "".join(map(chr, rng.integers(97, 123, 300_000))) * 10), (60, "v", "w" * 2000), (60, "v", "w" * 2000), (None, "x", "w" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    scratch = warc_archives.Scratch(spark, "test")
+    manifest = warc_archives.write(pages, scratch)
+    assert manifest.count() > 4 and sum(r.records for r in manifest.collect()) == len(rows)
+    got = warc_archives.read(manifest, scratch.path("archives")).collect()
+    assert sorted((r.page_id or -1, r.payload_bytes) for r in got) == sorted((i or -1, len(t)) for i, _, t in rows)
+    assert [r.record_type for r in got if r.payload_bytes == 2000].count("response") == 1 and all(r.refers_to == 60 for r in got if r.record_type == "revisit")
+
+
 def test_warc_empty(spark, tmp_path):
     assert warc_archives.op4(spark, tables_at(spark, tmp_path, pages=spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
@@ -204,6 +329,16 @@ def seats(votes, n):
     return won
 
 
+def test_shared_folder_is_named_on_clusters(spark):
+    from types import SimpleNamespace
+
+    from scoreloom.llm import shared
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    with pytest.raises(ValueError, match="share"):
+        shared.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_sainte_lague_by_highest_quotients(spark):
     rng = np.random.default_rng(2)
     for n in (1, 2, 17, 400):
