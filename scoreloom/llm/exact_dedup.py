@@ -35,7 +35,7 @@ KEY_BITS = 64
 #: The directory of an owner has 2 ** MOST_DEPTH places at most, for some 4 * 10^9 texts; a bucket that is still overfull then chains on.
 MOST_DEPTH = 20
 #: Bytes of texts that a map task holds while it folds.
-HELD = 24 << 20
+HELD = 6 << 20
 
 
 class Bucket:
@@ -212,6 +212,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 once = [(k, e) for k, e in all_ if e[4] == 1]
                 go = once if sum(len(e[0]) + 200 for _, e in once) > size // 2 else all_
                 yield out(go)
+                pa.default_memory_pool().release_unused()
                 held = {}
                 for k, e in all_ if go is once else ():
                     if e[4] > 1:
