@@ -70,11 +70,11 @@ def presences(docs: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Presence()
         for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
-            found = pa.array([present(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+            found = pa.array([present(t).astype(np.int32).tobytes() for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], names=["doc_id", "found"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, found array<int>").toPandas()
-    return [np.asarray(x, np.int32) for x in rows.sort_values("doc_id", kind="stable")["found"]]
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, found binary").toPandas()
+    return [np.frombuffer(x, np.int32) for x in rows.sort_values("doc_id", kind="stable")["found"]]
 
 
 class Model:
