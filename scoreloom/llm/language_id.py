@@ -77,15 +77,15 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def vectors(sample: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, lang, features, x (its TF-IDF vector) of the rows of a sample."""
+    """doc_id, lang, features, x (its TF-IDF vector, both packed) of the rows of a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
             both = [vector(t, idf) for t in b.column("text").to_pylist()]
-            columns = [pa.array([f.astype(np.int32) for f, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.float64()))]
+            columns = [pa.array([f.astype(np.int32).tobytes() for f, _ in both], pa.binary()), pa.array([x.tobytes() for _, x in both], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], names=["doc_id", "lang", "features", "x"])
 
-    return sample.mapInArrow(run, "doc_id bigint, lang string, features array<int>, x array<double>")
+    return sample.mapInArrow(run, "doc_id bigint, lang string, features binary, x binary")
 
 
 def fit(data: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def train(learn: DataFrame) -> Model:
     lot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     sample = learn.join(F.broadcast(known), "lang").where(lot < each / F.col("of_lang")).select("doc_id", "text", "lang")
     sample = vectors(sample, idf).toPandas().sort_values(["doc_id", "lang"])
-    data = [(np.asarray(f, np.int32), np.asarray(x, np.float64)) for f, x in zip(sample["features"], sample["x"], strict=True)]
+    data = [(np.frombuffer(f, np.int32), np.frombuffer(x)) for f, x in zip(sample["features"], sample["x"], strict=True)]
     y = sample["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
     aside = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in sample["doc_id"]], bool)
     if aside.all() or not aside.any():
