@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
@@ -122,6 +123,59 @@ def indel_ratios(a: list[str], b: list[str], longest: int = 48) -> np.ndarray:
     return out[ia][:, ib]
 
 
+@lru_cache(maxsize=1 << 17)
+def block_ratio(a: str, b: str) -> float:
+    """2 * signs in matching blocks (the longest common one, then those to its left and right) / all signs; both empty is 1."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def block_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``block_ratio`` of every pair. Two signs in common subsequence or more are where it can differ from ``indel_ratio``, below 200 signs."""
+    out = indel_ratios(a, b)
+    size = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None]
+    same = np.array(a, object)[:, None] == np.array(b, object)[None]
+    unsure = (out * size > 3) & ~same
+    matcher = SequenceMatcher(None)
+    for j in np.flatnonzero(unsure.any(axis=0)):
+        matcher.set_seq2(b[j])
+        seen: dict[str, float] = {}
+        for i in np.flatnonzero(unsure[:, j]):
+            if a[i] not in seen:
+                matcher.set_seq1(a[i])
+                seen[a[i]] = matcher.ratio()
+            out[i, j] = seen[a[i]]
+    return out
+
+
+def edit_shares(a: list[str], b: list[str], longest: int = 48) -> np.ndarray:
+    """Edit distance / the longer length of every pair (0 for two empty texts), one numpy step for each pair of places; long texts go one by one."""
+    from .prose import edit_distance
+
+    ua, ia = np.unique(np.array(a, object).astype(str), return_inverse=True)
+    ub, ib = np.unique(np.array(b, object).astype(str), return_inverse=True)
+    na, nb = np.char.str_len(ua), np.char.str_len(ub)
+    out = np.zeros((len(ua), len(ub)))
+    sa, sb = np.flatnonzero(na <= longest), np.flatnonzero(nb <= longest)
+    if len(sa) and len(sb):
+        code = lambda u, pad: np.array([[*map(ord, x), *[pad] * (longest - len(x))] for x in u], np.int32)[:, : max(1, max(map(len, u)))]
+        ca, cb = code(ua[sa], -1), code(ub[sb], -2)
+        row = [np.full((len(sa), len(sb)), y, np.int16) for y in range(cb.shape[1] + 1)]
+        found = np.where(na[sa][:, None] == 0, nb[sb][None], 0).astype(np.int16)
+        for x in range(ca.shape[1]):
+            left, row[0] = row[0], np.full((len(sa), len(sb)), x + 1, np.int16)
+            for y in range(cb.shape[1]):
+                keep = row[y + 1]
+                row[y + 1] = np.minimum(np.minimum(row[y + 1], row[y]) + 1, left + (ca[:, x, None] != cb[None, :, y]))
+                left = keep
+            for at in np.flatnonzero(na[sa] == x + 1):  # texts that end here
+                found[at] = np.array([row[n][at, k] for k, n in enumerate(nb[sb])])
+        out[np.ix_(sa, sb)] = found / np.maximum(np.maximum(na[sa][:, None], nb[sb][None]), 1)
+    for x in range(len(ua)):
+        for y in np.flatnonzero((na[x] > longest) | (nb > longest)):
+            out[x, y] = edit_distance(str(ua[x]), str(ub[y])) / max(na[x], nb[y])
+    return out[ia][:, ib]
+
+
 def aligned_totals(reward: np.ndarray) -> np.ndarray:
     """The best monotone alignment's total of each matrix in the last two dimensions."""
     n, m = reward.shape[-2:]
@@ -140,7 +194,7 @@ def grid_similarity(true: list[list[str]], predicted: list[list[str]]) -> dict:
     rows, cols = (len(true), len(predicted)), (len(true[0]) if true else 0, len(predicted[0]) if predicted else 0)
     if not rows[0] * cols[0] or not rows[1] * cols[1]:
         return {"f": float(rows[0] * cols[0] == rows[1] * cols[1]), "rows": [], "cols": []}
-    flat = indel_ratios([c for r in true for c in r], [c for r in predicted for c in r])
+    flat = block_ratios([c for r in true for c in r], [c for r in predicted for c in r])
     cell = flat.reshape(rows[0], cols[0], rows[1], cols[1]).transpose(0, 2, 1, 3)
     row_pairs = align_sequences(aligned_totals(cell))[1]
     col_pairs = align_sequences(aligned_totals(cell.transpose(2, 3, 0, 1)))[1]
@@ -185,83 +239,6 @@ def tree_distance(a: tuple, b: tuple, rename=lambda x, y: float(x != y)) -> floa
     return float(tree[-1, -1])
 
 
-def table_tree(grid: list[list[str]]) -> tuple:
-    return ("table", [("tr", [(f"td:{c}", []) for c in row]) for row in grid])
-
-
-def cell_rename(x: str, y: str) -> float:
-    """Cells are renamed at the cost of their dissimilarity, other nodes at 1."""
-    if x[:3] == y[:3] == "td:":
-        return 1 - indel_ratio(x[3:], y[3:])
-    return float(x != y)
-
-
-def table_distance(true: list[list[str]], predicted: list[list[str]]) -> float:
-    """The tree edit distance of two tables, whose trees have three levels.
-
-    Roots of one label may always be mapped to each other, so that two rows differ by the edit distance of their cells, and a cell from a row by
-    what is left of the row without its nearest cell. One pass over the forests of rows remains, a numpy step for each node.
-    """
-    sizes = [[len(r) for r in g] for g in (true, predicted)]
-    flat = [[c for r in g for c in r] for g in (true, predicted)]
-    change = 1 - indel_ratios(*flat) if flat[0] and flat[1] else np.zeros((len(flat[0]), len(flat[1])))
-    starts = [np.cumsum([0, *s]) for s in sizes]
-    # rows against rows, all pairs of one size together
-    rows = np.zeros((len(true), len(predicted)))
-    for n in set(sizes[0]):
-        for m in set(sizes[1]):
-            a, b = np.flatnonzero(np.array(sizes[0]) == n), np.flatnonzero(np.array(sizes[1]) == m)
-            at = lambda i, j: change[np.ix_(starts[0][a] + i, starts[1][b] + j)]  # noqa: E731, B023
-            line = [np.full((len(a), len(b)), float(j)) for j in range(m + 1)]
-            for i in range(n):
-                left, line[0] = line[0], line[0] + 1
-                for j in range(m):
-                    keep = line[j + 1]
-                    line[j + 1] = np.minimum(np.minimum(line[j + 1], line[j]) + 1, left + at(i, j))
-                    left = keep
-            rows[np.ix_(a, b)] = line[m]
-    # nodes of the forests in postorder: the cells of a row, then the row
-    kind = [np.concatenate([np.r_[np.arange(x, y), -1 - k] for k, (x, y) in enumerate(zip(st[:-1], st[1:], strict=True))]) if len(st) > 1 else np.zeros(0, int) for st in starts]
-    first = [np.concatenate([np.r_[np.arange(n), 0] + base for n, base in zip(s, np.cumsum([0, *[n + 1 for n in s[:-1]]]), strict=True)]).astype(int) if s else np.zeros(0, int) for s in sizes]
-    cells = [np.flatnonzero(k >= 0) for k in kind]
-    heads = [np.flatnonzero(k < 0) for k in kind]
-    tree = np.zeros((len(kind[0]), len(kind[1])))
-    tree[np.ix_(cells[0], cells[1])] = change
-    tree[np.ix_(heads[0], heads[1])] = rows
-    for k, (x, y) in enumerate(zip(starts[1][:-1], starts[1][1:], strict=True)):
-        tree[cells[0], heads[1][k]] = (y - x) + (change[:, x:y].min(axis=1) if y > x else 1.0) if len(cells[0]) else 0
-    for k, (x, y) in enumerate(zip(starts[0][:-1], starts[0][1:], strict=True)):
-        tree[heads[0][k], cells[1]] = (y - x) + (change[x:y].min(axis=0) if y > x else 1.0) if len(cells[1]) else 0
-    n, m = tree.shape
-    forest, place = np.empty((n + 1, m + 1)), np.arange(m + 1)
-    forest[0] = place
-    for i in range(n):
-        own = np.r_[i + 1.0, np.minimum(forest[i, 1:] + 1, forest[first[0][i], first[1]] + tree[i])]
-        forest[i + 1] = np.minimum.accumulate(own - place) + place
-    return float(forest[n, m])
-
-
-def teds(true: list[list[str]], predicted: list[list[str]]) -> float:
-    """1 - edit distance / size of the larger tree."""
-    size = lambda g: 1 + len(g) + sum(map(len, g))
-    return 1 - table_distance(true, predicted) / max(size(true), size(predicted))
-
-
-def record_match(true: list[list[str]], predicted: list[list[str]], empty=("", "-")) -> float:
-    """Table record match: columns by header at a ratio of 0.9 or more, records by assignment; sum of scores / the longer side."""
-    if len(true) < 2 or len(predicted) < 2:
-        return float(len(true) < 2 and len(predicted) < 2)
-    ratio = indel_ratios([a.lower() for a in true[0]], [b.lower() for b in predicted[0]])
-    columns = [(i, j) for i, j in assign(-ratio) if ratio[i, j] >= 0.9]
-
-    def score(a: list[str], b: list[str]) -> float:
-        same = sum(1.0 if a[i] == b[j] or (a[i] in empty and b[j] in empty) else 0.0 for i, j in columns)
-        return same / max(len(true[0]), 1)
-
-    worth = np.array([[score(a, b) for b in predicted[1:]] for a in true[1:]])
-    return float(sum(worth[i, j] for i, j in assign(-worth)) / max(len(true) - 1, len(predicted) - 1))
-
-
 def greedy_match(iou: np.ndarray, scores: np.ndarray, threshold: float = 0.5) -> np.ndarray:
     """By falling score, each prediction takes the free true box of the largest IoU at or above the threshold; -1 if none."""
     free, out = np.ones(iou.shape[1], bool), np.full(iou.shape[0], -1)

@@ -14,8 +14,9 @@ CANON_VERSION = "1"
 ARABIC_INDIC, EXTENDED_INDIC, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 SEPARATORS_FROM, SEPARATORS_TO = "٫٬٪", ".,%"
 INVISIBLE = "[\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
-DIACRITICS = "[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06ED\\u0640]"
-LETTERS_FROM, LETTERS_TO = "أإآٱىة", "ااااي" + "ه"
+DIACRITICS = "[\\u064B-\\u065F\\u0670\\u06D6-\\u06DC\\u06DF-\\u06E4\\u06E7\\u06E8\\u06EA-\\u06ED\\u0640]"
+LETTERS_FROM, LETTERS_TO = "أإآٱىة", "ااااي\u0647"
+CLOSING = "[,،.؛;:!؟?%)\\]]"
 MOJIBAKE = "[ÃÂØÙ][\\u0080-\\u00BF]"
 NULL_FORMS = ("", "-", "—", "–", "null", "none", "n/a")
 
@@ -44,7 +45,7 @@ def fold_numerals(c: Column) -> Column:
 
 def fold_paren_negatives(c: Column) -> Column:
     """(1,000) is -1,000."""
-    return F.regexp_replace(c, r"\(\s*([0-9][0-9,.]*)\s*\)", "-$1")
+    return F.regexp_replace(c, r"(?U)\(\s*(\d[\d,.]*)\s*\)", "-$1")
 
 
 def fold_letters(c: Column) -> Column:
@@ -56,16 +57,17 @@ def era_spacing(c: Column) -> Column:
 
 
 def spacing(c: Column) -> Column:
-    """White space collapses; none stays before closing punctuation, after an opening bracket, or at the ends."""
+    """White space collapses; none stays before closing punctuation (of either script), after an opening bracket, or at the ends."""
     one = F.regexp_replace(c, r"(?U)\s+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(one, r" ([,.;:!?)\]])", "$1"), r"([(\[]) ", "$1"))
+    return F.trim(F.regexp_replace(F.regexp_replace(one, f" ({CLOSING})", "$1"), r"([(\[]) ", "$1"))
 
 
 def rules(letters: bool = False, unicode: bool = True) -> list[tuple[str, object]]:
-    """The active rules, in order."""
-    first = [("nfkc", nfkc)] if unicode else []
-    rest = [("strip_invisibles", strip_invisibles), ("strip_diacritics", strip_diacritics), ("fold_numerals", fold_numerals)]
-    return first + rest + ([("fold_letters", fold_letters)] if letters else []) + [("fold_paren_negatives", fold_paren_negatives), ("era_spacing", era_spacing), ("spacing", spacing)]
+    """The active rules, in order; letters are folded after negatives and before spacing."""
+    first = [("text/nfkc", nfkc)] if unicode else []
+    first += [("text/strip_invisibles", strip_invisibles), ("text/strip_diacritics", strip_diacritics), ("text/fold_numerals", fold_numerals), ("text/fold_paren_negatives", fold_paren_negatives)]
+    last = [("text/normalize_spacing", spacing), ("text/era_marker_spacing", era_spacing)]
+    return first + ([("text/fold_letter_variants", fold_letters)] if letters else []) + last
 
 
 def canonical(c: Column, letters: bool = False, unicode: bool = True) -> Column:

@@ -231,7 +231,7 @@ def canon_paren_neg(t):
     return t("customer").select("c_custkey", text.fold_paren_negatives(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("("), amount, F.lit(")"))).otherwise(amount)).alias("folded"))
 
 
-@query("select p_partkey, 'سعر ' || format('{:,.2f}', p_retailprice) as canon, 'fold_numerals' as fired from part")
+@query("select p_partkey, 'سعر ' || format('{:,.2f}', p_retailprice) as canon, 'text/fold_numerals' as fired from part")
 def canon_trace(t):
     value, fired = text.traced(F.col("raw"), unicode=False)
     return _indic(t).select("p_partkey", value.alias("canon"), F.array_join(fired, ",").alias("fired"))
@@ -459,36 +459,6 @@ def hungarian_rows(t):
     return align.assign(a, a.withColumn("s", F.when(F.col("p") % 7 == 0, F.col("s") + 1).otherwise(F.col("s"))), "l_orderkey", "n", ["p", "s"])
 
 
-def _grids(t):
-    """By region, the grid of its nations and one that lacks a row and misspells names."""
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
-    by = t("nation").groupBy("n_regionkey").agg(rows.alias("a"))
-    return by.withColumn("b", F.transform(F.slice("a", 1, 4), lambda r: F.array(r[0], F.replace(r[1], F.lit("A"), F.lit("E")))))
-
-
-def _kernel(t, f) -> DataFrame:
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(f([list(r) for r in x], [list(r) for r in y]), 6) for x, y in zip(a, b, strict=True)])
-
-    return _grids(t).select("n_regionkey", score("a", "b").alias("score"))
-
-
-@query()
-def grits_pair(t):
-    return _kernel(t, lambda x, y: kernels.grid_similarity(x, y)["f"])
-
-
-@query()
-def teds_pair(t):
-    return _kernel(t, kernels.teds)
-
-
-@query()
-def trm_pair(t):
-    return _kernel(t, kernels.record_match)
-
-
 @query("""select p_partkey, round(jaro_winkler_similarity(p_name, p_type), 6) as similarity from part""")
 def jaro_winkler(t):
     @F.pandas_udf("double")
@@ -629,15 +599,6 @@ def association_f1(t):
     return grounding.association_f1(half(0), half(1), "o_custkey", "o_orderpriority")
 
 
-@query()
-def score_document_passes(t):
-    grid = tables.cells(_nation_tables(t), "n_regionkey", "markup").select("n_regionkey", "tbl", "row", "col", "text")
-    said = grid.where("row <> 2").withColumn("text", F.replace("text", F.lit("A"), F.lit("E")))
-    key = ["n_regionkey", "tbl"]
-    sides = [scoring.grids(scoring.passes(g, key), ["n_regionkey", "pass", "tbl"]) for g in (grid, said)]
-    return scoring.score_tables(*sides, ["n_regionkey"])
-
-
 @query("""with x as (select nullif(event_type, '') system, event_id % 3 p, case when value > 50 then 'failed' else 'ok' end st, value v from events)
 select system, round(avg(case when p = 0 then case when st = 'failed' then 0 else v end end), 6) as raw, round(avg(case when p = 1 then case when st = 'failed' then 0 else v end end), 6) as "text",
 round(avg(case when p = 2 then case when st = 'failed' then 0 else v end end), 6) as struct, 'trm' as metric from x group by 1""")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from scoreloom.plans import catalogue
+from scoreloom.plans import cases, catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,6 +18,9 @@ def duck():
     return con
 
 
+QUERIES, ORACLES = {**catalogue.QUERIES, **cases.QUERIES}, {**catalogue.ORACLES, **cases.ORACLES}
+
+
 def plain(v):
     if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return "null"
@@ -33,9 +36,9 @@ def rows(df):
     return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    mine, theirs = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
+    mine, theirs = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert rows(mine) == rows(theirs)
 
@@ -46,6 +49,6 @@ def test_assignment_covers_every_row(spark):
     assert out.true_row.is_unique and out.predicted_row.is_unique
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"hungarian_rows"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"hungarian_rows"}))
 def test_query_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0

@@ -1,3 +1,4 @@
+import difflib
 import itertools
 import random
 
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scoreloom.functions import kernels
+from scoreloom.functions import kernels, prose, table_metrics
 
 
 @settings(max_examples=60, deadline=None)
@@ -39,47 +40,67 @@ def test_jaro_winkler_known():
     assert kernels.jaro_winkler("", "a") == 0 and kernels.jaro_winkler("x", "x") == 1
 
 
-def random_tree(rng, size):
-    if size <= 1:
-        return (rng.choice("ab"), [])
-    parts, left = [], size - 1
-    while left:
-        k = rng.randint(1, left)
-        parts.append(random_tree(rng, k))
-        left -= k
-    return (rng.choice("ab"), parts)
+def random_table(rng):
+    head = f'<thead><tr><th colspan="{rng.choice([1, 2])}">h</th></tr></thead>' if rng.random() < 0.5 else ""
+    row = lambda: "<tr>" + "".join(f"<td>{rng.choice(['a', 'ab', '', 'xyz'])}</td>" for _ in range(rng.randrange(3))) + "</tr>"
+    return table_metrics.trees(f"<table>{head}<tbody>{''.join(row() for _ in range(rng.randrange(3)))}</tbody></table>")[0]
 
 
-def forest_distance(a, b, memo):
-    """Edit distance of forests by its definition."""
-    key = repr((a, b))
+def forest_distance(a, b, memo, variant):
+    key = (tuple(map(id, a)), tuple(map(id, b)))
     if key not in memo:
-        size = lambda f: sum(1 + size(t[1]) for t in f)
+        size = lambda f: sum(1 + size(t.children) for t in f)
         if not a or not b:
             memo[key] = size(a) + size(b)
         else:
-            (la, ca), (lb, cb) = a[-1], b[-1]
+            change = table_metrics.renames([a[-1]], [b[-1]], variant)[0, 0]
             memo[key] = min(
-                forest_distance(a[:-1] + ca, b, memo) + 1, forest_distance(a, b[:-1] + cb, memo) + 1,
-                forest_distance(a[:-1], b[:-1], memo) + forest_distance(ca, cb, memo) + (la != lb),
+                forest_distance(a[:-1] + a[-1].children, b, memo, variant) + 1, forest_distance(a, b[:-1] + b[-1].children, memo, variant) + 1,
+                forest_distance(a[:-1], b[:-1], memo, variant) + forest_distance(a[-1].children, b[-1].children, memo, variant) + change,
             )
     return memo[key]
 
 
-def test_tree_distance_against_definition():
+@pytest.mark.parametrize("variant", table_metrics.VARIANTS)
+def test_tree_distance_against_definition(variant):
     rng = random.Random(4)
-    for _ in range(40):
-        a, b = random_tree(rng, rng.randint(1, 7)), random_tree(rng, rng.randint(1, 7))
-        assert kernels.tree_distance(a, b) == forest_distance([a], [b], {})
+    for _ in range(30):
+        a, b = random_table(rng), random_table(rng)
+        assert table_metrics.tree_distance(a, b, variant) == pytest.approx(forest_distance([a], [b], {}, variant))
 
 
 def test_grids():
     g = [["a", "b"], ["c", "d"], ["e", "f"]]
-    assert kernels.grid_similarity(g, g)["f"] == kernels.teds(g, g) == kernels.record_match(g, g) == 1
+    assert kernels.grid_similarity(g, g)["f"] == 1
     part = kernels.grid_similarity(g, g[:2])
     assert part["rows"] == [(0, 0), (1, 1)] and part["f"] == pytest.approx(0.8)
     assert kernels.grid_similarity([], [])["f"] == 1 and kernels.grid_similarity(g, [])["f"] == 0
-    assert kernels.record_match(g, [["a", "b"], ["e", "f"], ["c", "d"]]) == 1
+
+
+def test_edit_shares():
+    rng = random.Random(7)
+    words = ["", "x" * 60, *("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(20))]
+    want = [[prose.edit_distance(a, b) / max(len(a), len(b), 1) for b in words[::-1]] for a in words]
+    assert kernels.edit_shares(words, words[::-1]) == pytest.approx(np.array(want))
+
+
+def test_block_ratios():
+    rng = random.Random(6)
+    words = ["", *("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(30))]
+    assert kernels.block_ratios(words, words[::-1]) == pytest.approx(np.array([[difflib.SequenceMatcher(None, a, b).ratio() for b in words[::-1]] for a in words]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab ", max_size=7), st.text("abc ", max_size=30))
+def test_partial_ratio_and_near_matches(a, b):
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    parts = [long[i:j] for i in range(len(long) + 1) for j in range(i, len(long) + 1) if j - i == n or (j - i < n and (i == 0 or j == len(long)) and j > i)]
+    want = max((prose.ratio(short, p) for p in parts), default=1.0) if short else float(not long)
+    assert prose.partial_ratio(a, b) == pytest.approx(want)
+    near = prose.near_matches(a, b, 1)  # a pattern of one sign is within an edit of nothing
+    exists = any(prose.edit_distance(a, b[i:j]) <= 1 for i in range(len(b) + 1) for j in range(i, len(b) + 1))
+    assert bool(near) == exists or len(a) < 2
 
 
 def test_greedy_match_takes_each_box_once():
@@ -88,14 +109,6 @@ def test_greedy_match_takes_each_box_once():
     assert kernels.average_precision(np.array([1, 0, 1]), 2) == pytest.approx((1 + 2 / 3) / 2)
 
 
-def test_table_distance_is_the_tree_distance():
-    rng = random.Random(9)
-    for _ in range(60):
-        a, b = ([["".join(rng.choice("ab") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(0, 4))] for _ in range(2))
-        want = kernels.tree_distance(kernels.table_tree(a), kernels.table_tree(b), kernels.cell_rename)
-        assert kernels.table_distance(a, b) == pytest.approx(want)
-
-
 def test_ratios_of_all_pairs():
     rng = random.Random(8)
     words = ["", "x" * 60, *("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(20))]

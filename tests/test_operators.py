@@ -21,7 +21,7 @@ def test_canonical(spark, raw, want):
 
 
 def test_trace_names_what_fired(spark):
-    assert one(spark, "(١)", lambda c: text.traced(c)[1]) == ["fold_numerals", "fold_paren_negatives"]
+    assert one(spark, "(١)", lambda c: text.traced(c)[1]) == ["text/fold_numerals", "text/fold_paren_negatives"]
 
 
 @pytest.mark.parametrize(("raw", "want"), [("1,234.50", "1234.5"), ("12", "12"), ("1,5", "1.5"), ("1,2345", "1.2345"), ("-", "0"), ("", "0"), ("1,234", "1234"), ("n.a.", None), ("1.2.3", None), ("-7", "-7")])
