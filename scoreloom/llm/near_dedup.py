@@ -38,7 +38,7 @@ from .shared import Scratch, documents, joined_bytes, mixed, partitions, record_
 TREES, ROOT, DEPTH = 16, 4, 7
 MOST, FIRST, ESTIMATE = 128, 2, 0.64
 #: Of step 3: members of a side of a tile, the least share of equal digits, and bits of a shingle that count its frequency.
-LOT, SURE, COUNTED = 512, 0.5, 18
+LOT, SURE, COUNTED = 256, 0.5, 18
 #: Links that one task of ``components`` holds.
 HELD = 1 << 20
 #: Similarity as a share: 100 * intersection >= 80 * union.
