@@ -31,6 +31,16 @@ def nfkc(c: Column) -> Column:
     return run(c)
 
 
+def nfc(c: Column) -> Column:
+    """Unicode NFC."""
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return run(c)
+
+
 def strip_invisibles(c: Column) -> Column:
     return F.regexp_replace(c, INVISIBLE, "")
 

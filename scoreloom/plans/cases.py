@@ -116,15 +116,7 @@ VALUES = [
     ("date_key", "31 ديسمبر 2023م", None, "(2023, 12, 31)"), ("date_key", "البيان", None, "None"), ("is_numeric", "-", None, "True"), ("is_numeric", "12 a", None, "False"), ("effectively_null", "  ", None, "True"),
     ("ratio", "abc", "acb", "0.6667"), ("ratio", "", "", "1.0"), ("partial_ratio", "bcd", "abcde", "1.0"), ("partial_ratio", "abxd", "zzabcdzz", "0.75"), ("near_matches", "hello", "say helo twice hallo", "2"), ("jaro_winkler", "MARTHA", "MARHTA", "0.9611"), ("edit_distance", "abc", "acb", "2"), ("block_ratio", "abcd", "bcda", "0.75"),
     ("occurrences", "cat", "cat concat cat.", "2"), ("occurrences", "検査", "検査結果検査", "2"), ("sha_key", '{"b":[1,"A."],"a":null}', None, "{a:,b:[1,a]}"), ("url", "https://www.X.com/", None, "x.com"), ("contained", "a b c", "c b z", "0.6667"), ("supported", "Acme Corp", "the ACME corp.", "True"), ("supported", "ab", "ab", "False"),
-    ("usd", "1234.5", None, "$1,234.50"), ("usd", "0.0123", None, "1.23¢"), ("usd", None, None, "n/a"),
-]
-
-
-def usd(v: float | None) -> str:
-    """Dollars; below a cent's tenfold, cents."""
-    if v is None:
-        return "n/a"
-    return f"{100 * v:.2f}¢" if abs(v) < 0.1 else f"${v:,.2f}"
+    ]
 
 
 def _short(v) -> str:
@@ -135,7 +127,7 @@ def _value(op: str, a: str | None, b: str | None) -> str:
     own = {
         "box_number": agreement.box_number, "amount": canon.amount, "date_key": canon.date_key, "is_numeric": canon.is_numeric, "ratio": prose.ratio, "partial_ratio": prose.partial_ratio,
         "near_matches": lambda x, y: len(prose.near_matches(x, y, 1)), "jaro_winkler": prose.jaro_winkler, "edit_distance": prose.edit_distance, "block_ratio": metrics.kernels.block_ratio, "occurrences": prose.occurrences,
-        "sha_key": lambda x: agreement.stable(json.loads(x)), "url": agreement.url, "contained": agreement.contained, "supported": agreement.supported, "usd": lambda x: usd(None if x is None else float(x)),
+        "sha_key": lambda x: agreement.stable(json.loads(x)), "url": agreement.url, "contained": agreement.contained, "supported": agreement.supported,
     }
     f = own.get(op) or getattr(readings, op)
     two = op in ("numbers_match", "numeric_similarity", "dates_match", "ratio", "partial_ratio", "near_matches", "jaro_winkler", "edit_distance", "block_ratio", "occurrences", "contained", "supported")

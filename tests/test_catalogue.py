@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from scoreloom.plans import cases, catalogue
+from scoreloom.plans import catalogue, engine_cases
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,7 +18,7 @@ def duck():
     return con
 
 
-QUERIES, ORACLES = {**catalogue.QUERIES, **cases.QUERIES}, {**catalogue.ORACLES, **cases.ORACLES}
+QUERIES, ORACLES = {**catalogue.QUERIES, **engine_cases.QUERIES}, {**catalogue.ORACLES, **engine_cases.ORACLES}
 
 
 def plain(v):
