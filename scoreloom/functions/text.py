@@ -15,7 +15,7 @@ ARABIC_INDIC, EXTENDED_INDIC, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴
 SEPARATORS_FROM, SEPARATORS_TO = "٫٬٪", ".,%"
 INVISIBLE = "[\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
 DIACRITICS = "[\\u064B-\\u065F\\u0670\\u06D6-\\u06DC\\u06DF-\\u06E4\\u06E7\\u06E8\\u06EA-\\u06ED\\u0640]"
-LETTERS_FROM, LETTERS_TO = "أإآٱىة", "ااااي\u0647"
+LETTERS_FROM, LETTERS_TO = "أإآٱىة", "اااايه"
 CLOSING = "[,،.؛;:!؟?%)\\]]"
 MOJIBAKE = "[ÃÂØÙ][\\u0080-\\u00BF]"
 NULL_FORMS = ("", "-", "—", "–", "null", "none", "n/a")

@@ -50,11 +50,11 @@ def pieces(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarray, n
     return [(g[g < n], g[g >= n] - n) for g in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)]
 
 
-def assign(true: DataFrame, predicted: DataFrame, group: str, row: str, fields: list[str], buckets: int = 256) -> DataFrame:
+def assign(true: DataFrame, predicted: DataFrame, group: str, row: str, fields: list[str], buckets: int | None = None) -> DataFrame:
     """Assignment of the rows of a group at the least number of differing fields: group, true row, predicted row, n_same, complete.
 
     Rows that are equal in all fields are peeled off by a join first, so that the kernel sees only what remains. Small groups share a
-    call of the kernel, a bucket of them. A group whose matrix is too large is assigned piece by piece of rows that share values, and
+    call of the kernel, a bucket of them; there are eight buckets a shuffle partition unless ``buckets`` says otherwise. A group whose matrix is too large is assigned piece by piece of rows that share values, and
     what is left is paired in order, with nothing equal: the same least cost. Only the rows of a piece that is too large by itself are not
     assigned: each, of either side, comes with a null partner and complete = false.
     """
@@ -91,6 +91,7 @@ def assign(true: DataFrame, predicted: DataFrame, group: str, row: str, fields:
                 out += [(key, int(a[row].iloc[at[i]]), int(b[row].iloc[to[j]]), 0, True) for i, j in zip(*map(sorted, left), strict=False)]
         return pd.DataFrame(out, columns=names).astype({"true_row": "Int64", "predicted_row": "Int64"})
 
+    buckets = buckets or 8 * int(true.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(group), F.lit(buckets)).alias("_bucket")
     # names of its own: the two sides may come from one plan
     sides = [d.select(bucket, *[F.col(c).alias(c) for c in (group, row, *fields)]).groupBy("_bucket") for d in (rest_true, rest_predicted)]

@@ -12,10 +12,38 @@ def _by_score(rows: DataFrame, score: str, correct: str) -> DataFrame:
     return rows.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(correct).cast("long").alias("good"))
 
 
+def ranged(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with ``_range``: ranges of ``by`` of about equal size, one a shuffle partition, in order."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    cuts = rows.agg(F.percentile_approx(by, [i / n for i in range(1, n)]).alias("cuts")).first().cuts or []
+    return rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(by))) if cuts else F.lit(0))
+
+
+def running(rows: DataFrame, by: str, sums: dict[str, str]) -> DataFrame:
+    """Rows with sums of columns over all rows before each in the order of ``by``, whose values are distinct: new name -> column.
+
+    Ranges are summed first, as many as there are shuffle partitions, then rows within their range: no window sees all rows.
+    """
+    t = ranged(rows, by)
+    whole, inner = (w.rowsBetween(W.unboundedPreceding, -1) for w in (W.orderBy("_range"), W.partitionBy("_range").orderBy(by)))
+    totals = t.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_all_{n}").over(whole), F.lit(0)).alias(f"_all_{n}") for n in sums])
+    t = t.join(F.broadcast(totals), "_range")  # a row a range
+    return t.withColumns({n: F.col(f"_all_{n}") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()}).drop("_range", *[f"_all_{n}" for n in sums])
+
+
+def previous(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Rows with the next smaller value of ``by``, whose values are distinct; null for the least."""
+    t = ranged(rows, by)
+    ends = t.groupBy("_range").agg(F.max(by).alias("_end"))
+    ends = ends.select("_range", F.max("_end").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_end"))
+    own = F.lag(by).over(W.partitionBy("_range").orderBy(by))
+    return t.join(F.broadcast(ends), "_range").withColumn(name, F.coalesce(own, "_end")).drop("_range", "_end")
+
+
 def roc_auc(rows: DataFrame, score: str, correct: str) -> DataFrame:
     """Mann-Whitney with average ranks; null if all are of one kind."""
-    w = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = _by_score(rows, score, correct).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = running(_by_score(rows, score, correct), score, {"below": "n"})
     rank = F.col("below") + (F.col("n") + 1) / 2
     t = ranked.agg(F.sum(rank * F.col("good")).alias("ranks"), F.sum("good").alias("p"), F.sum(F.col("n") - F.col("good")).alias("q"))
     auc = (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
@@ -24,8 +52,10 @@ def roc_auc(rows: DataFrame, score: str, correct: str) -> DataFrame:
 
 def thresholds(rows: DataFrame, score: str, correct: str) -> DataFrame:
     """For each observed score: what is kept at or above it, its coverage and precision."""
-    above = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    t = _by_score(rows, score, correct).withColumns({"kept": F.sum("n").over(above), "right": F.sum("good").over(above), "all": F.sum("n").over(W.partitionBy())})
+    t = _by_score(rows, score, correct)
+    totals = t.agg(F.struct(F.sum("n").alias("n"), F.sum("good").alias("good")).alias("x")).scalar()
+    t = running(t, score, {"below": "n", "wrong": "good"}).withColumn("total", totals)
+    t = t.withColumns({"kept": F.col("total.n") - F.col("below"), "right": F.col("total.good") - F.col("wrong"), "all": F.col("total.n")})
     return t.select(F.col(score).alias("threshold"), "kept", "right", (F.col("kept") / F.col("all")).alias("coverage"), (F.col("right") / F.col("kept")).alias("precision"))
 
 
@@ -37,8 +67,8 @@ def curve(points: DataFrame) -> DataFrame:
 
 def area(points: DataFrame) -> DataFrame:
     """Sum of coverage steps times the precision at their right end."""
-    step = F.col("coverage") - F.coalesce(F.lag("coverage").over(W.orderBy("coverage")), F.col("coverage"))
-    return points.withColumn("part", step * F.col("precision")).agg(F.round(F.sum("part"), 6).alias("area"))
+    step = F.col("coverage") - F.coalesce("before", "coverage")
+    return previous(points, "coverage", "before").withColumn("part", step * F.col("precision")).agg(F.round(F.sum("part"), 6).alias("area"))
 
 
 def best_at(points: DataFrame, least: float) -> DataFrame:

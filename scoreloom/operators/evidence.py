@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels, numbers
 
 # fixed values: written forms of truth
-TRUE, FALSE = ("true", "yes", "y", "1", "x", "checked"), ("false", "no", "n", "0", "", "unchecked")
+TRUE, FALSE = ("true", "yes", "y", "1", "checked", "x"), ("false", "no", "n", "0", "unchecked", "")
 
 
 def blank(c: Column) -> Column:

@@ -7,15 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..functions.udfs import overlaps
+from .layout import touching
 
 
 def best_block(elements: DataFrame, blocks: DataFrame, page: str, ioa_least: float = 0.3) -> DataFrame:
     """The block that covers most of each element, if it covers ``ioa_least`` of it: page, id, block, ioa. Boxes: page, id, x0..y1."""
-    names = ("x0", "y0", "x1", "y1")
-    a = elements.select(page, F.col("id"), *[F.col(c).alias(f"a_{c}") for c in names])
-    b = blocks.select(page, F.col("id").alias("block"), *[F.col(c).alias(f"b_{c}") for c in names])
-    touch = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
-    both = a.join(b, page).where(touch).withColumn("ioa", geometry.ioa(geometry.box("a_"), geometry.box("b_"))).where(F.col("ioa") >= ioa_least)
+    both = touching(elements, blocks, page).withColumnsRenamed({"a_id": "id", "b_id": "block"})
+    both = both.withColumn("ioa", geometry.ioa(geometry.box("a_"), geometry.box("b_"))).where(F.col("ioa") >= ioa_least)
     return both.groupBy(page, "id").agg(F.max_by(F.struct("block", "ioa"), F.struct("ioa", -F.col("block"))).alias("x")).select(page, "id", "x.block", "x.ioa")
 
 
@@ -24,14 +23,8 @@ def attributed(pairs: DataFrame, key: list[str], true: str, said: str) -> DataFr
 
     Without predicted tokens precision is 1, without true ones recall is 1.
     """
-    t = pairs.withColumns({"_t": F.coalesce(F.size(true), F.lit(0)), "_s": F.coalesce(F.size(said), F.lit(0))})
-    one = lambda c, n: F.explode_outer(F.when(F.size(c) > 0, F.col(c)))
-    row = F.monotonically_increasing_id()
-    numbered = t.withColumn("_row", row)
-    count = lambda c, n: numbered.select("_row", one(c, n).alias("token")).where("token is not null").groupBy("_row", "token").agg(F.count(F.lit(1)).alias(n))
-    same = count(true, "a").join(count(said, "b"), ["_row", "token"]).groupBy("_row").agg(F.sum(F.least("a", "b")).alias("_same"))
-    t = numbered.join(same, "_row", "left").fillna(0, ["_same"])
-    s = t.groupBy(*key).agg(F.sum("_same").alias("same"), F.sum("_t").alias("t"), F.sum("_s").alias("s"))
+    t = overlaps(pairs, key, true, said)
+    s = t.groupBy(*key).agg(F.sum("same").alias("same"), F.sum("n_a").alias("t"), F.sum("n_b").alias("s"))
     return s.select(*key, F.round(F.when(F.col("s") > 0, F.col("same") / F.col("s")).otherwise(1.0), 6).alias("lap"), F.round(F.when(F.col("t") > 0, F.col("same") / F.col("t")).otherwise(1.0), 6).alias("lar"))
 
 
@@ -52,10 +45,10 @@ def mean_average_precision(hits: DataFrame, group: str, threshold: str, n_true:
 
 
 def title_edges(titles: DataFrame, key: str, place: str, level: str) -> DataFrame:
-    """Each title with its parent, the nearest one before it of a smaller level: key, place, parent."""
-    child, parent = titles.select(key, F.col(place).alias("place"), F.col(level).alias("level")), titles.select(F.col(key).alias("_k"), F.col(place).alias("_p"), F.col(level).alias("_l"))
-    both = child.join(parent, (F.col(key) == F.col("_k")) & (F.col("_p") < F.col("place")) & (F.col("_l") < F.col("level")), "left")
-    return both.groupBy(key, "place").agg(F.coalesce(F.max("_p"), F.lit(-1)).alias("parent"))
+    """Each title with its parent, the nearest one before it of a smaller level (1 to 6): key, place, parent (-1: none). One window, no pairs."""
+    before = W.partitionBy(key).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    last = [F.when(F.col(level) > n, F.max(F.when(F.col(level) == n, F.col(place))).over(before)) for n in range(1, 6)]
+    return titles.select(key, F.col(place).alias("place"), F.coalesce(F.greatest(*last), F.lit(-1)).alias("parent"))
 
 
 def header_bag(true: DataFrame, said: DataFrame, key: str, column: str) -> DataFrame:

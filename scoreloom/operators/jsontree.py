@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -25,13 +26,11 @@ def walk(value, path: str = "") -> Iterator[tuple[str, str, str]]:
         yield path, kind, value if isinstance(value, str) else json.dumps(value)
 
 
-@F.udtf(returnType=LEAF)
+@F.udtf(returnType=LEAF, useArrow=True)
 class Leaves:
     """Leaves of a JSON text; none if it does not parse."""
 
     def eval(self, document: str):
-        import re
-
         try:
             value = json.loads(document) if document else None
         except ValueError:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, kernels
+from ..functions.udfs import overlaps
 
 # fixed values: raw layout labels and the classes they stand for
 LABELS = {"Title": "heading", "Section-header": "heading", "Text": "text", "List-item": "text", "Table": "table", "Picture": "figure", "Caption": "caption", "Page-header": "furniture", "Page-footer": "furniture", "Footnote": "text", "Formula": "formula"}
@@ -20,23 +21,34 @@ def to_classes(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("class", F.coalesce(mapping[F.col("label")], F.lit("other")))
 
 
-def overlapping(a: DataFrame, b: DataFrame, page: str, cell: float = 0.25, least: float = 0.0) -> DataFrame:
-    """Pairs of boxes of a page with an IoU above ``least``.
+CORNERS = ("x0", "y0", "x1", "y1")
 
-    Boxes are dealt to the cells of a grid that they touch, so that an equi-join finds the pairs; a pair counts in the cell of the upper
-    left corner of its overlap alone.
+
+def touching(a: DataFrame, b: DataFrame, page: str) -> DataFrame:
+    """Pairs of boxes of a page that meet, each once: page and both boxes' columns id, x0..y1, as a_ and b_.
+
+    Boxes are dealt to the cells of a grid that they touch, as wide as boxes are in the mean whatever their unit, so that an equi-join finds the
+    pairs; a pair counts in the cell of the upper left corner of its overlap alone.
     """
+    side = lambda d: d.select(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("side"))
+    cell = side(a).unionByName(side(b)).agg(F.greatest(F.avg("side"), F.lit(1e-9)).alias("cell")).scalar()
 
     def dealt(d: DataFrame, p: str) -> DataFrame:
-        x = F.explode(F.sequence(F.floor(F.col(f"{p}x0") / cell), F.floor(F.col(f"{p}x1") / cell)))
-        y = F.explode(F.sequence(F.floor(F.col(f"{p}y0") / cell), F.floor(F.col(f"{p}y1") / cell)))
-        return d.withColumn("_cx", x).withColumn("_cy", y)
+        d = d.select(page, *[F.col(c).alias(f"{p}{c}") for c in ("id", *CORNERS)], cell.alias(f"{p}cell"))
+        along = lambda k: F.explode(F.sequence(*[F.floor(F.col(f"{p}{k}{i}") / F.col(f"{p}cell")) for i in (0, 1)]))
+        return d.withColumn("_cx", along("x")).withColumn("_cy", along("y"))
+
+    both = dealt(a, "a_").join(dealt(b, "b_"), [page, "_cx", "_cy"])
+    first = lambda k: F.greatest(f"a_{k}0", f"b_{k}0")
+    meet = [first(k) <= F.least(f"a_{k}1", f"b_{k}1") for k in "xy"]
+    own = [F.floor(first(k) / F.col("a_cell")) == F.col(f"_c{k}") for k in "xy"]
+    return both.where(own[0] & own[1] & meet[0] & meet[1]).drop("_cx", "_cy", "a_cell", "b_cell")
+
 
-    left = dealt(a.select(page, *[F.col(c).alias(f"a_{c}") for c in ("id", "x0", "y0", "x1", "y1")]), "a_")
-    right = dealt(b.select(page, *[F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1")]), "b_")
-    both = left.join(right, [page, "_cx", "_cy"])
-    own = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("_cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("_cy"))
-    return both.where(own).withColumn("iou", geometry.iou(geometry.box("a_"), geometry.box("b_"))).where(F.col("iou") > least).select(page, "a_id", "b_id", "iou")
+def overlapping(a: DataFrame, b: DataFrame, page: str, least: float = 0.0) -> DataFrame:
+    """Pairs of boxes of a page with an IoU above ``least``."""
+    both = touching(a, b, page).withColumn("iou", geometry.iou(geometry.box("a_"), geometry.box("b_")))
+    return both.where(F.col("iou") > least).select(page, "a_id", "b_id", "iou")
 
 
 def greedy(predicted: DataFrame, true: DataFrame, page: str, threshold: float = 0.5) -> DataFrame:
@@ -71,9 +83,7 @@ def average_precision(hits: DataFrame, group: str, n_true: DataFrame) -> DataFra
 
 
 def token_f1(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Multiset overlap of two token arrays of each row, exploded and counted: key, precision, recall, f1."""
-    counts = lambda c, name: pairs.select(key, F.explode(c).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias(name))
-    both = counts(a, "n_a").join(counts(b, "n_b"), [key, "token"], "full").fillna(0, ["n_a", "n_b"])
-    t = both.groupBy(key).agg(F.sum(F.least("n_a", "n_b")).alias("same"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    """Multiset overlap of two token arrays of each row that has tokens: key, precision, recall, f1."""
+    t = overlaps(pairs, [key], a, b).where("n_a + n_b > 0")
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
     return t.select(key, F.round(ratio(F.col("same"), F.col("n_b")), 6).alias("precision"), F.round(ratio(F.col("same"), F.col("n_a")), 6).alias("recall"), F.round(ratio(2 * F.col("same"), F.col("n_a") + F.col("n_b")), 6).alias("f1"))

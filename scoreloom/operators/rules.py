@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.udfs import overlaps
 
 
 def presence(document: Column, wanted: Column) -> Column:
@@ -15,9 +16,9 @@ def presence(document: Column, wanted: Column) -> Column:
 
 
 def in_order(document: Column, first: Column, second: Column) -> Column:
-    """Both occur, and the first begins before the second."""
-    a, b = F.position(first, document), F.position(second, document)
-    return (a > 0) & (b > 0) & (a < b)
+    """Both occur, and the first begins somewhere before the last place of the second."""
+    a, back = F.position(first, document), F.position(F.reverse(second), F.reverse(document))
+    return (a > 0) & (back > 0) & (a < F.length(document) - F.length(second) - back + 2)
 
 
 def is_blank(document: Column) -> Column:
@@ -25,18 +26,11 @@ def is_blank(document: Column) -> Column:
     return ~F.coalesce(document, F.lit("")).rlike(r"[\p{L}\p{N}]")
 
 
-def bag(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """key, word, n: the words of a text and how often they occur."""
-    return docs.select(key, F.explode(text.words(F.col(column))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def missing_words(true: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
-    """By key: the share of true word occurrences that the prediction lacks, and of predicted ones that are too many."""
-    both = true.withColumnRenamed("n", "n_true").join(predicted.withColumnRenamed("n", "n_predicted"), [key, "word"], "full").fillna(0, ["n_true", "n_predicted"])
-    lack, extra = F.greatest(F.col("n_true") - F.col("n_predicted"), F.lit(0)), F.greatest(F.col("n_predicted") - F.col("n_true"), F.lit(0))
-    t = both.groupBy(key).agg(F.sum("n_true").alias("n_true"), F.sum("n_predicted").alias("n_predicted"), F.sum(lack).alias("lack"), F.sum(extra).alias("extra"), F.sum(((F.col("n_true") > 0) & (extra > 0)).cast("long")).alias("n_too_many"))
+def missing_words(pairs: DataFrame, key: str, true: str, predicted: str) -> DataFrame:
+    """For each row with words: the share of true word occurrences that the prediction lacks, of predicted ones that are too many, and words that come too often."""
+    t = overlaps(pairs, [key], true, predicted).where("n_a + n_b > 0")
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
-    return t.select(key, ratio(F.col("lack"), F.col("n_true")).alias("missing"), ratio(F.col("extra"), F.col("n_predicted")).alias("unexpected"), "n_too_many")
+    return t.select(key, ratio(F.col("n_a") - F.col("same"), F.col("n_a")).alias("missing"), ratio(F.col("n_b") - F.col("same"), F.col("n_b")).alias("unexpected"), "n_too_many")
 
 
 def digit_counts(c: Column) -> list[Column]:
@@ -60,7 +54,12 @@ def sentences(c: Column, least: int = 12) -> Column:
         whole = F.trim(F.concat_ws(" ", a["open"], s))
         return F.when(F.length(whole) < least, F.struct(a["done"].alias("done"), whole.alias("open"))).otherwise(F.struct(F.concat(a["done"], F.array(whole)).alias("done"), F.lit("").alias("open")))
 
-    return F.aggregate(chunks, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    def rest(a: Column) -> Column:
+        n = F.size(a["done"])
+        joined = F.concat(F.slice(a["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws(" ", F.try_element_at(a["done"], F.greatest(n, F.lit(1))), a["open"])))
+        return F.when(a["open"] == "", a["done"]).otherwise(joined)
+
+    return F.aggregate(chunks, start, step, rest)
 
 
 def sentence_bag(true: Column, predicted: Column) -> Column:

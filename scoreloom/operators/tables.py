@@ -83,7 +83,7 @@ def pipe_cells(markdown: str, first: int = 0) -> Iterator[tuple]:
         rows = []
 
 
-@F.udtf(returnType=CELL)
+@F.udtf(returnType=CELL, useArrow=True)
 class ExtractTables:
     """Cells of the HTML and pipe tables of a markup, one row each."""
 

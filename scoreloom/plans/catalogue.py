@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, kernels, numbers, text
@@ -119,9 +120,11 @@ def missing_attempts_anti(t):
 
 @query("select o_orderkey, o_custkey from orders where o_orderstatus = 'F' and o_custkey in (select c_custkey from customer where c_acctbal > 0) and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def failure_semi_anti(t):
-    cases = t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    known = t("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(cases, "o_custkey", "left_semi")
-    return known.join(t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+    good = t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    cases = t("orders").select("o_orderkey", "o_custkey").join(good, "o_custkey", "left_semi")
+    errors = t("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    done = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return compare.failures(errors, cases, done, "o_orderkey")
 
 
 @query("""with c as (select c_nationkey k, o_orderpriority p, avg(o_totalprice) v from orders join customer on o_custkey = c_custkey group by 1, 2),
@@ -270,15 +273,14 @@ b as (select doc_id, x as word, count(*) n from (select doc_id, unnest(regexp_ex
 j as (select coalesce(a.doc_id, b.doc_id) doc_id, coalesce(a.n, 0) p, coalesce(b.n, 0) q from a full join b on a.doc_id = b.doc_id and a.word = b.word)"""
 
 
-def _bags(t):
-    docs = t("documents").select("doc_id", "text", F.regexp_replace("text", "th", "t").alias("said"))
-    return rules.bag(docs, "doc_id", "text"), rules.bag(docs, "doc_id", "said")
+def _bags(t, *keep):
+    return t("documents").select(*keep, text.words(F.col("text")).alias("a"), text.words(F.regexp_replace("text", "th", "t")).alias("b"))
 
 
 @query(f"""with {BAGS} select doc_id, round(case when sum(p) > 0 then sum(greatest(p - q, 0)) / sum(p) else 0 end, 6) missing, round(case when sum(q) > 0 then sum(greatest(q - p, 0)) / sum(q) else 0 end, 6) unexpected,
 sum((p > 0 and q > p)::int)::bigint n_too_many from j group by 1""")
 def word_bag_percent(t):
-    return rules.missing_words(*_bags(t), "doc_id")
+    return rules.missing_words(_bags(t, "doc_id"), "doc_id", "a", "b")
 
 
 DIGITS = ", ".join(f"(len(text) - len(replace(text, '{d}', '')))" for d in range(10))
@@ -297,7 +299,7 @@ def sentence_bag_missing(t):
     return docs.select("doc_id", F.round(rules.sentence_bag(F.col("text"), F.col("said")), 6).alias("missing"))
 
 
-@query("select doc_id, contains(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 'of the') as has, instr(text, 'the') > 0 and instr(text, 'and') > 0 and instr(text, 'the') < instr(text, 'and') as ordered from documents")
+@query("select doc_id, contains(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 'of the') as has, instr(text, 'the') > 0 and instr(text, 'and') > 0 and instr(text, 'the') < length(text) - 1 - instr(reverse(text), 'dna') as ordered from documents")
 def text_presence_and_order(t):
     return t("documents").select("doc_id", rules.presence(F.col("text"), F.lit("of the")).alias("has"), rules.in_order(F.col("text"), F.lit("the"), F.lit("and")).alias("ordered"))
 
@@ -317,8 +319,7 @@ def text_similarity_lev(t):
 @query(f"""with {BAGS}, s as (select doc_id, sum(least(p, q)) m, sum(p) p, sum(q) q from j group by 1)
 select doc_id, round(case when q > 0 then m / q else 0 end, 6) as precision, round(case when p > 0 then m / p else 0 end, 6) recall, round(case when p + q > 0 then 2 * m / (p + q) else 0 end, 6) f1 from s""")
 def token_f1(t):
-    docs = t("documents").select("doc_id", text.words(F.col("text")).alias("a"), text.words(F.regexp_replace("text", "th", "t")).alias("b"))
-    return layout.token_f1(docs, "doc_id", "a", "b")
+    return layout.token_f1(_bags(t, "doc_id"), "doc_id", "a", "b")
 
 
 @query(r"""select page_id, i::bigint as place, substr(h, 3, 1)::int as level from (select page_id, unnest(x) h, generate_subscripts(x, 1) - 1 i from (select page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') x from pages))""")
@@ -336,12 +337,12 @@ def html_link_extract(t):
     return t("pages").select("page_id", F.explode(rules.links(F.col("html"))).alias("x")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("x").alias("n_distinct"))
 
 
-@query("""with x as (select conv_id, max(case when turn = 0 then text end) a, max(case when turn = 1 then text end) b from conversations group by 1)
-select conv_id, trim(regexp_replace(regexp_replace(lower(a), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' ') = trim(regexp_replace(regexp_replace(lower(b), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' ') as ok from x""")
+@query("""with x as (select conv_id, turn // 2 as pair, max(case when turn % 2 = 0 then text end) a, max(case when turn % 2 = 1 then text end) b from conversations group by 1, 2)
+select conv_id, pair::bigint as pair, coalesce(trim(regexp_replace(regexp_replace(lower(a), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' ') = trim(regexp_replace(regexp_replace(lower(b), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' '), false) as ok from x""")
 def qa_answer_compare(t):
-    turn = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
-    both = t("conversations").groupBy("conv_id").agg(turn(0).alias("a"), turn(1).alias("b"))
-    return both.select("conv_id", rules.answer_matches(F.col("a"), F.col("b")).alias("ok"))
+    turn = lambda n: F.max(F.when(F.col("turn") % 2 == n, F.col("text")))
+    both = t("conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).cast("long").alias("pair")).agg(turn(0).alias("a"), turn(1).alias("b"))
+    return both.select("conv_id", "pair", F.coalesce(rules.answer_matches(F.col("a"), F.col("b")), F.lit(False)).alias("ok"))
 
 
 # --- tables ----------------------------------------------------------------------------------------------------------------
@@ -384,8 +385,8 @@ select o as l_orderkey, count(*) * 3 as n_cells from k where f > 1 or m = 0 grou
 def structural_canon(t):
     blank = F.col("l_partkey") % 5 == 0
     cell = lambda i, c, empty: F.struct(F.lit(i).alias("col"), F.when(empty, "").otherwise(F.col(c).cast("string")).alias("text"))
-    row = F.xxhash64(*t("lineitem").columns)
-    grid = t("lineitem").select("l_orderkey", row.alias("row"), F.explode(F.array(cell(0, "l_partkey", blank), cell(1, "l_suppkey", blank & (F.col("l_suppkey") % 2 == 0)), cell(2, "l_linenumber", blank))).alias("x")).select("l_orderkey", "row", "x.*")
+    row = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*[c for c in t("lineitem").columns if c != "l_orderkey"])).cast("long")
+    grid = t("lineitem").withColumn("row", row).select("l_orderkey", "row", F.explode(F.array(cell(0, "l_partkey", blank), cell(1, "l_suppkey", blank & (F.col("l_suppkey") % 2 == 0)), cell(2, "l_linenumber", blank))).alias("x")).select("l_orderkey", "row", "x.*")
     return tables.without_sections(grid, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -455,7 +456,8 @@ def unique_key_alignment(t):
 
 @query()
 def hungarian_rows(t):
-    a = t("lineitem").select("l_orderkey", F.pmod(F.xxhash64(*t("lineitem").columns), F.lit(10**15)).alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    number = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*[c for c in t("lineitem").columns if c != "l_orderkey"])).cast("long")
+    a = t("lineitem").select("l_orderkey", number.alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
     return align.assign(a, a.withColumn("s", F.when(F.col("p") % 7 == 0, F.col("s") + 1).otherwise(F.col("s"))), "l_orderkey", "n", ["p", "s"])
 
 
@@ -553,8 +555,7 @@ def best_attribution_block(t):
 @query(f"""with {BAGS}, s as (select d.source, sum(least(p, q)) m, sum(p) p, sum(q) q from j join documents d using (doc_id) group by 1)
 select source, round(case when q > 0 then m / q else 1 end, 6) lap, round(case when p > 0 then m / p else 1 end, 6) lar from s""")
 def lap_lar(t):
-    docs = t("documents").select("source", text.words(F.col("text")).alias("a"), text.words(F.regexp_replace("text", "th", "t")).alias("b"))
-    return grounding.attributed(docs, ["source"], "a", "b")
+    return grounding.attributed(_bags(t, "source"), ["source"], "a", "b")
 
 
 @query("""with a as (select l_orderkey k, l_linenumber n, min(l_returnflag) c from lineitem where l_partkey % 10 <> 0 group by 1, 2), b as (select l_orderkey k, l_linenumber n, min(l_linestatus) c from lineitem where l_partkey % 10 <> 1 group by 1, 2)

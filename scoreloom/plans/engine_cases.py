@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, jsonpaths
 from ..functions.udfs import vectorised
-from ..operators import attribution, extraction, governance, parse_score, runs
+from ..operators import align, attribution, extraction, governance, layout, parse_score, rules, runs
 from ..sources import adapters
 from ..sources import cases as sources
 from .cases import ORACLES, QUERIES, cases, table
@@ -286,6 +286,41 @@ def dev_report_cases(spark):
     return t.select("system", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("raw", "text", "struct")], "status")
 
 
+# --- assignment and matching of rows ------------------------------------------------------------------------------------------------------------------------------------
+
+ROWS_TRUE = [("g", 1, "a", "b", "c"), ("g", 2, "d", "e", "f"), ("g", 3, "x", "y", "z"), ("h", 1, "a", "a", "a")]
+ROWS_SAID = [("g", 1, "d", "e", "q"), ("g", 2, "a", "b", "c"), ("g", 3, "a", "e", "w"), ("k", 1, "a", "a", "a")]
+
+
+@cases("grp string, true_row bigint, predicted_row bigint, n_same bigint, complete boolean", [("g", 1, 2, 3, True), ("g", 2, 1, 2, True), ("g", 3, 3, 0, True)])
+def assignment_cases(spark):
+    """Rows of a group by most equal fields: an equal pair, a near one, and what is left."""
+    a, b = (table(spark, rows, "grp string, n long, p string, q string, r string") for rows in (ROWS_TRUE, ROWS_SAID))
+    return align.assign(a, b, "grp", "n", ["p", "q", "r"])
+
+
+BOXES_TRUE = [(1, 1, 0.0, 0.0, 2.0, 2.0), (1, 2, 4.0, 0.0, 6.0, 2.0), (2, 3, 0.0, 0.0, 1.0, 1.0)]
+BOXES_SAID = [(1, 1, 0.0, 0.0, 2.0, 2.0, 0.5), (1, 2, 0.0, 0.0, 2.0, 1.5, 0.9), (1, 3, 4.0, 0.0, 6.0, 1.0, 0.8), (1, 4, 9.0, 9.0, 10.0, 10.0, 0.85)]
+
+
+@cases("page bigint, ap double", [(1, 0.833333), (2, 0.0)])
+def detection_cases(spark):
+    """Average precision by greedy matches, best scores first: hit, miss, hit, and one whose box is taken."""
+    true = table(spark, BOXES_TRUE, "page long, id long, x0 double, y0 double, x1 double, y1 double")
+    said = table(spark, BOXES_SAID, "page long, id long, x0 double, y0 double, x1 double, y1 double, score double")
+    return layout.average_precision(layout.greedy(said, true, "page", 0.5), "page", true.groupBy("page").agg(F.count(F.lit(1)).alias("n_true")))
+
+
+BAGS = [("a", "One red fox ran. Two blue birds sang! Ok.", "Two blue birds sang. Ok. Something else here."), ("b", "One red fox ran.", "One red fox ran."), ("c", "", "anything at all"), ("d", "Short. Bits. Of. Text here now.", "nothing alike"), ("e", "The first sentence. The second sentence.", "The second sentence. Another third sentence.")]
+
+
+@cases("id string, missing double", [("a", 1.0), ("b", 0.0), ("c", 0.0), ("d", 1.0), ("e", 0.5)])
+def sentence_cases(spark):
+    """Shares of true sentences that are missing; short pieces join their neighbours."""
+    t = table(spark, BAGS, "id string, true string, said string")
+    return t.select("id", rules.sentence_bag(F.col("true"), F.col("said")).cast("double").alias("missing"))
+
+
 # --- results by provider ------------------------------------------------------------------------------------------------------------------------------------------------------
 
 SEGMENT = {"x": 0.25, "y": 0.5, "w": 0.5, "h": 0.25}

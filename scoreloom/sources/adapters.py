@@ -107,7 +107,7 @@ def layouts(docs: DataFrame, key: str, column: str, provider: str | Spec) -> Dat
     """key and the layout rows of every document."""
     spec = SPECS[provider] if isinstance(provider, str) else provider
 
-    @F.udtf(returnType=LAYOUT)
+    @F.udtf(returnType=LAYOUT, useArrow=True)
     class Rows:
         def eval(self, document: str):
             yield from layout(document, spec)
@@ -310,7 +310,7 @@ def regions(result: Raw, page: int | None = None) -> Iterator[tuple]:
 def result_regions(results: DataFrame, key: str, column: str) -> DataFrame:
     """key and the regions of every result (JSON), whatever its provider; a text that is no JSON object has none."""
 
-    @F.udtf(returnType=REGION)
+    @F.udtf(returnType=REGION, useArrow=True)
     class Regions:
         def eval(self, document: str):
             try:

@@ -85,7 +85,7 @@ def test_assignment_of_large_groups(spark, monkeypatch):
 
 
 def test_sentences_merge_short_chunks(spark):
-    assert one(spark, "Hi. This is a longer sentence. No.", rules.sentences) == ["Hi This is a longer sentence", "No"]
+    assert one(spark, "Hi. This is a longer sentence. No.", rules.sentences) == ["Hi This is a longer sentence No"]
 
 
 def test_iou_and_rotation(spark):
