@@ -88,6 +88,16 @@ def verdict(payload: str | None, relations: str | None) -> str:
     return "admitted"
 
 
+def declared(relations: DataFrame) -> DataFrame:
+    """doc, name, total, addends of declared sums. ``relations``: doc, name, tbl, kind (block or across), total, addends, along: rows or columns that it holds for."""
+    cell = lambda r, c: F.concat(F.lit("t"), F.col("tbl").cast("string"), F.lit(".r"), r.cast("string"), F.lit(".c"), c.cast("string"))
+    is_block = F.col("kind") == "block"
+    at = lambda i, j: F.when(is_block, cell(i, j)).otherwise(cell(j, i))
+    t = relations.select("doc", "name", "tbl", "kind", "total", "addends", F.explode("along").alias("_k"))
+    name = F.concat("name", F.when(is_block, "_c").otherwise("_r"), F.col("_k").cast("string"))
+    return t.select("doc", name.alias("name"), at(F.col("total"), F.col("_k")).alias("total"), F.transform("addends", lambda a: at(a, F.col("_k"))).alias("addends"))
+
+
 def gate(payload, schema: dict | None) -> list[str]:
     """Violations of a schema, each path by path; none without a schema."""
     return [] if schema is None else sorted(evidence.violations(payload, schema))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, jsonpaths
 from ..functions.udfs import vectorised
-from ..operators import align, attribution, extraction, governance, layout, parse_score, rules, runs
+from ..operators import align, attribution, extraction, governance, layout, parse_score, registry, rules, runs
 from ..sources import adapters
 from ..sources import cases as sources
 from .cases import ORACLES, QUERIES, cases, table
@@ -230,6 +230,14 @@ def provenance_cases(spark):
     return governance.admission(table(spark, rows, schema), ["a1"]).select("name", F.coalesce("rejected", F.lit("-")).alias("rejected"))
 
 
+@cases("doc string, name string, total string, addends string", [("d", "assets_c1", "t0.r3.c1", "t0.r1.c1 t0.r2.c1"), ("d", "assets_c2", "t0.r3.c2", "t0.r1.c2 t0.r2.c2"), ("d", "sum_r5", "t1.r5.c4", "t1.r5.c1 t1.r5.c2")])
+def declared_sums(spark):
+    """Sums of rows and of columns, one for each column or row that they hold for."""
+    rows = [("d", "assets", 0, "block", 3, [1, 2], [1, 2]), ("d", "sum", 1, "across", 4, [1, 2], [5])]
+    t = governance.declared(table(spark, rows, "doc string, name string, tbl int, kind string, total int, addends array<int>, along array<int>"))
+    return t.withColumn("addends", F.array_join("addends", " "))
+
+
 # --- runs -----------------------------------------------------------------------------------------------------------------------------------------------------------------
 
 NAMES = ["doc1", "doc2.pdf", "grp/a", "grp/b", "x/y/doc3", "café"]
@@ -363,6 +371,30 @@ def label_cases(spark):
     return all_.join(basic, "label").join(core, "label", "left").select("label", "canonical", "basic", F.coalesce("core", F.lit("-")).alias("core"))
 
 
+CONFIGS = [
+    ("layout_aware", {"pages": [{"items": []}]}), ("chunkr", {"output": {"chunks": []}}), ("dots_ocr_parse", {"prompt_mode": "prompt_layout_all_en"}), ("docling_parse", {"docling_document": {}}), ("qwen3vl_layout", {"items": [], "raw_content": ""}), ("google", {"mode": "parse_with_layout", "model": "gemini-3-pro"}),
+    ("gemma4", {"prompt_mode": "layout", "_config": {"model": "gemma-4"}}), ("openai", {"mode": "parse_with_layout", "model": "gpt-5"}), ("openai", {"mode": "parse_with_layout", "model": "o3"}), ("anthropic", {"mode": "parse_with_layout", "model": "claude-x"}), ("reducto", {"_config": {"ocr_system": "standard", "mode": "x"}}), ("deepseekocr2", {"_config": {"server_url": "http://DeepSeek/ocr"}}),
+    ("chandra2", {"_config": {"server_url": "http://chandra2"}}), ("qfocr", {"_config": {"thinking": True}}), ("datalab", {"parse_quality_score": 4}), ("datalab", {"_config": {"mode": "fast"}}), ("qwen3_5", {"_config": {"model": "qwen3.5-x"}}), ("mineru25", {"_config": {"server_url": "http://mineru25"}}), ("pulse", {"bounding_boxes": {}, "extraction_id": "x"}),
+    ("infinity_parser2", {"_config": {"backend": "vllm-server", "model_name": "infly/Infinity-Parser2-7B"}}), ("textract", {"textract_response": {}}), ("landingai", {"grounding": {}, "chunks": []}), ("extend_parse", {"_extend_metadata": {}}), ("azure_document_intelligence", {"_config": {"model_id": "prebuilt"}}), ("google_docai", {"mode": "ocr", "_config": {"processor_id": "p"}}), ("unstructured", {"_config": {"strategy": "hi_res"}}), ("default", {}),
+]
+NAMED = ("warp_ingest", "oi_parser", "databricks_ai_parse", "nemotron_ocr_v2", "kdl_frontier_nano")
+stated("provider_cases", {"provider": lambda r: adapters.provider_of(r).name}, [("provider", [{"raw_output": raw}], name) for name, raw in CONFIGS] + [("provider", [{"provider": n, "raw_output": {"_config": {"thinking": True}}}], n) for n in NAMED])
+
+
+def _registered(script: list) -> list:
+    """Runs calls on an empty registry."""
+    r = registry.Registry("thing")
+    for key, value, priority, owned in script:
+        r.add(*key, value=value, priority=priority, owns=None if owned is None else lambda about, o=owned: about == o)
+    return r
+
+
+THINGS = [[["a", "b"], "first", 0, None], [["c"], "second", 5, "x"], [["d"], "third", 9, "x"], [[registry.DEFAULT], "other", 0, None]]
+stated("registry_cases", {"names": lambda s: _registered(s).names(), "get": lambda s, k: _registered(s).get(k), "resolve": lambda s, keys, about: _registered(s).resolve(keys, about), "own": lambda kind: [n for n in getattr(registry, kind).names() if n in ("accuracy", "anls", "extract", "layout_detection", "core", "basic")], "label": lambda k, raw: registry.MAPPERS.resolve([k])(raw)}, [
+    ("names", [THINGS], ["__default__", "a", "b", "c", "d"]), ("get", [THINGS, "b"], "first"), ("get", [THINGS, "zz"], "ValueError: no thing 'zz'; there are: __default__, a, b, c, d"), ("names", [[*THINGS, [["a"], "again", 0, None]]], "ValueError: thing 'a' is registered already"), ("names", [[[[], "x", 0, None]]], "ValueError: a thing needs a key"),
+    ("resolve", [THINGS, ["c", "a"], None], "second"), ("resolve", [THINGS, ["zz"], "x"], "third"), ("resolve", [THINGS, ["zz"], "y"], "other"), ("resolve", [THINGS[:1], ["zz"], "y"], "ValueError: no thing for zz; there are: a, b"), ("own", ["METRICS"], ["accuracy", "anls"]), ("own", ["EVALUATORS"], ["extract", "layout_detection"]), ("own", ["MAPPERS"], ["basic", "core"]), ("label", ["core", "algorithm"], "Text"), ("label", ["any", "chart"], "Picture"),
+])
+
 stated("export_cases", {"page_text": sources.page_text, "page_htmls": sources.page_htmls, "line_markup": sources.line_markup, "truth_markup": sources.truth_markup, "version": adapters.label_version, "unknown": adapters.canonical_label, "granular": lambda r: [(k, t, x, w) for _, k, _, t, x, _, w, _ in adapters.granular(r)]}, [
     ("page_text", [{"items": [{"type": "table", "html": "<t/>", "md": "m"}, {"type": "text", "value": "v"}, {"type": "text", "md": ""}]}], "<t/>\n\nv"), ("page_text", [{"text": " whole ", "items": []}], "whole"), ("page_text", [{"response": {"pages": [{"blocks": [{"type": "table", "table": {"html": "<t/>"}}, {"type": "text", "text": {"content": "c"}}]}]}}], "<t/>\n\nc"), ("page_text", [{}], ""),
     ("page_htmls", [{"children": [{"block_type": "Page", "html": "<p/>"}, {"block_type": "Line", "html": "x"}]}], ["<p/>"]), ("line_markup", [[{"lines": [{"rid": 1, "y": 5, "x": 0, "t": "b<c"}, {"rid": 0, "y": 1, "x": 0, "t": "h", "row": 0, "col": 0}, {"rid": 0, "y": 1, "x": 5, "t": "i", "row": 0, "col": 1}, {"rid": 0, "y": 2, "x": 5, "t": "k", "row": 1, "col": 1}]}]], "<table><tr><td>h</td><td>i</td></tr><tr><td></td><td>k</td></tr></table>\n\nb&lt;c"),
