@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, jsonpaths
 from ..functions.udfs import vectorised
-from ..operators import align, attribution, extraction, governance, layout, parse_score, registry, rules, runs
+from ..operators import align, attribution, extraction, governance, layout, parse_grounding, parse_score, registry, rules, runs
 from ..sources import adapters
 from ..sources import cases as sources
 from .cases import ORACLES, QUERIES, cases, table
@@ -143,6 +143,20 @@ def extraction_score_cases(spark):
     return found.where(F.col("metric").isin("accuracy", "extract_field_value_pass_rate", "f1", "record_accuracy", "association_f1")).select("doc", "metric", F.round("value", 6).alias("value"))
 
 
+UNITS = [{"kind": "word", "page": 1, "text": w, "box": [x, 0.1, 0.1, 0.1], "order": i} for i, (w, x) in enumerate([("Ann", 0.1), ("Smith", 0.2), ("total", 0.5), ("42", 0.7)])] + [{"kind": "line", "page": 1, "text": "Ann Smith total 42", "box": [0.1, 0.1, 0.7, 0.1], "order": 0}]
+FIELDS = [_rule("name", "Ann Smith", bboxes=[{"page": 1, "bbox": [0.1, 0.1, 0.2, 0.1]}]), _rule("total", 42, bboxes=[{"page": 1, "bbox": [0.5, 0.1, 0.1, 0.1]}]), _rule("other", "zz", bboxes=[{"page": 2, "bbox": [0.1, 0.1, 0.1, 0.1]}])]
+
+
+@cases("doc string, metric string, value double", [
+    ("d", "extract_field_element_pass_rate", 0.333333), ("d", "extract_field_rule_pass_rate", 0.666667), ("d", "extract_field_localization_pass_rate", 0.666667), ("d", "extract_field_classification_pass_rate", 1.0), ("d", "extract_field_attribution_pass_rate", 0.333333), ("d", "extract_field_avg_iou", 0.666667),
+    ("d", "extract_field_avg_iou_matched", 1.0), ("d", "extract_field_avg_iou_unmatched", 0.0), ("d", "extract_field_gt_count", 3.0), ("d", "extract_field_iou", 0.75), ("d", "extract_field_bbox_recall", 0.75), ("d", "extract_field_text_similarity", 1.0),
+])
+def parse_grounding_cases(spark):
+    """A value said by two words where it stands, one said elsewhere on its page, one on a page without words."""
+    t = table(spark, [("d", json.dumps(FIELDS), json.dumps(UNITS))], "doc string, rules string, units string")
+    return parse_grounding.document_scores(t, "doc").select("doc", "metric", F.round("value", 6).alias("value"))
+
+
 # --- attribution ----------------------------------------------------------------------------------------------------------------------------------------------------
 
 
