@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, kernels, numbers, text
 from ..operators import aggregate, align, compare, confidence, evidence, gates, grounding, jsontree, layout, rules, scoring, table_rules, tables
 from ..sources import adapters
+from ..streaming import score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -744,3 +745,18 @@ def markup_rules(t):
     code = rules.code_blocks(F.col("d"))[0]
     return d.select("n_nationkey", code["language"].alias("language"), code["code"].alias("code"), rules.formulas(F.col("d"))[0].alias("formula"), rules.marked(F.col("d"), "red")[0].alias("marked"),
                     rules.in_section(F.col("d"), "footer", F.concat(F.lit("page "), F.col("n_nationkey").cast("string"))).alias("footer"), rules.repeats(F.col("d")).alias("repeats"))
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------------------
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream: counts and means by type and hour, once all files are read."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = score_stream.settled(score_stream.windows_of(stream, "ts", "event_type", "value", width="1 hour"), spark)
+    return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("average", 6).alias("average"))
+
+
+QUERIES["stream_windows"] = stream_windows
+ORACLES["stream_windows"] = "select event_type, strftime(ts, '%Y-%m-%d %H') as hour, count(*) n, round(avg(value), 6) average from events group by 1, 2"

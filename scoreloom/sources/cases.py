@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import visible
+
 RULE = "pdf string, page int, category string, id string, type string, verified boolean, rule string"
 SCORE = "seq bigint, system string, document string, canon_version string, scored_at timestamp, metric string, pass string, value double, status string"
 
@@ -58,7 +60,7 @@ def to_markdown(rows: DataFrame) -> str:
 
 def run_errors(spark: SparkSession, path: str) -> DataFrame:
     """pipeline, example_id, error of the ``_errors.json`` files below a folder; the pipeline is the folder of the file, files that hold no list give nothing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "_errors.json").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(visible(spark, path, "_errors.json"))
     entry = F.explode(F.from_json(F.decode("content", "UTF-8"), "array<struct<example_id:string,error:string>>"))
     return files.select(F.element_at(F.split("path", "/"), -2).alias("pipeline"), entry.alias("x")).select("pipeline", "x.*")
 
@@ -66,7 +68,7 @@ def run_errors(spark: SparkSession, path: str) -> DataFrame:
 def reports(spark: SparkSession, path: str) -> DataFrame:
     """pipeline, test_id, metric, value of all ``_evaluation_report.json`` files below a folder."""
     schema = "per_example_results array<struct<test_id:string,metrics:array<struct<metric_name:string,value:double>>>>"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "_evaluation_report.json").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(visible(spark, path, "_evaluation_report.json"))
     t = files.select(F.element_at(F.split("path", "/"), -2).alias("pipeline"), F.from_json(F.decode("content", "UTF-8"), schema).alias("r"))
     t = t.select("pipeline", F.explode("r.per_example_results").alias("e")).select("pipeline", "e.test_id", F.explode("e.metrics").alias("m"))
     return t.select("pipeline", "test_id", F.col("m.metric_name").alias("metric"), "m.value")
