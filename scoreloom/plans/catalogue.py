@@ -752,8 +752,8 @@ def markup_rules(t):
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: counts and means by type and hour, once all files are read."""
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{sf_dir}/events.parquet"  # a pattern below: the path may be one file
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
     out = score_stream.settled(score_stream.windows_of(stream, "ts", "event_type", "value", width="1 hour"), spark)
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("average", 6).alias("average"))
 
