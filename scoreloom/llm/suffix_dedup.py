@@ -4,16 +4,17 @@ The suffixes of all texts, as bytes, are ordered only through THRESHOLD bytes, b
 still hold together after the last pass are exactly the repeated windows. What a pass leaves alone in its group is done.
 
 The first digit of a window is the 32-byte gram in it with the least hash (the leftmost of equals). Equal windows have it at the same
-place, and a run of neighbouring windows shares one, so the first pass moves one entry a run, about one for 35 bytes, not one a suffix.
-The second digit is the fingerprint of all that the run's windows cover: of the entries that agree in both, all but the earliest lose
-every window, and map tasks fold them beforehand. Only the earliest entries whose gram occurs in other surroundings go on,
-with their bytes; for them a task runs MSD passes of eight bytes over single suffixes up to the threshold.
+place, and a run of neighbouring windows shares one, so the first pass moves one entry a run, about one for 35 bytes, not one a suffix; the
+hash deals the entries and nothing more. Runs whose gram another run has send their bytes. Bytes alone decide from there: MSD passes over
+whole runs, eight bytes a digit, leave groups of equal runs, of which all but the earliest lose every window; only where a gram has
+different runs left, passes over their single suffixes up to the threshold find what else is equal. A map task folds equal runs of
+a pack beforehand, in the same way.
 
 Texts travel as compressed packs of whole documents; messages for a pack (ranges to remove, runs whose bytes are wanted) are joined to it.
 
 Defined cases: null is the empty text; texts below the threshold lose nothing; rows that repeat a doc_id count as one document, of
-which only an earlier start precedes; a null doc_id comes last; an empty table gives no rows; extra columns are ignored. The
-first two digits are 64-bit fingerprints each; a gram that occurs in very many different surroundings meets in one task.
+which only an earlier start precedes; a null doc_id comes last; very long texts are cut into segments that overlap, for hashing alone; an
+empty table gives no rows; extra columns are ignored. A gram that occurs in very many different surroundings meets in one task.
 """
 
 from __future__ import annotations
@@ -34,14 +35,13 @@ THRESHOLD, GRAM = 100, 32
 SPAN = THRESHOLD - GRAM + 1
 PACK = 3 << 20
 SEGMENT = 1 << 20
-#: Windows that a task sorts at once.
-SORTED = 400_000
+#: Windows that a task sorts at once, runs that it folds at once, and bytes of packs for each part.
+SORTED, FOLDED, PART = 400_000, 50_000, 48 << 20
 BASE = 0x2545F4914F6CDD1D
 TABLE = np.random.default_rng(6).integers(0, 1 << 64, 256, np.uint64)
 LAST = (1 << 63) - 1
 
-RUN = np.dtype([("gram", "u8"), ("ext", "u8"), ("doc", "i8"), ("lo", "u4"), ("idx", "u4"), ("span", "u1"), ("off", "u1")])
-WANT = np.dtype([("gram", "u8"), ("lo", "u4"), ("idx", "u4"), ("span", "u1"), ("off", "u1")])
+RUN = np.dtype([("gram", "u8"), ("lo", "u4"), ("idx", "u4"), ("span", "u1"), ("off", "u1")])
 GONE = np.dtype([("idx", "u4"), ("lo", "u4"), ("hi", "u4")])
 
 
@@ -87,7 +87,6 @@ def runs(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         r = np.zeros(len(lo), RUN)
         # hashed once more: the least of many hashes are small, and parts are ranges of this value
         r["gram"], r["idx"], r["lo"], r["span"], r["off"] = mixed(gram[at] + np.uint64(BASE)), doc, a + lo - bounds[doc], hi - lo, at - lo
-        r["ext"] = mixed((sums[hi + THRESHOLD] - sums[lo]) * down[lo] + ((hi - lo).astype(np.uint64) << np.uint64(8)) + (at - lo).astype(np.uint64))
         out.append(r)
     return np.concatenate(out)
 
@@ -100,14 +99,68 @@ def gone(r: np.ndarray) -> np.ndarray:
     return out
 
 
-def firsts(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by gram, ext, document and start; whether each begins a class of equal gram and ext; whether it repeats its class's earliest)."""
-    order = np.lexsort((r["lo"], r["doc"], r["ext"], r["gram"]))
-    s = r[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s["gram"][1:] != s["gram"][:-1]) | (s["ext"][1:] != s["ext"][:-1])
-    head = s[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-    return order, new, (s["doc"] != head["doc"]) | (s["lo"] != head["lo"])
+def passes(group: np.ndarray, digit, depths) -> tuple[np.ndarray, np.ndarray]:
+    """MSD passes: (members of ``group`` that are not alone after the last, the group of each); ``digit(members, depth)`` gives their next digits."""
+    live, group = np.arange(len(group)), np.asarray(group)
+    for depth in (None, *depths):
+        d = np.zeros(len(live), np.uint64) if depth is None else digit(live, depth)
+        order = np.lexsort((d, group))
+        d, g = d[order], group[order]
+        change = np.ones(len(live), bool)
+        change[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
+        alone = change.copy()
+        alone[:-1] &= change[1:]
+        live, group = live[order[~alone]], np.cumsum(change)[~alone]
+        if not len(live):
+            break
+    return live, group
+
+
+def numbered(*keys: np.ndarray) -> np.ndarray:
+    """Equal rows of keys as equal numbers."""
+    order = np.lexsort(keys[::-1])
+    change = np.zeros(len(order), bool)
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(change)
+    return out
+
+
+def digits(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of runs, eight a column, the last filled with zeros."""
+    step = np.arange(-(-int(size.max(initial=1)) // 8) * 8)
+    place = at[:, None] + step[None]
+    body = np.where(step[None] < size[:, None], flat[np.minimum(place, len(flat) - 1)], np.uint8(0))
+    return body.view(">u8").astype(np.uint64)
+
+
+def folded(r: np.ndarray, doc: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Which runs repeat an earlier one byte by byte; ``r`` comes in the order of gram, document and start, its bytes begin at ``at``."""
+    later, carry, a = np.zeros(len(r), bool), np.zeros(0, np.int64), 0
+    while a < len(r):
+        z = min(a + FOLDED, len(r))
+        mine = np.r_[carry, np.arange(a, z)]
+        s = r[mine]
+        body = digits(flat, at[mine], s["span"].astype(np.int64) + THRESHOLD)
+        live, group = passes(numbered(s["gram"], s["span"], s["off"]), lambda members, k, body=body: body[members, k], range(body.shape[1]))
+        order = np.lexsort((live, group))
+        g, x = group[order], mine[live[order]]
+        first = np.ones(len(g), bool)
+        first[1:] = g[1:] != g[:-1]
+        head = x[np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))]
+        later[x[(doc[x] != doc[head]) | (r["lo"][x] != r["lo"][head])]] = True
+        carry = mine[(s["gram"] == r["gram"][z - 1]) & ~later[mine]]
+        a = z
+    return later
+
+
+def twins(gram: np.ndarray) -> np.ndarray:
+    """Which of sorted grams occur more than once."""
+    out = np.zeros(len(gram), bool)
+    out[1:] = gram[1:] == gram[:-1]
+    out[:-1] |= out[1:]
+    return out
 
 
 MESSAGE = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("kind", pa.string()), ("body", pa.binary())])
@@ -151,6 +204,14 @@ def unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield row["pack"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["bounds"], np.int64), np.frombuffer(raw, np.uint8), row
 
 
+def by_pack(kind: str, records: np.ndarray, packs: np.ndarray) -> list[tuple]:
+    """Messages with the records of each pack."""
+    order = np.argsort(packs, kind="stable")
+    p = packs[order]
+    cuts = np.r_[0, np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)]
+    return [(0, int(p[a]), kind, records[order[a:z]].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
+
+
 def first_pass(packs: DataFrame, n: int) -> DataFrame:
     """The runs of all packs, as messages to the part of their gram; repeats within a pack become ranges to remove at once."""
 
@@ -159,9 +220,10 @@ def first_pass(packs: DataFrame, n: int) -> DataFrame:
             for name, ids, bounds, flat, _ in unpacked(b):
                 r = runs(flat, bounds)
                 if len(r):
-                    r["doc"] = ids[r["idx"]]
-                    order, new, later = firsts(r)
-                    r = r[order]
+                    r = r[np.lexsort((r["lo"], ids[r["idx"]], r["gram"]))]
+                    twin = np.flatnonzero(twins(r["gram"]))
+                    later = np.zeros(len(r), bool)
+                    later[twin] = folded(r[twin], ids[r["idx"][twin]], bounds[r["idx"][twin]] + r["lo"][twin], flat)
                     rows = by_part(r[~later], n, name, "run")
                     if later.any():
                         rows.append((name % n, name, "gone", gone(r[later]).tobytes()))
@@ -171,41 +233,22 @@ def first_pass(packs: DataFrame, n: int) -> DataFrame:
 
 
 def second_pass(dealt: DataFrame) -> DataFrame:
-    """By gram: ranges of what repeats a class's earliest, and wants for the earliest of grams in several surroundings."""
+    """By gram: runs that are alone with theirs are done; the others' bytes are wanted of their packs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, packs, own = [np.zeros(0, RUN)], [np.zeros(0, np.int64)], []
+        all_, packs, rows = [np.zeros(0, RUN)], [np.zeros(0, np.int64)], []
         for b in batches:
             for pack_, kind, body in zip(b.column("pack").to_pylist(), b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
                 if kind == "run":
                     all_.append(np.frombuffer(body, RUN))
                     packs.append(np.full(len(all_[-1]), pack_))
                 else:
-                    own.append((0, pack_, kind, body))
+                    rows.append((0, pack_, kind, body))
         r, p = np.concatenate(all_), np.concatenate(packs)
         del all_, packs
-        # what is alone with its gram is done
         order = np.argsort(r["gram"], kind="stable")
-        g = r["gram"][order]
-        twin = np.zeros(len(g), bool)
-        twin[1:] = g[1:] == g[:-1]
-        twin[:-1] |= twin[1:]
-        r, p = r[order[twin]], p[order[twin]]
-        order, new, later = firsts(r)
-        r, p = r[order], p[order]
-        gram_new = np.ones(len(r), bool)
-        gram_new[1:] = r["gram"][1:] != r["gram"][:-1]
-        classes = np.bincount(np.cumsum(gram_new) - 1, new) if len(r) else np.zeros(0)
-        several = classes[np.cumsum(gram_new) - 1] > 1 if len(r) else np.zeros(0, bool)
-        wants = np.zeros(len(r), WANT)
-        for f in WANT.names:
-            wants[f] = r[f]
-        rows = own
-        for kind, pick, body in (("gone", later, gone(r)), ("want", new & several, wants)):
-            at = np.flatnonzero(pick)
-            at = at[np.argsort(p[at], kind="stable")]
-            cuts = np.r_[0, np.flatnonzero(p[at][1:] != p[at][:-1]) + 1, len(at)]
-            rows += [(0, int(p[at[a]]), kind, body[at[a:z]].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
+        order = order[twins(r["gram"][order])]
+        rows += by_pack("want", r[order], p[order])
         if rows:
             yield messages(rows)
 
@@ -218,7 +261,7 @@ def third_pass(wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, ids, bounds, flat, row in unpacked(b):
-                w = np.sort(np.frombuffer(b"".join(row["bodies"]), WANT), order=["gram", "idx", "lo"])
+                w = np.sort(np.frombuffer(b"".join(row["bodies"]), RUN), order=["gram", "idx", "lo"])
                 parts = parts_of(w["gram"], n)
                 cuts, rows = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1, len(parts)], []
                 raw = flat.tobytes()
@@ -226,35 +269,19 @@ def third_pass(wanted: DataFrame, n: int) -> DataFrame:
                     mine = w[a:z]
                     at = bounds[mine["idx"]] + mine["lo"]
                     texts = b"".join(raw[i : i + s + THRESHOLD] for i, s in zip(at.tolist(), mine["span"].tolist(), strict=True))
-                    rows.append((int(parts[a]), name, "text", struct.pack("<I", z - a) + mine.tobytes() + ids[mine["idx"]].tobytes() + texts))
+                    head = struct.pack("<IQ", z - a, len(texts)) + mine.tobytes() + ids[mine["idx"]].tobytes()
+                    rows.append((int(parts[a]), name, "text", head + pa.compress(texts, codec="zstd", asbytes=True)))
                 yield messages(rows)
 
     return wanted.mapInArrow(run, MESSAGE_SQL)
 
 
 def repeated(words: np.ndarray, start: np.ndarray, gram: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """MSD passes over suffixes: (those that are not alone after the last, the group of each).
+    """Suffixes that equal another through the threshold, and the group of each.
 
     ``words[i]`` has the eight bytes at i; suffixes begin at ``start``. Groups begin as equal gram and offset of it.
     """
-    live = np.arange(len(start))
-    order = np.lexsort((off, gram))
-    change = np.ones(len(start), bool)
-    change[1:] = (gram[order][1:] != gram[order][:-1]) | (off[order][1:] != off[order][:-1])
-    group = np.empty(len(start), np.int64)
-    group[order] = np.cumsum(change)
-    for depth in [*range(0, THRESHOLD - 7, 8), THRESHOLD - 8]:
-        d = words[start[live] + depth]
-        order = np.lexsort((d, group))
-        d, g = d[order], group[order]
-        change = np.ones(len(live), bool)
-        change[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
-        alone = change.copy()
-        alone[:-1] &= change[1:]
-        live, group = live[order[~alone]], np.cumsum(change)[~alone]
-        if not len(live):
-            break
-    return live, group
+    return passes(numbered(gram, off), lambda members, depth: words[start[members] + depth], [*range(0, THRESHOLD - 7, 8), THRESHOLD - 8])
 
 
 def last_pass(dealt: DataFrame) -> DataFrame:
@@ -285,24 +312,30 @@ def last_pass(dealt: DataFrame) -> DataFrame:
         end = np.r_[begin[1:], len(o)] - 1
         out = np.zeros(len(begin), GONE)
         out["idx"], out["lo"], out["hi"] = w["idx"][o[begin]], s[begin], s[end] + THRESHOLD
-        pk = packs[o[begin]]
-        cuts = np.r_[0, np.flatnonzero(pk[1:] != pk[:-1]) + 1, len(pk)]
-        return [(0, int(pk[a]), "gone", out[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return by_pack("gone", out, packs[o[begin]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ws, docs, packs, texts = [np.zeros(0, WANT)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        ws, docs, packs, texts = [np.zeros(0, RUN)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for b in batches:
             for name, body in zip(b.column("pack").to_pylist(), b.column("body").to_pylist(), strict=True):
-                n = struct.unpack_from("<I", body)[0]
-                a = 4 + n * WANT.itemsize
-                ws.append(np.frombuffer(body, WANT, n, 4))
+                n, size = struct.unpack_from("<IQ", body)
+                a = 12 + n * RUN.itemsize
+                ws.append(np.frombuffer(body, RUN, n, 12))
                 docs.append(np.frombuffer(body, np.int64, n, a))
                 packs.append(np.full(n, name))
-                texts.append(body[a + 8 * n :])
+                texts.append(pa.decompress(body[a + 8 * n :], size, codec="zstd", asbytes=True))
         w, doc, pk, flat = np.concatenate(ws), np.concatenate(docs), np.concatenate(packs), np.frombuffer(b"".join(texts), np.uint8)
+        del ws, docs, packs, texts
         size = w["span"].astype(np.int64) + THRESHOLD
         at = np.cumsum(size) - size
-        order = np.argsort(w["gram"], kind="stable")
+        order = np.lexsort((w["lo"], doc, w["gram"]))
+        later = folded(w[order], doc[order], at[order], flat)
+        rows = by_pack("gone", gone(w[order[later]]), pk[order[later]])
+        # what is left of a gram is one run, or runs of different bytes
+        order = order[~later]
+        order = order[twins(w["gram"][order])]
+        if rows:
+            yield messages(rows)
         g = w["gram"][order]
         ends = np.r_[np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
         windows = np.cumsum(w["span"][order].astype(np.int64) + 1)
@@ -361,8 +394,9 @@ def removed(packs: DataFrame, ranges: DataFrame, text: bool) -> DataFrame:
 
 def dedup(docs: DataFrame, spark: SparkSession, text: bool = True) -> DataFrame:
     """Every document without its repeated windows."""
-    scratch, n = Scratch(spark, "suffix"), partitions(spark)
+    scratch = Scratch(spark, "suffix")
     packs = scratch.table(pack(docs), "packs")
+    n = max(partitions(spark), packs.count() * PACK // PART)  # so that what a part holds does not grow with the data
     told = scratch.table(second_pass(deal(first_pass(packs, n), n)), "told")
     scratch.release()
     # a pack is wanted by its own runs only: the list is bounded by the pack

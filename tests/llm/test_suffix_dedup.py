@@ -62,3 +62,52 @@ def test_kept_bytes(spark):
 
 def test_empty(spark, tmp_path):
     assert e.op6(spark, tables_at(spark, tmp_path, documents=empty(spark))).count() == 0
+
+
+class Step:
+    """Stands for a DataFrame and gives the function that it is mapped by, so that passes run in this process."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):  # noqa: N802
+        return f
+
+
+def in_process(rows, n):
+    """The ranges that the passes remove, without Spark: doc_id -> removed bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    batch = lambda r: [pa.RecordBatch.from_pylist(r)] if r else []
+    told = lambda f, r: [x for b in f(iter(batch(r))) for x in b.to_pylist()]
+    packs = [x for k in range(0, len(rows), 7) for b in e.pack(Step())(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[k : k + 7]])])) for x in b.to_pylist()]
+    parts = lambda ms: [[m for m in ms if m["part"] == p] for p in range(n)]
+    second = [m for part in parts(told(e.first_pass(Step(), n), packs)) for m in told(e.second_pass(Step()), part)]
+    wanted = [p | {"bodies": [m["body"] for m in second if m["kind"] == "want" and m["pack"] == p["pack"]]} for p in packs]
+    last = [m for part in parts(told(e.third_pass(Step(), n), [w for w in wanted if w["bodies"]])) for m in told(e.last_pass(Step()), part)]
+    bodies = lambda p: [m["body"] for m in second + last if m["kind"] == "gone" and m["pack"] == p["pack"]]
+    out = {}
+    for p in packs:
+        ids = np.frombuffer(p["ids"], np.int64)
+        cut = {i: set() for i in ids.tolist()}
+        for g in np.frombuffer(b"".join(bodies(p)), e.GONE):
+            cut[int(ids[g["idx"]])].update(range(g["lo"], g["hi"]))
+        out |= {i: len(c) for i, c in cut.items()}
+    return out
+
+
+def test_bytes_decide_where_hashes_collide(monkeypatch):
+    import numpy as np
+
+    rng, plain = random.Random(5), e.mixed
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    base = [letters(140), letters(220), "xy" * 80, "q" * 130]
+    rows = [(i, "".join(rng.choice([*base, letters(60), "é"])[rng.randrange(7) :] for _ in range(rng.randrange(5)))) for i in range(60)]
+    wanted = {r[0]: r[2] for r in brute(rows)}
+    assert in_process(rows, 3) == wanted
+    monkeypatch.setattr(e, "mixed", lambda x: plain(x) & np.uint64(15))
+    for folded, sorted_ in ((50_000, 400_000), (5, 40)):
+        monkeypatch.setattr(e, "FOLDED", folded)
+        monkeypatch.setattr(e, "SORTED", sorted_)
+        assert in_process(rows, 3) == wanted
