@@ -1,17 +1,20 @@
 """Exact top-k by integer inner product: best-first search in M-trees.
 
 A vector x gets one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm of all, and a query a zero; then
-d(q, x)^2 = |q|^2 + M^2 - 2 q.x, so the highest inner products are the nearest in a metric. Rows are dealt to trees of about
-TREE vectors. A tree is built top-down into pages: an inner page holds for each child its pivot, covering radius and distance to the
+d(q, x)^2 = |q|^2 + M^2 - 2 q.x, so the highest inner products are the nearest in a metric. Rows go to the cell of the nearest of
+at most PIVOTS pivots, rows picked by hash, and each cell to trees of about TREE vectors. A tree is built top-down into pages: an inner page holds for each child its pivot, covering radius and distance to the
 parent's pivot, a leaf its vectors and their distances to the leaf's pivot. The search keeps pages in a queue by their least
 possible distance and stops at the first that cannot reach the k-th best. Stored distances give |d(q, p) - d(x, p)| <= d(q, x),
 which spares computing d for entries and children. Bounds have a slack for rounding; scores are integers.
 
-Each block of queries meets each tree; the best k of each meeting are ranked once more for each query.
+A query first meets one tree of the cell of its nearest pivot, whose k-th score it takes along; then the trees of those cells whose ball
+(pivot and covering radius) may hold something as good, in blocks of queries. The best k of each meeting are ranked once more for each query. Vectors
+that fill space evenly leave no cell out: then every query meets every tree.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do empty ones; shorter
 vectors count as padded with zeros; a row is not a candidate for itself, but a repeated row is; ties go to the smaller vec_id; fewer than k
-candidates are all returned; an empty table gives no rows. Products beyond 2^53 are added with unbounded integers and held to the range of long.
+candidates are all returned; an empty table gives no rows. Scaled components beyond 2^62 are held to it; products
+beyond 2^53 are added with unbounded integers and held to the range of long.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .near_dedup import groups
 from .shared import Scratch, deal, record_batch
 
 TREE, BLOCK, LEAF, FAN = 8192, 2048, 512, 16
+#: Pivots of cells, and the bytes that they may have.
+PIVOTS, PIVOT_BYTES = 1024, 8 << 20
 TOP, EVERY = 5, 50
 SLACK = 1e-9
 ITEM = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.binary()), ("norm", pa.float64()), ("size", pa.int32())])
@@ -64,6 +69,41 @@ def matrix(vectors: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def slack_of(size: float, most: float) -> float:
+    """What rounding may add to a distance. ``size``: the query's squared norm."""
+    return SLACK * (np.sqrt(size) + np.sqrt(most) + 1)
+
+
+def distance_of(size: float, most: float, score: float) -> float:
+    return np.sqrt(max(0.0, size + most - 2.0 * score))
+
+
+class Cells:
+    """At most PIVOTS pivots as doubles, with one coordinate more; ``radii`` once they are known."""
+
+    def __init__(self, pivots: np.ndarray, most: float):
+        self.plain, self.most = pivots.astype(np.float64), most
+        self.last = np.sqrt(np.maximum(0, most - np.square(self.plain).sum(axis=1)))
+        self.radii = np.zeros(len(pivots))
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance from its pivot) of rows."""
+        last = np.sqrt(np.maximum(0, self.most - np.square(vectors).sum(axis=1)))
+        cell = (vectors @ self.plain.T + last[:, None] * self.last[None] - (np.square(self.plain).sum(axis=1) + self.last**2) / 2).argmax(axis=1)
+        return cell, np.sqrt(np.square(vectors - self.plain[cell]).sum(axis=1) + np.square(last - self.last[cell]))
+
+    def home(self, queries: np.ndarray) -> np.ndarray:
+        return (queries @ self.plain.T - (np.square(self.plain).sum(axis=1) + self.last**2) / 2).argmax(axis=1)
+
+    def open(self, q: np.ndarray, known: int | None) -> np.ndarray:
+        """The cells whose ball may hold a score of at least ``known``."""
+        if known is None:
+            return np.arange(len(self.radii))
+        size = float(q @ q)
+        far = np.sqrt(np.square(self.plain - q).sum(axis=1) + self.last**2)
+        return np.flatnonzero(far - self.radii <= distance_of(size, self.most, known) + 2 * slack_of(size, self.most))
+
+
 class Tree:
     """Pages of one M-tree; ``x`` has the augmented vectors as doubles, ``whole`` the integers, both in the order of the leaves."""
 
@@ -112,19 +152,20 @@ class Tree:
         limit = (1 << 63) - 1
         return np.array([max(-limit - 1, min(limit, int(s))) for s in self.whole[at].astype(object) @ q.astype(object)], object)
 
-    def search(self, q: np.ndarray, row: int, most: float, k: int) -> list[tuple[int, int]]:
-        """The k best (score, -vec_id) of all vectors but that of ``row``."""
+    def search(self, q: np.ndarray, row: int, most: float, k: int, known: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, -vec_id) of all vectors but that of ``row``; only those of at least the score ``known``, if it is given."""
         if self.root is None:
             return []
         plain = q.astype(np.float64)
         size = float(plain @ plain)
         exact = self.largest * float(np.abs(plain).max(initial=0)) * len(q) < 2.0**53
-        target, slack = np.r_[plain, 0.0], SLACK * (np.sqrt(size) + np.sqrt(most) + 1)
+        target, slack = np.r_[plain, 0.0], slack_of(size, most)
         best: list[tuple[int, int]] = []
+        worst = lambda: best[0][0] if len(best) == k else known
 
         def reach() -> float:
             """The distance of the k-th best: what is farther is worse."""
-            return np.sqrt(max(0.0, size + most - 2.0 * best[0][0])) + slack if len(best) == k else np.inf
+            return np.inf if worst() is None else distance_of(size, most, worst()) + slack
 
         queue, count = [(0.0, 0, self.root, float(np.sqrt(np.square(target - self.top).sum())))], 1
         while queue:
@@ -139,7 +180,7 @@ class Tree:
                 some = 2 * np.count_nonzero(near) < len(near)
                 at = page["from"] + np.flatnonzero(near) if some else slice(page["from"], page["to"])
                 s = self.scores(at, q, plain, exact)
-                good = np.flatnonzero(s >= best[0][0]) if len(best) == k else range(len(s))
+                good = range(len(s)) if worst() is None else np.flatnonzero(s >= worst())
                 for i in good:
                     entry, place = (int(s[i]), -int(self.ids[at][i])), at[i] if some else page["from"] + i
                     if self.rows[place] == row or len(best) == k and entry <= best[0]:
@@ -163,8 +204,26 @@ def top(vectors: DataFrame, spark: SparkSession, wanted, k: int = TOP) -> DataFr
     scratch = Scratch(spark, "mtree")
     all_ = scratch.table(items(vectors), "items")
     told = all_.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most"), F.max("size").alias("width"), F.sum(wanted.cast("long")).alias("q")).first()
-    trees, blocks = max(1, -(-told["n"] // TREE)), max(1, -(-(told["q"] or 0) // BLOCK))
+    blocks = max(1, -(-(told["q"] or 0) // BLOCK))
     most, width = float(told["most"] or 0.0) * (1 + 1e-12), told["width"] or 1
+    n_cells = min(PIVOTS, max(1, PIVOT_BYTES // (8 * width)), max(1, -(-told["n"] // TREE)))
+    chosen = all_.select("vec", F.xxhash64("row").alias("h")).orderBy("h").limit(n_cells).toPandas()  # at most PIVOT_BYTES
+    cells = Cells(matrix(chosen["vec"].tolist() or [b""], width), most)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column("vec").to_pylist(), width).astype(np.float64)
+            cell, d = cells.nearest(x)
+            extra = [pa.array(cell, pa.int32()), pa.array(d, pa.float64()), pa.array(cells.home(x), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "vec_id", "vec")], *extra], names=["row", "vec_id", "vec", "cell", "d", "home"])
+
+    all_ = scratch.table(all_.select("row", "vec_id", "vec").mapInArrow(place, "row bigint, vec_id bigint, vec binary, cell int, d double, home int"), "placed")
+    sizes, first = all_.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).toPandas(), []  # a row a cell
+    lots, cells.radii = np.zeros(len(cells.radii), np.int64), np.full(len(cells.radii), -np.inf)
+    lots[sizes["cell"]], cells.radii[sizes["cell"]] = -(-sizes["n"].to_numpy(np.int64) // TREE), sizes["d"]
+    first = np.cumsum(lots) - lots
+    trees = max(1, int(lots.sum()))
+    laid = spark.createDataFrame(list(zip(range(len(lots)), first.tolist(), lots.tolist(), strict=True)), "cell int, first int, lots int")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "part"):
@@ -175,18 +234,42 @@ def top(vectors: DataFrame, spark: SparkSession, wanted, k: int = TOP) -> DataFr
         out: list[tuple] = []
         if len(tree) and len(queries):  # an empty side comes without its columns
             built = pickle.loads(tree["pages"].iloc[0])
-            for row, vec_id, v in zip(queries["row"], queries["vec_id"], matrix(queries["vec"].tolist(), width), strict=True):
-                out += [(row, vec_id, -i, s) for s, i in built.search(v, row, most, k)]
+            known = [None if pd.isna(x) else int(x) for x in queries["known"]]
+            for row, vec_id, v, least in zip(queries["row"], queries["vec_id"], matrix(queries["vec"].tolist(), width), known, strict=True):
+                out += [(row, vec_id, -i, s) for s, i in built.search(v, row, most, k, least)]
         return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"])
 
-    part = F.pmod(F.xxhash64("row"), F.lit(trees)).cast("int")
-    built = deal(all_.withColumn("part", part), trees).sortWithinPartitions("part", "row").mapInArrow(build, "tree int, pages binary")
-    built = scratch.table(built, "trees").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = all_.where(wanted).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("row")), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", "block", "row", "vec_id", "vec")
-    met = built.groupBy("tree", "block").cogroup(asked.groupBy("tree", "block")).applyInPandas(meet, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    def met(asked: DataFrame) -> DataFrame:
+        """What queries (row, vec_id, vec, tree, known) find in their trees."""
+        asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("row")), F.lit(blocks)).cast("int"))
+        # names of its own: the two sides come from one plan
+        sides = built.join(asked.select("tree", "block").distinct(), "tree"), asked.select(*[F.col(c).alias(c) for c in ("tree", "block", "row", "vec_id", "vec", "known")])
+        a, b = (side.groupBy("tree", "block") for side in sides)
+        return a.cogroup(b).applyInPandas(meet, "row bigint, query_id bigint, vec_id bigint, score bigint")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column("vec").to_pylist(), width).astype(np.float64)
+            own = [cells.open(v, least).tolist() for v, least in zip(x, b.column("known").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+
+    lot = F.pmod(F.xxhash64("row"), F.col("lots")).cast("int")
+    parts = all_.join(F.broadcast(laid), "cell").select("row", "vec_id", "vec", (F.col("first") + lot).alias("part"))
+    built = scratch.table(deal(parts, trees).sortWithinPartitions("part", "row").mapInArrow(build, "tree int, pages binary"), "trees")
+    # first round: one tree of the nearest cell that has rows
+    asked = all_.where(wanted).select("row", "vec_id", "vec", F.col("home").alias("cell")).join(F.broadcast(laid), "cell")
+    asked = asked.select("row", "vec_id", "vec", F.when(F.col("lots") > 0, F.col("first") + lot).otherwise(0).alias("tree"), F.lit(None).cast("long").alias("known"))
+    asked = scratch.table(asked, "asked")
+    near = scratch.table(met(asked), "near")
+    known = near.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("known"))
+    # second round: all trees of the cells that may hold as good ones
+    rest = asked.withColumnRenamed("tree", "seen").drop("known").join(known, "row", "left")
+    rest = rest.mapInArrow(opened, "row bigint, vec_id bigint, vec binary, seen int, known bigint, cells array<int>")
+    rest = rest.withColumn("cell", F.explode("cells")).drop("cells").join(F.broadcast(laid.where("lots > 0")), "cell")
+    rest = rest.withColumn("tree", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("lots") - 1))).where("tree <> seen")
+    found = near.unionByName(met(scratch.table(rest.select("row", "vec_id", "vec", "tree", "known"), "rest")))
     rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

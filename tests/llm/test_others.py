@@ -426,6 +426,27 @@ def test_search_against_brute_force(spark, tmp_path, monkeypatch):
     assert got == nearest(rows)
 
 
+def test_search_leaves_far_cells_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(metric_search, "TREE", 40)
+    rng = np.random.default_rng(4)
+    centres = 20 * rng.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in (centres[i % 12] + 0.1 * rng.normal(size=6)).astype(np.float32)]) for i in range(900)]
+    rows += [(i, rows[3][1]) for i in range(900, 1300)]  # a third of all rows are one vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(tuple(r) for r in metric_search.op10(spark, tables_at(spark, tmp_path, embeddings=df)).collect())
+    assert got == nearest(rows)
+    x = np.floor(256 * np.array([v for _, v in rows]))
+    most = float(np.square(x).sum(axis=1).max()) * (1 + 1e-12)
+    cells = metric_search.Cells(x[:12], most)
+    cell, d = cells.nearest(x)
+    cells.radii = np.array([d[cell == c].max(initial=-np.inf) for c in range(12)])
+    for q in x[::50]:
+        scores = np.sort(x @ q)[::-1]
+        open_ = cells.open(q, int(scores[4]))
+        assert set(cell[x @ q >= scores[4]]) <= set(open_.tolist()) and len(open_) < 6
+    assert len(cells.open(x[0], None)) == 12
+
+
 def test_search_few_and_none(spark, tmp_path):
     two = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in metric_search.op10(spark, tables_at(spark, tmp_path, embeddings=two)).collect()] == [(0, 1, 3, 256 * 512)]
