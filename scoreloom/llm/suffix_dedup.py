@@ -36,7 +36,7 @@ SPAN = THRESHOLD - GRAM + 1
 PACK = 3 << 20
 SEGMENT = 1 << 20
 #: Windows that a task sorts at once, runs that it folds at once, and bytes of packs for each part.
-SORTED, FOLDED, PART = 400_000, 50_000, 48 << 20
+SORTED, FOLDED, PART = 400_000, 8_000, 48 << 20
 BASE = 0x2545F4914F6CDD1D
 TABLE = np.random.default_rng(6).integers(0, 1 << 64, 256, np.uint64)
 LAST = (1 << 63) - 1
