@@ -64,17 +64,28 @@ class Presence:
         return h[self.last[h] == at]
 
 
+def packed(hashes_: np.ndarray) -> bytes:
+    """Distinct hashes as compressed steps, about a third of their size: what goes to the driver."""
+    steps = np.diff(np.sort(hashes_.astype(np.int32)), prepend=np.int32(0))
+    return len(steps).to_bytes(4, "little") + (pa.compress(steps.tobytes(), codec="zstd", asbytes=True) if len(steps) else b"")
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    n = int.from_bytes(body[:4], "little")
+    return np.cumsum(np.frombuffer(pa.decompress(body[4:], 4 * n, codec="zstd", asbytes=True), np.int32), dtype=np.int32) if n else np.zeros(0, np.int32)
+
+
 def presences(docs: DataFrame) -> list[np.ndarray]:
     """The distinct hashes of each document of a sample, in the order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Presence()
         for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
-            found = pa.array([present(t).astype(np.int32).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            found = pa.array([packed(present(t)) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], names=["doc_id", "found"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, found binary").toPandas()
-    return [np.frombuffer(x, np.int32) for x in rows.sort_values("doc_id", kind="stable")["found"]]
+    return [unpacked(x) for x in rows.sort_values("doc_id", kind="stable")["found"]]
 
 
 class Model:
@@ -160,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for i, h in enumerate(found):
             at = model.place[h]
             x[i, at[at >= 0]] = 1
+        found.clear()  # what the matrix holds is not held twice
         return unit(x)
 
     w, bias = fit(matrix(positive), matrix(unlabelled), prior)
