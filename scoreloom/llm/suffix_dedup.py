@@ -167,6 +167,25 @@ MESSAGE = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("kind", pa.str
 MESSAGE_SQL = "part int, pack bigint, kind string, body binary"
 
 
+def squeezed(r: np.ndarray) -> bytes:
+    """Runs as compressed columns, grams as steps: small where they come in the order of gram."""
+    columns = [np.diff(r["gram"], prepend=np.uint64(0)), *[np.ascontiguousarray(r[f]) for f in RUN.names[1:]]]
+    raw = b"".join(c.tobytes() for c in columns)
+    return struct.pack("<I", len(r)) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def restored(body: bytes) -> np.ndarray:
+    n = struct.unpack_from("<I", body)[0]
+    out = np.zeros(n, RUN)
+    if n:
+        raw, at = pa.decompress(body[4:], n * RUN.itemsize, codec="zstd", asbytes=True), 0
+        for f in RUN.names:
+            out[f] = np.frombuffer(raw, RUN[f], n, at)
+            at += n * RUN[f].itemsize
+        out["gram"] = np.cumsum(out["gram"], dtype=np.uint64)
+    return out
+
+
 def parts_of(gram: np.ndarray, n: int) -> np.ndarray:
     return ((gram >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int32)
 
@@ -175,7 +194,7 @@ def by_part(records: np.ndarray, n: int, pack: int, kind: str) -> list[tuple]:
     """Messages with the records of each part; records come in the order of gram."""
     parts = parts_of(records["gram"], n)
     cuts = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1, len(parts)]
-    return [(int(parts[a]), pack, kind, records[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
+    return [(int(parts[a]), pack, kind, squeezed(records[a:z])) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
 
 
 def messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -209,7 +228,8 @@ def by_pack(kind: str, records: np.ndarray, packs: np.ndarray) -> list[tuple]:
     order = np.argsort(packs, kind="stable")
     p = packs[order]
     cuts = np.r_[0, np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)]
-    return [(0, int(p[a]), kind, records[order[a:z]].tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
+    body = squeezed if records.dtype == RUN else np.ndarray.tobytes
+    return [(0, int(p[a]), kind, body(records[order[a:z]])) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
 
 
 def first_pass(packs: DataFrame, n: int) -> DataFrame:
@@ -240,7 +260,7 @@ def second_pass(dealt: DataFrame) -> DataFrame:
         for b in batches:
             for pack_, kind, body in zip(b.column("pack").to_pylist(), b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
                 if kind == "run":
-                    all_.append(np.frombuffer(body, RUN))
+                    all_.append(restored(body))
                     packs.append(np.full(len(all_[-1]), pack_))
                 else:
                     rows.append((0, pack_, kind, body))
@@ -261,7 +281,7 @@ def third_pass(wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, ids, bounds, flat, row in unpacked(b):
-                w = np.sort(np.frombuffer(b"".join(row["bodies"]), RUN), order=["gram", "idx", "lo"])
+                w = np.sort(np.concatenate([restored(x) for x in row["bodies"]]), order=["gram", "idx", "lo"])
                 parts = parts_of(w["gram"], n)
                 cuts, rows = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1, len(parts)], []
                 raw = flat.tobytes()
@@ -269,8 +289,8 @@ def third_pass(wanted: DataFrame, n: int) -> DataFrame:
                     mine = w[a:z]
                     at = bounds[mine["idx"]] + mine["lo"]
                     texts = b"".join(raw[i : i + s + THRESHOLD] for i, s in zip(at.tolist(), mine["span"].tolist(), strict=True))
-                    head = struct.pack("<IQ", z - a, len(texts)) + mine.tobytes() + ids[mine["idx"]].tobytes()
-                    rows.append((int(parts[a]), name, "text", head + pa.compress(texts, codec="zstd", asbytes=True)))
+                    pieces = [squeezed(mine), *[pa.compress(x, codec="zstd", asbytes=True) for x in (ids[mine["idx"]].tobytes(), texts)]]
+                    rows.append((int(parts[a]), name, "text", struct.pack("<IIQ", *map(len, pieces[:2]), len(texts)) + b"".join(pieces)))
                 yield messages(rows)
 
     return wanted.mapInArrow(run, MESSAGE_SQL)
@@ -318,12 +338,12 @@ def last_pass(dealt: DataFrame) -> DataFrame:
         ws, docs, packs, texts = [np.zeros(0, RUN)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for b in batches:
             for name, body in zip(b.column("pack").to_pylist(), b.column("body").to_pylist(), strict=True):
-                n, size = struct.unpack_from("<IQ", body)
-                a = 12 + n * RUN.itemsize
-                ws.append(np.frombuffer(body, RUN, n, 12))
-                docs.append(np.frombuffer(body, np.int64, n, a))
-                packs.append(np.full(n, name))
-                texts.append(pa.decompress(body[a + 8 * n :], size, codec="zstd", asbytes=True))
+                heads, owners, size = struct.unpack_from("<IIQ", body)
+                a, z = 16 + heads, 16 + heads + owners
+                ws.append(restored(body[16:a]))
+                docs.append(np.frombuffer(pa.decompress(body[a:z], 8 * len(ws[-1]), codec="zstd", asbytes=True), np.int64))
+                packs.append(np.full(len(ws[-1]), name))
+                texts.append(pa.decompress(body[z:], size, codec="zstd", asbytes=True))
         w, doc, pk, flat = np.concatenate(ws), np.concatenate(docs), np.concatenate(packs), np.frombuffer(b"".join(texts), np.uint8)
         del ws, docs, packs, texts
         size = w["span"].astype(np.int64) + THRESHOLD
