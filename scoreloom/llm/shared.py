@@ -34,12 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = 12 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to BATCH_BYTES, never raises it. It stays so, as results are computed after the call."""
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lowers the session's Arrow batch size to ``most``, never raises it. It stays so, as results are computed after the call."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(name).rstrip("b")) if spark.conf.get(name).rstrip("b").lstrip("-").isdigit() else None
-    if now is None or now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+    if now is None or now <= 0 or now > most:
+        spark.conf.set(name, f"{most}b")
 
 
 class Scratch:

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, deal, documents, joined_bytes, mixed, partitions, record_batch, slices
+from .shared import Scratch, deal, documents, joined_bytes, mixed, partitions, record_batch, slices, small_batches
 
 THRESHOLD, GRAM = 100, 32
 SPAN = THRESHOLD - GRAM + 1
 PACK = 3 << 20
+#: Arrow batches hold a pack or two: what the JVM allocates for larger ones beside its heap it gives back late.
+BATCH = 2 << 20
 SEGMENT = 1 << 20
 #: Windows that a task sorts at once, runs that it folds at once, and bytes of packs for each part.
 SORTED, FOLDED, PART = 400_000, 8_000, 48 << 20
@@ -415,6 +417,7 @@ def removed(packs: DataFrame, ranges: DataFrame, text: bool) -> DataFrame:
 def dedup(docs: DataFrame, spark: SparkSession, text: bool = True) -> DataFrame:
     """Every document without its repeated windows."""
     scratch = Scratch(spark, "suffix")
+    small_batches(spark, BATCH)
     packs = scratch.table(pack(docs), "packs")
     n = max(partitions(spark), packs.count() * PACK // PART)  # so that what a part holds does not grow with the data
     told = scratch.table(second_pass(deal(first_pass(packs, n), n)), "told")
