@@ -129,12 +129,62 @@ def block_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def _longest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, last place in x, last place in y) of the longest common block of each column, the first of equals in x, then in y."""
+    n = x.shape[1]
+    best, ex, ey = (np.zeros(n, np.int8) for _ in range(3))
+    row = np.zeros((len(y) + 1, n), np.int8)  # lengths of common suffixes, behind a row of zeros
+    for i in range(len(x)):
+        k = (row[:-1] + np.int8(1)) * (y == x[i])
+        row[1:] = k
+        most = k.max(axis=0)
+        more = most > best
+        if more.any():
+            np.copyto(ey, k.argmax(axis=0), where=more, casting="unsafe")
+            np.copyto(best, most, where=more)
+            np.copyto(ex, i, where=more)
+    return best, ex, ey
+
+
+def _in_blocks(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Signs in matching blocks of each pair: the longest common block, then the same before it and after it. ``x``, ``y``: codes, a row a pair."""
+    total, own = np.zeros(len(x), np.int64), np.arange(len(x))
+    x0, x1, y0, y1 = np.zeros(len(x), np.int64), nx, np.zeros(len(x), np.int64), ny
+    while len(own):
+        at, to = np.arange(int(x1.max()))[:, None], np.arange(int(y1.max()))[:, None]
+        side = lambda z, place, low, high, pad: np.where((place >= low) & (place < high), z[own, : len(place)].T, pad)
+        best, ex, ey = (v.astype(np.int64) for v in _longest(side(x, at, x0, x1, -1), side(y, to, y0, y1, -2)))
+        total += np.bincount(own, best, len(total)).astype(np.int64)
+        parts = (x0, ex - best + 1, y0, ey - best + 1), (ex + 1, x1, ey + 1, y1)
+        fit = [(best > 0) & (p[0] < p[1]) & (p[2] < p[3]) for p in parts]
+        own, (x0, x1, y0, y1) = np.concatenate([own[f] for f in fit]), (np.concatenate([p[k][f] for p, f in zip(parts, fit, strict=True)]) for k in range(4))
+    return total
+
+
+#: Signs of a short text, pairs that are worth a step together, and pairs in one.
+SHORT, FEW, PAIRS = 40, 64, 20_000
+
+
 def block_ratios(a: list[str], b: list[str]) -> np.ndarray:
-    """``block_ratio`` of every pair. Two signs in common subsequence or more are where it can differ from ``indel_ratio``, below 200 signs."""
+    """``block_ratio`` of every pair. Two signs in common subsequence or more are where it can differ from ``indel_ratio``, below 200 signs.
+
+    Pairs of short texts take their blocks together, one numpy step for each pair of places; pairs with a long one go one by one.
+    """
     out = indel_ratios(a, b)
-    size = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None]
+    na, nb = (np.array([len(x) for x in side]) for side in (a, b))
+    size = na[:, None] + nb[None]
     same = np.array(a, object)[:, None] == np.array(b, object)[None]
     unsure = (out * size > 3) & ~same
+    coded = lambda side, wide: np.array([[*map(ord, x[:wide]), *[-1] * (wide - len(x))] for x in side], np.int32)
+    for least, most in ((0, 8), (8, 16), (16, SHORT)):
+        longer = np.maximum(na[:, None], nb[None])
+        i, j = np.nonzero(unsure & (longer > least) & (longer <= most))
+        if len(i) >= FEW:
+            ca, cb = coded(a, most), coded(b, most)
+            for k in range(0, len(i), PAIRS):
+                p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+                out[p, q] = 2 * _in_blocks(ca[p], cb[q], na[p], nb[q]) / size[p, q]
+            unsure[i, j] = False
     matcher = SequenceMatcher(None)
     for j in np.flatnonzero(unsure.any(axis=0)):
         matcher.set_seq2(b[j])

@@ -184,32 +184,40 @@ def tree_distance(a: Node, b: Node, variant: str = "teds") -> float:
         for m in set(sizes[1][flat[1]] - 1):
             x, y = flat[0][sizes[0][flat[0]] == n + 1], flat[1][sizes[1][flat[1]] == m + 1]
             line = [np.full((len(x), len(y)), float(k)) for k in range(m + 1)]
+            own = change[(la[x][:, None] + np.arange(n)).ravel()][:, (lb[y][:, None] + np.arange(m)).ravel()].reshape(len(x), n, len(y), m)
             for i in range(n):
                 left, line[0] = line[0], line[0] + 1
                 for k in range(m):
                     keep = line[k + 1]
-                    line[k + 1] = np.minimum(np.minimum(line[k + 1], line[k]) + 1, left + change[np.ix_(la[x] + i, lb[y] + k)])
+                    line[k + 1] = np.minimum(np.minimum(line[k + 1], line[k]) + 1, left + own[:, i, :, k])
                     left = keep
             tree[np.ix_(x, y)] = line[m]
     done = [set(f.tolist()) if alike else set() for f in flat]
     for j in roots_b:
         y = lb[j]
         q = np.arange(y, j + 1)
-        whole, place = lb[q] == y, np.arange(j - y + 2)
+        whole, place, back = lb[q] == y, np.arange(j - y + 2.0), lb[q] - y
+        mine = q[whole]
+        spot = mine - y + 1
         for i in roots_a:
             if i in done[0] and j in done[1]:
                 continue
             x = la[i]
             forest = np.empty((i - x + 2, j - y + 2))
             forest[0] = place
-            for p in range(x, i + 1):
-                s = p - x + 1
-                apart = forest[la[p] - x, lb[q] - y] + tree[p, q]
-                step = np.where(whole, forest[s - 1, :-1] + change[p, q], apart) if la[p] == x else apart
-                own = np.r_[float(s), np.minimum(forest[s - 1, 1:] + 1, step)]
-                forest[s] = np.minimum.accumulate(own - place) + place
-                if la[p] == x:
-                    tree[p, q[whole]] = forest[s, 1:][whole]
+            for s, p in enumerate(range(x, i + 1), 1):
+                above, line, first = forest[s - 1], forest[s], la[p] - x
+                line[0] = s
+                apart = forest[first, back]
+                apart += tree[p, y : j + 1]
+                if not first:
+                    np.copyto(apart, above[:-1] + change[p, y : j + 1], where=whole)
+                np.minimum(above[1:] + 1, apart, out=line[1:])
+                line -= place
+                np.minimum.accumulate(line, out=line)
+                line += place
+                if not first:
+                    tree[p, mine] = line[spot]
     return float(tree[-1, -1])
 
 

@@ -114,3 +114,11 @@ def test_ratios_of_all_pairs():
     words = ["", "x" * 60, *("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(20))]
     got = kernels.indel_ratios(words, words[::-1])
     assert got == pytest.approx(np.array([[kernels.indel_ratio(a, b) for b in words[::-1]] for a in words]))
+
+
+@pytest.mark.parametrize("signs, most", [("ab", 12), ("abcdefgh0123456789", 7), ("abcde é", 39), ("ab", 60)])
+def test_block_ratios_are_those_of_matching_blocks(signs, most):
+    rng = random.Random(most)
+    a, b = ([("".join(rng.choice(signs) for _ in range(rng.randrange(most + 1)))) for _ in range(n)] for n in (30, 27))
+    wanted = [[difflib.SequenceMatcher(None, x, y).ratio() for y in b] for x in a]
+    assert np.allclose(kernels.block_ratios(a, b), wanted, atol=1e-12)
