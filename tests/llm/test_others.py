@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import language_id, metric_search, pii_surrogates, source_mixing, toxicity, warc_archives
 
-from .helpers import ODD, SF, empty, odd, tables_at
+from .helpers import LOWER, ODD, SF, empty, odd, tables_at
 
 # --- language ID ---------------------------------------------------------------------------------------------------------
 
@@ -482,3 +482,38 @@ def test_pipeline_stages(spark):
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in docs.collect()} and max(r.offset + r.length for r in out) <= 4096
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+CLASHING = ("keep_id", "group_size", "row", "d", "n", "size", "spans", "rounds", "r", "n_shingles", "component_id", "kept", "id", "label", "digest", "sig", "score", "predicted", "text_sha256", "_row", "_first", "bin", "piece")
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    import corpus_pipeline
+
+    docs = odd(spark).select("*", *[F.lit(n).alias(n) for n in CLASHING])
+    before = docs.collect()
+    plain = lambda rows: Counter((r.doc_id, r.text) for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "best_fit_packing":
+            assert {(r.doc_id) for r in rows} <= {r.doc_id for r in before} and len({r.row_id for r in rows}) <= len(before)
+            continue
+        assert out.columns == docs.columns and all(r[c] == c for r in rows for c in CLASHING), name
+        if name == "toxicity":
+            assert plain(rows) == plain(before)
+        elif name == "exact_dedup":
+            low, all_ = ([(r.text or "").translate(LOWER) for r in some] for some in (rows, before))
+            assert len(set(low)) == len(low) == len(set(all_))
+            assert {r.doc_id for r in rows} == {2, 4, 5, 6, 7, 8, 9, 10}
+        elif name == "near_dedup":
+            assert not plain(rows) - plain(before) and {5, 6, 8, 9, 10, 1, 2} <= {r.doc_id for r in rows}
+
+
+def test_stages_agree_when_they_run_again(spark):
+    import corpus_pipeline
+
+    docs = odd(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        again = [sorted(map(str, stage(spark, docs.repartition(n), SF).collect())) for n in (2, 5)]
+        assert again[0] == again[1], name
