@@ -33,9 +33,9 @@ from .shared import Scratch, deal, documents, joined_bytes, mixed, partitions, r
 
 THRESHOLD, GRAM = 100, 32
 SPAN = THRESHOLD - GRAM + 1
-PACK = 3 << 20
+PACK = 1 << 20
 #: Arrow batches hold a pack or two: what the JVM allocates for larger ones beside its heap it gives back late.
-BATCH = 2 << 20
+BATCH = 1 << 20
 SEGMENT = 1 << 20
 #: Windows that a task sorts at once, runs that it folds at once, and bytes of packs for each part.
 SORTED, FOLDED, PART = 400_000, 8_000, 48 << 20
