@@ -34,8 +34,6 @@ from .shared import Scratch, deal, documents, joined_bytes, mixed, partitions, r
 THRESHOLD, GRAM = 100, 32
 SPAN = THRESHOLD - GRAM + 1
 PACK = 1 << 20
-#: Packs are written once and move twice.
-CODEC = pa.Codec("zstd", compression_level=6)
 #: Arrow batches hold a pack or two: what the JVM allocates for larger ones beside its heap it gives back late.
 BATCH = 1 << 20
 SEGMENT = 1 << 20
@@ -205,13 +203,18 @@ def messages(rows: list[tuple]) -> pa.RecordBatch:
     return record_batch({k: [r[i] for r in rows] for i, k in enumerate(MESSAGE.names)}, MESSAGE)
 
 
+def harder(raw: bytes) -> bytes:
+    """A pack's bytes, which are written once and move twice."""
+    return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """pack, ids, bounds, body: texts of some documents, compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, "text", PACK)):
             flat, bounds = joined_bytes(b, "text")
-            body = struct.pack("<Q", len(flat)) + (CODEC.compress(flat.tobytes(), asbytes=True) if len(flat) else b"")
+            body = struct.pack("<Q", len(flat)) + (harder(flat.tobytes()) if len(flat) else b"")
             ids = np.array([LAST if i is None else i for i in b.column("doc_id").to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([bounds.tobytes()], pa.binary()), pa.array([body], pa.binary())], names=["pack", "ids", "bounds", "body"])
 
