@@ -415,7 +415,8 @@ def removed(packs: DataFrame, ranges: DataFrame, text: bool) -> DataFrame:
                 yield record_batch(out, OUT)
 
     bodies = ranges.groupBy("pack").agg(F.collect_list("body").alias("bodies"))
-    rows = packs.join(bodies.hint("merge"), "pack", "left").select("pack", "ids", "bounds", "body", "bodies")
+    rows = packs.join(bodies.hint("shuffle_hash"), "pack", "left")  # packs are large to sort; their messages are bounded by a part
+    rows = rows.select("pack", "ids", "bounds", "body", "bodies")
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
@@ -429,7 +430,7 @@ def dedup(docs: DataFrame, spark: SparkSession, text: bool = True) -> DataFrame:
     scratch.release()
     # a pack is wanted by its own runs only: the list is bounded by the pack
     bodies = told.where("kind = 'want'").groupBy("pack").agg(F.collect_list("body").alias("bodies"))
-    wanted = packs.join(bodies.hint("merge"), "pack").select("pack", "ids", "bounds", "body", "bodies")
+    wanted = packs.join(bodies.hint("shuffle_hash"), "pack").select("pack", "ids", "bounds", "body", "bodies")
     late = scratch.table(last_pass(deal(third_pass(wanted, n), n)), "late")
     scratch.release()
     return removed(packs, told.where("kind = 'gone'").unionByName(late), text)
