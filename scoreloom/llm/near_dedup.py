@@ -10,8 +10,9 @@ sorting is the only thing that meets a hot region whole; ties in the order go by
 1. In the blocks of FIRST trees pairs whose signatures agree on ESTIMATE of their digits or more are tried on full sets; connected components follow.
 2. So are pairs between components in those blocks of the other trees in which components meet.
 3. Classes marked as cut are completed by a prefix-filter join over these classes alone: each has its rarest shingles as keys, as many as leave no pair of 0.8
-without a common one, and members of a key that are of different components are compared, with bounds on size and position. The largest component of
-a key is only compared with the rest, in tiles of LOT by LOT classes, so a group of near copies costs in proportion to its size.
+without a common one, and members of a key that are of different components after step 2 are compared, with bounds on size and position: what a pair has in
+common begins at its first common key, so what follows that key in both must do. Members of a key that no other one's size lets reach 0.8 leave it beforehand.
+The largest component of a key is only compared with the rest, in tiles of LOT by LOT classes, so a group of near copies costs in proportion to its size.
 
 Recall: a pair at 0.8 exactly shares no region in any of 16 trees with probability (1 - 0.8^4)^16 = 0.0002, and has fewer than ESTIMATE equal digits with
 probability 0.00002; pairs in regions that are cut, however they are cut, all come to step 3 (which leaves out pairs with under SURE equal digits: 1e-11).
@@ -38,7 +39,9 @@ from .shared import Scratch, documents, joined_bytes, mixed, partitions, record_
 TREES, ROOT, DEPTH = 16, 4, 7
 MOST, FIRST, ESTIMATE = 128, 2, 0.64
 #: Of step 3: members of a side of a tile, the least share of equal digits, and bits of a shingle that count its frequency.
-LOT, SURE, COUNTED = 512, 0.5, 18
+LOT, SURE, COUNTED = 1024, 0.5, 18
+#: Rows of a tile that are held against all its rows at once.
+ROWS = 256
 #: Links that one task of ``components`` holds.
 HELD = 1 << 20
 #: Similarity as a share: 100 * intersection >= 80 * union.
@@ -357,7 +360,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keys_of(sets: DataFrame) -> DataFrame:
-    """key, id, label, place of each class: its rarest shingles, in one order for all; those that no other class can have are left out.
+    """key, id, label, n, place of each class: its rarest shingles, in one order for all; those that no other class can have are left out.
 
     How often a shingle occurs is counted by its first COUNTED bits, a table of a fixed size; any order gives the same links.
     """
@@ -379,29 +382,70 @@ def keys_of(sets: DataFrame) -> DataFrame:
                 places.append(at)
             if keys:
                 at = pa.array(np.concatenate(owners), pa.int64())
-                columns = [pa.array(np.concatenate(keys).view(np.int64)), b.column("id").take(at), b.column("label").take(at), pa.array(np.concatenate(places), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "label", "place"])
+                columns = [pa.array(np.concatenate(keys).view(np.int64)), *[b.column(c).take(at) for c in ("id", "label", "n")], pa.array(np.concatenate(places), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "label", "n", "place"])
 
-    return sets.select("id", "label", "set").mapInArrow(run, "key bigint, id binary, label binary, place bigint")
+    return sets.select("id", "label", "n", "set").mapInArrow(run, "key bigint, id binary, label binary, n bigint, place bigint")
+
+
+def _pairs(t: pa.Table) -> list[tuple[int, int]]:
+    """Pairs of a tile that are to be tried on full sets, those with most equal digits first.
+
+    All that a pair has in common lies at its first common key or after it. At a later one the same bound may leave the pair out, for it was tried at the first.
+    """
+    labels, side, n, place = _numbers(t, "label"), *(np.asarray(t.column(c)) for c in ("side", "n", "place"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+    one_side, left, found = (side == side[0]).all(), n - place, [np.zeros((0, 3), np.int64)]
+    for a in range(0, t.num_rows, ROWS):
+        z = slice(a, a + ROWS)
+        fits = (labels[z, None] != labels[None]) & (sum(SHARE) * np.minimum(left[z, None], left[None]) >= SHARE[0] * (n[z, None] + n[None]))
+        if not one_side:  # pairs of one side have a tile of their own
+            fits &= side[z, None] != side[None]
+        i, j = np.nonzero(np.triu(fits, a + 1))
+        for b in range(0, len(i), 1 << 14):
+            x, y = i[b : b + (1 << 14)] + a, j[b : b + (1 << 14)]
+            same = (sig[x] == sig[y]).sum(axis=1)
+            found.append(np.stack([-same, x, y], axis=1)[same >= SURE * sig.shape[1]])
+    pairs = np.concatenate(found)
+    return [(i, j) for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist()]
+
+
+TILE = "block bigint, side int, id binary, place bigint"
 
 
 def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By tile: the members of some pair that is to be tried on full sets."""
     for t in groups(batches, "block"):
-        labels = _numbers(t, "label")
-        if labels.any():
-            side, n, place = (np.asarray(t.column(c)) for c in ("side", "n", "place"))
-            most = np.minimum(place[:, None], place[None]) + np.minimum((n - place)[:, None], (n - place)[None])
-            also = (labels[:, None] != labels[None]) & (sum(SHARE) * most >= SHARE[0] * (n[:, None] + n[None]))
-            if (side != side[0]).any():  # pairs of one side have a tile of their own
-                also &= side[:, None] != side[None]
-            at = sorted({i for p in estimates(t, SURE, also) for i in p})
-            if at:
-                yield pa.RecordBatch.from_arrays([t.column(c).take(pa.array(at)).combine_chunks() for c in ("block", "id")], names=["block", "id"])
+        if at := sorted({i for p in _pairs(t) for i in p}):
+            names = ["block", "side", "id", "place"]
+            yield pa.RecordBatch.from_arrays([t.column(c).take(pa.array(at)).combine_chunks() for c in names], names=names)
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By tile: links between members of different components, found on full sets."""
+    for t in groups(batches, "block"):
+        ids, sets = t.column("id").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        forest, seen, out = Forest(len(ids)), {}, []
+        for i, label in enumerate(_numbers(t, "label").tolist()):
+            forest.join(i, seen.setdefault(label, i))
+        for i, j in _pairs(t):
+            if forest.root(i) != forest.root(j) and similar(sets[i], sets[j]):
+                forest.join(i, j)
+                out.append((ids[i], ids[j]))
+        if out:
+            yield _edges(out)
+
+
+def reaching(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of keys with members of different components those members that could reach SHARE with one as small as the key's smallest, all they have from the key on being common."""
+    least = keys.groupBy("key").agg(F.min("n").alias("least"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "least")
+    least = scratch.table(least, "least")
+    fits = sum(SHARE) * (F.col("n") - F.col("place")) >= SHARE[0] * (F.col("n") + F.col("least"))
+    return keys.join(least.hint("merge"), "key").where(fits).select(*keys.columns)
 
 
 def tiles_of(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """block, side, id, label, place: each member of a key in the tiles in which it can meet members of other components.
+    """block, side, id, label, n, place: each member of a key in the tiles in which it can meet members of other components.
 
     Members of a key's largest component (in lots of LOT) meet the lots of the rest; lots of the rest meet one another.
     """
@@ -421,18 +465,18 @@ def tiles_of(keys: DataFrame, scratch: Scratch) -> DataFrame:
         each(F.col("others")), lambda o: F.struct(F.xxhash64("key", F.lit("rest"), F.least("lot", o), F.greatest("lot", o)).alias("block"), F.col("lot").alias("side"))
     )
     tile = F.explode(F.when(F.col("is_top"), tops).otherwise(F.concat(to_top, to_others)))
-    return met.select("id", "label", "place", tile.alias("tile")).select("tile.block", "tile.side", "id", "label", "place")
+    return met.select("id", "label", "n", "place", tile.alias("tile")).select("tile.block", "tile.side", "id", "label", "n", "place")
 
 
 def completed(cut: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, spark: SparkSession) -> DataFrame:
     """Links between different components among the classes of ``cut``: a prefix-filter join."""
     named = cut.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = scratch.table(named.join(sets.hint("merge"), "id"), "cut-sets")
-    keys = scratch.table(keys_of(named), "keys")
-    tiles = scratch.table(tiles_of(keys, scratch), "laid").join(named.select("id", "n", "sig").hint("merge"), "id")
-    tiles = scratch.table(by_block(tiles, spark).mapInArrow(_tried, "block bigint, id binary"), "tiles")
+    keys = scratch.table(reaching(scratch.table(keys_of(named), "all-keys"), scratch), "keys")
+    tiles = scratch.table(tiles_of(keys, scratch), "laid").join(named.select("id", "sig").hint("merge"), "id")
+    tiles = scratch.table(by_block(tiles, spark).mapInArrow(_tried, TILE), "tiles")
     full = tiles.join(named.hint("merge"), "id")
-    return by_block(full.select("block", "id", "label", "n", "sig", "set"), spark).mapInArrow(_across(SURE), EDGES)
+    return by_block(full.select("block", "side", "id", "label", "n", "place", "sig", "set"), spark).mapInArrow(_confirmed, EDGES)
 
 
 STARS = "id binary, label binary"
@@ -525,12 +569,13 @@ def linked(docs: DataFrame, spark: SparkSession, k: int, name: str) -> DataFrame
     own = scratch.table(met, "met")
     differ = own.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
     met = own.join(differ.hint("merge"), "block", "left_semi").join(sets.hint("merge"), "id")
-    links = links.union(scratch.table(by_block(met.select("block", "id", "label", "n", "sig", "set"), spark).mapInArrow(_across(ESTIMATE), EDGES), "links-2"))
+    links = scratch.table(by_block(met.select("block", "id", "label", "n", "sig", "set"), spark).mapInArrow(_across(ESTIMATE), EDGES), "links-2")
+    labels = components(labels.union(links), scratch, "components-2")  # a label is a link too
     cut = scratch.table(blocks.where("cut").select("id").distinct(), "cut")
-    links = links.union(scratch.table(completed(cut, labels, sets, scratch, spark), "links-3"))
-    labels = components(links, scratch, "components-2")
+    links = scratch.table(completed(cut, labels, sets, scratch, spark), "links-3")
+    labels = components(labels.union(links), scratch, "components-3")
     least = scratch.table(nodes.select("digest", "id", "copies").join(labels.hint("merge"), "id", "left").select("digest", F.coalesce("label", "id").alias("label"), "copies"), "labelled")
-    scratch.drop("sets", "met", "blocks", "cut-sets", "keys", "laid")
+    scratch.drop("sets", "met", "blocks", "cut-sets", "all-keys", "keys", "laid")
     return named(rows.drop("sig"), least, spark)
 
 

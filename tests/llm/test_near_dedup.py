@@ -96,6 +96,49 @@ def test_regions_cut_by_digits_are_completed(spark, monkeypatch):
     assert got(spark, rows) == brute(rows, 2)
 
 
+def cores(seed, n, m=6):
+    """``n`` texts of unequal sizes around each of ``m`` cores; those of one core have 0.6 to 0.95 in common."""
+    rng, rows = random.Random(seed), []
+    for c in range(m):
+        core = [f"c{c}x{i}" for i in range(60)]
+        for _ in range(n):
+            words = core[: rng.randrange(44, 61)]
+            for p in rng.sample(range(len(words)), rng.randrange(5)):
+                words[p] = f"z{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_the_join_of_cut_classes_alone_finds_all_components(spark):
+    rows = cores(6, 30)
+    scratch = e.Scratch(spark, "test")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = e.signed(docs, 2).where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("x.*")
+    sets = scratch.table(e.sets_of(docs, scratch.table(nodes, "nodes"), 2), "sets")
+    links = scratch.table(e.completed(sets.select("id"), sets.select("id", F.col("id").alias("label")), sets, scratch, spark), "links")
+    found = {r.id: r.label for r in e.components(links, scratch, "found").select(e.doc_of(F.col("id")).alias("id"), e.doc_of(F.col("label")).alias("label")).collect()}
+    first = {}
+    for i, text in rows:
+        first.setdefault(text, i)
+    assert [found.get(first[t], first[t]) for _, t in rows] == [c for _, _, c in brute(rows, 2)]
+
+
+def test_what_cannot_reach_the_share_is_not_tried(spark, monkeypatch):
+    """All lie in the same large regions. Twins are linked before step 3; the others, at 0.7, share keys too late in their order to reach 0.8."""
+    monkeypatch.setattr(e, "MOST", 2)
+    made, table = {}, e.Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(e.Scratch, "table", counted)
+    for rows in (family(7, 80), family(8, 80, own=12)[::2]):
+        assert got(spark, rows) == brute(rows, 2)
+        assert made["all-keys" if "all-keys" in made else "keys"] and made["laid"] + made["tiles"] <= len(rows)
+
+
 def test_neighbourhoods_hold_every_pair_or_mark_it(spark):
     """Of a region that is not cut all members share one block; cut ones, and those at the edges of ranges, are marked."""
     rng = np.random.default_rng(1)
