@@ -139,6 +139,26 @@ def test_what_cannot_reach_the_share_is_not_tried(spark, monkeypatch):
         assert made["all-keys" if "all-keys" in made else "keys"] and made["laid"] + made["tiles"] <= len(rows)
 
 
+def test_near_copies_of_the_pipeline_make_few_tiles(spark, monkeypatch):
+    """The pipeline's stage, with five-word shingles: pairs below 0.8 make no tiles, and all but one of each group's copies go."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(e, "MOST", 2)
+    made, table = {}, e.Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(e.Scratch, "table", counted)
+    rows = family(9, 60, own=40)[::2]
+    rows += [(1000 + i, t + " more") for i, t in rows]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows, 5)})
+    assert made["laid"] + made["tiles"] <= len(rows)
+
+
 def test_neighbourhoods_hold_every_pair_or_mark_it(spark):
     """Of a region that is not cut all members share one block; cut ones, and those at the edges of ranges, are marked."""
     rng = np.random.default_rng(1)
