@@ -83,7 +83,8 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.mapped = {ord(c): byte.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
+        pairs = ((c.encode().decode("latin-1"), byte.pre_tokenize_str(c)[0][0]) for c in map(chr, range(0xDF, 0x100)))
+        self.moved = sorted({(a, b) for was, now in pairs for a, b in zip(was, now, strict=True) if a != b})
         self.forget()
 
     def forget(self) -> None:
@@ -91,12 +92,22 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
         self.starts, self.lengths = np.zeros((2, 1 << 12), np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        groups: tuple[list[str], list[str], list[str]] = ([], [], [])
-        for c in chunks:
-            groups[(0 if c.isascii() else 1) if PLAIN(c) else 2].append(c)
-        ascii_, accented, other = groups
-        for plain, text in ((ascii_, " ".join(ascii_)), (accented, " ".join(accented).translate(self.mapped))):
+    def bytewise(self, text: str) -> str:
+        """Plain text with its UTF-8 bytes as the byte-level signs that the vocabulary has for them."""
+        text = text.encode().decode("latin-1")
+        for a, b in self.moved:
+            text = text.replace(a, b)
+        return text
+
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        """Where the pool has each of ``chunks`` from now on; they are distinct and new."""
+        groups: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, c in enumerate(chunks):
+            groups[(0 if c.isascii() else 1) if PLAIN(c) else 2].append(i)
+        ascii_, accented, other = ([chunks[i] for i in g] for g in groups)
+        at, n = np.empty(len(chunks), np.int64), len(self.memo)
+        at[np.array([i for g in groups for i in g], np.int64)] = np.arange(n, n + len(chunks))
+        for plain, text in ((ascii_, " ".join(ascii_)), (accented, self.bytewise(" ".join(accented)))):
             if plain:
                 ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
                 ends = np.flatnonzero(self.last[ids]) + 1
@@ -104,6 +115,7 @@ class Encoder:
         if other:
             each = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
             self.store(other, np.array([i for ids in each for i in ids], "<u4"), np.array([len(ids) for ids in each], np.int64))
+        return at
 
     def store(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         assert len(chunks) == len(lengths) and lengths.sum() == len(ids)
@@ -137,8 +149,7 @@ class Encoder:
             self.forget()
             known[:] = -1
         new = np.flatnonzero(known < 0).tolist()
-        self.learn([distinct[i] for i in new])
-        known[new] = self.known([distinct[i] for i in new])
+        known[new] = self.learn([distinct[i] for i in new])
         at = known[np.asarray(words.indices)]
         n = self.lengths[at]
         ends = np.cumsum(n)
@@ -156,24 +167,32 @@ CUT = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("piece", pa.in
 CUT_SQL = "doc_id bigint, row_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def cut_batch(batch: pa.RecordBatch, enc: Encoder, capacity: int) -> pa.RecordBatch:
+    """The pieces of a batch's documents. Equal texts, which a mix puts side by side, are encoded and cut once."""
+    texts, end = batch.column("text").dictionary_encode("encode"), np.array([END], "<u4").tobytes()
+    flat, bounds = enc(texts.dictionary)
+    cuts: list[list[tuple[int, int, int, int]]] = []
+    for begin, stop in zip(bounds[:-1], bounds[1:], strict=True):
+        ids = memoryview(flat[begin:stop].tobytes() + end)
+        parts = ((at, ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity))
+        cuts.append([(n, at // 4, len(part) // 4, zlib.crc32(part)) for n, (at, part) in enumerate(parts)])
+    out: dict[str, list] = {f.name: [] for f in CUT}
+    for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist(), texts.indices.to_pylist(), strict=True):
+        for piece in cuts[text]:
+            for k, v in zip(out, (doc, row, *piece), strict=True):
+                out[k].append(v)
+    return record_batch(out, CUT)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents; row_id tells rows of one doc_id apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        enc, end = encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json")), np.array([END], "<u4").tobytes()
+        enc = encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         for b in (part for whole in batches for part in slices(whole, "text", SLICE)):
-            out: dict[str, list] = {f.name: [] for f in CUT}
-            flat, bounds = enc(b.column("text"))
-            for doc, row, begin, stop in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                ids = memoryview(flat[begin:stop].tobytes() + end)
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for k, v in zip(out, (doc, row, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        out[k].append(v)
-            del flat
-            yield record_batch(out, CUT)
+            yield cut_batch(b, enc, capacity)
             pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), "text").mapInArrow(cut, CUT_SQL)

@@ -60,6 +60,18 @@ def test_other_tokenizers_encode_whole_texts():
     assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [tokenizer.encode(x, add_special_tokens=False).ids for x in [*TEXTS, ""]]
 
 
+def test_equal_texts_of_a_batch_are_encoded_once():
+    texts, seen, enc, tokenizer = ["é, b b c", None, "é, b b c", "", "d", "é, b b c", None], [], e.Encoder(PATH), Tokenizer.from_file(PATH)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 1, 3, 4, 5, 6, 7], "row_id": [*range(10, 18)], "text": ["before", *texts]}).slice(1)
+    out = e.cut_batch(batch, lambda t: seen.extend(t.to_pylist()) or enc(t), 2).to_pylist()
+    assert seen == ["é, b b c", None, "", "d"]
+    want = []
+    for doc, row, t in zip([2, 1, 3, 4, 5, 6, 7], range(11, 18), texts, strict=True):
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        want += [(doc, row, n, a, len(ids[a : a + 2]), zlib.crc32(ids[a : a + 2].tobytes())) for n, a in enumerate(range(0, len(ids), 2))]
+    assert [tuple(r.values()) for r in out] == want
+
+
 def check(rows, docs, capacity=4096):
     tokenizer = Tokenizer.from_file(PATH)
     want = []
